@@ -32,12 +32,13 @@ HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Tokens of 20 or more characters with a digit; the look-behind keeps the search linear.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_]{7,39}+(?![A-Za-z0-9+/_=-])"
+#: The label "ordinary": words of letters and underscores, with at most three digits at the end.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,40}+[0-9]{0,3}+(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex")
 #: Labelled rows of each side, at most; identifiers that one text adds to the candidates for the sample.
 SAMPLE, PER_TEXT, GENERATED = 20_000, 4, 2_000
 #: Mean log-likelihood ratio for each character pair, and its sum, from which a token counts as random.
-MEAN_RATIO, SUM_RATIO, SMOOTHING = 0.7, 20.0, 0.5
+MEAN_RATIO, SUM_RATIO, SMOOTHING, BACK_OFF = 0.7, 20.0, 0.5, 8.0
 
 
 def base_spans(text: Column) -> Column:
@@ -60,7 +61,7 @@ def train(scanned: DataFrame, sample: int = SAMPLE) -> list[float]:
     spark = scanned.sparkSession
     known = scanned.select(F.explode("base").alias("x")).select(F.when(F.col("x.kind") == "assign", F.regexp_extract("x.txt", ASSIGN, 2)).otherwise(F.col("x.txt")).alias("t"))
     few = lambda df: df.where("length(t) > 1").distinct().orderBy(F.xxhash64("t"), "t").limit(sample)
-    made = spark.range(GENERATED).select(F.explode(F.array(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), F.sha2(F.col("id").cast("string"), 224), F.upper(F.md5(F.col("id").cast("string"))))).alias("t"))
+    made = spark.range(GENERATED).select(F.explode(F.array(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 512))), F.md5(F.col("id").cast("string")), F.left(F.upper(F.md5(F.col("id").cast("string"))), F.lit(20)))).alias("t"))
     plain = scanned.select(F.explode("words").alias("t"))
     pairs = few(known).union(made).select("t", F.lit(True).alias("random")).union(few(plain).select("t", F.lit(False)))
     codes = F.transform(F.split("t", ""), code)
@@ -77,7 +78,14 @@ def train(scanned: DataFrame, sample: int = SAMPLE) -> list[float]:
     for r in counted:
         n[r["random"], r["a"], r["b"]] += r["n"]
         n[r["random"], r["a"]] += r["n"]
-    p = lambda side, a, b: math.log((n[side, a, b] + SMOOTHING) / (n[side, a] + SMOOTHING * size))
+        n[r["random"], -1, r["b"]] += r["n"]
+        n[r["random"],] += r["n"]
+
+    def p(side: bool, a: int, b: int) -> float:
+        """Log-probability of b after a, backed off to that of b."""
+        alone = (n[side, -1, b] + SMOOTHING) / (n[side,] + SMOOTHING * size)
+        return math.log((n[side, a, b] + BACK_OFF * alone) / (n[side, a] + BACK_OFF))
+
     return [p(True, a, b) - p(False, a, b) for a in range(size) for b in range(size)]
 
 
