@@ -1,0 +1 @@
+"""Scene analysis of ordered frame streams as Spark DataFrames."""
