@@ -114,7 +114,7 @@ def similarity_hash(image: np.ndarray) -> int:
     s = image[np.ix_(y, x)].astype(np.int64)
     gray = (77 * s[..., 0] + 150 * s[..., 1] + 29 * s[..., 2] + 128) >> 8
     m = dct_matrix(32, 8)
-    low = (m @ gray @ m.T).ravel()
+    low = np.round((m @ gray @ m.T).ravel(), 6)  # what should be 0 is
     bits = low > np.median(low[1:])
     return int(np.packbits(bits).view(">i8")[0])
 

@@ -17,7 +17,7 @@ def frames_of(text: Column, rate: Column) -> Column:
     number = lambda x: x.try_cast("double")
     clock = number(F.get(parts, F.lit(0))) * 3600 + number(F.get(parts, F.lit(1))) * 60 + number(F.get(parts, F.lit(2)))
     seconds = F.when(F.contains(text, F.lit(":")), F.when(F.size(parts) == 3, clock)).when(F.endswith(text, F.lit("s")), number(text.substr(F.lit(1), F.length(text) - 1)))
-    rounded = F.when(F.isnan(seconds), 0).otherwise(F.greatest(F.lit(0.0), F.floor(seconds * rate + 0.5))).cast("long")
+    rounded = F.when(F.isnan(seconds), 0).when(seconds.isNotNull(), F.greatest(F.lit(0.0), F.floor(seconds * rate + 0.5))).cast("long")
     plain = F.when(text.rlike("^[+]?[0-9]+$"), text.try_cast("long"))
     return F.when(F.contains(text, F.lit(":")) | F.endswith(text, F.lit("s")), rounded).otherwise(plain)
 
