@@ -21,7 +21,7 @@ MIN_WORDS = 10
 #: Largest share, in percent, of words in 5-word windows found twice or more.
 MAX_REPEAT_WORDS = 20
 #: n-gram length: largest share, in percent, of word characters inside duplicated n-grams.
-MAX_GRAM_CHARS = {5: 20, 7: 18, 10: 16}
+MAX_GRAM_CHARS = {5: 30, 7: 28, 10: 25}
 #: Largest share, in percent, of word characters inside lines equal to an earlier line.
 MAX_LINE_CHARS = 30
 
