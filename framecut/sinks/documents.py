@@ -122,3 +122,9 @@ def same_review(saved: dict, current: dict) -> bool:
 def bundle(detection: dict, samples: list[dict], review: dict | None = None, exports: dict | None = None) -> dict:
     """All outputs of one session."""
     return {"detection": detection, "samples": samples, "review": review, "exports": exports or {}}
+
+
+def review_session(source: str, settings: dict, actions: list[dict], scenes: list[dict]) -> dict:
+    """A saved review: what same_review compares, and the decisions made so far."""
+    now = fingerprint(source) or {}
+    return {"bytes": now.get("bytes"), "modified_ns": now.get("modified_ns"), "settings": settings, "actions": sorted(actions, key=lambda a: (a["video_id"], a["frame"])), "scenes": scenes}

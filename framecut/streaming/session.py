@@ -147,3 +147,20 @@ def stream_spans(rows: DataFrame) -> DataFrame:
 
     total = rows.groupBy("video_id").agg(F.max("total").alias("total")).where("total is not null")
     return scene_spans(rows.where("boundary is not null").select("video_id", F.col("boundary").alias("frame")), total)
+
+
+def stream_review(rows: DataFrame, config, options, threshold: float | None = None) -> DataFrame:
+    """Boundary review of ended videos from the rows that detect_stream wrote for a content detector."""
+    from pyspark.sql import functions as F
+
+    from ..config import review_threshold
+    from ..operators.decisions import content_decisions
+    from ..operators.review import content_review
+
+    if config.name != "content":
+        raise ValueError("a stream's review needs content scores; an adaptive one needs both of its metrics")
+    review_threshold(config, threshold)
+    total = rows.groupBy("video_id").agg(F.max("total").alias("total")).where("total is not null")
+    frames = rows.where("total is null").select("video_id", "frame", F.col("score").alias("content_val")).join(total.select("video_id"), "video_id", "left_semi")
+    judged = content_decisions(frames, config, options.min_scene_len).withColumn("metrics", F.create_map(F.lit("content_val"), "score"))
+    return content_review(judged, total, config, options, threshold)

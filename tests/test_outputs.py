@@ -121,6 +121,26 @@ def test_stream_equals_batch(spark, tmp_path, config, kind):
     assert got == want and len(want) > 5
 
 
+def test_stream_review(spark):
+    values = [0.0, 50.0, 200.0, 50.0]
+    rows = spark.createDataFrame([(0, k, v, None, None) for k, v in enumerate(values)] + [(0, 3, 0.0, None, 4)], session.OUTPUT)
+    found = session.stream_review(rows, Content(60.0), Options(1), 50.0).orderBy("frame").collect()
+    assert [(r.frame, r.status) for r in found] == [(1, "near_miss"), (2, "accepted"), (3, "near_miss")]
+    with pytest.raises(ValueError):
+        session.stream_review(rows, Fade(), Options(1))
+
+
+def test_sql_functions(spark):
+    from framecut.functions import sql
+
+    sql.register(spark)
+    got = spark.sql("SELECT * FROM scene_spans(array(5L, 2L), 9L)").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 2), (2, 2, 5), (3, 5, 9)]
+    assert spark.sql("SELECT size(phash(unhex('000000ffffff000000ffffff'), 2, 2, 2, 1)) AS n").first().n == 4
+    saved = documents.review_session(__file__, {"threshold": 3}, [], [])
+    assert documents.same_review(saved, documents.review_session(__file__, {"threshold": 3}, [{"video_id": 0, "frame": 1}], []))
+
+
 def test_stream_rejects_falling_frames():
     s = session.Session(Content(), 1)
     s.push(0, 1.0, None)
