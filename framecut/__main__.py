@@ -2,7 +2,7 @@
 
     python -m framecut detect content frames.parquet out --threshold 27
     python -m framecut render csv out/scenes --rate 24
-    python -m framecut inspect clip.scenedetect.json
+    python -m framecut inspect clip.framecut.json
 """
 
 from __future__ import annotations

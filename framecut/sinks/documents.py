@@ -13,7 +13,7 @@ from pathlib import Path
 from ..config import load
 
 VERSIONS = range(1, 3)
-SUFFIX = {"stats": ".scenedetect.json", "timeline": ".timeline.json", "scenes-csv": "-Scenes.csv", "scenes-json": "-Scenes.json", "scenes-ndjson": "-Scenes.ndjson", "scenes-html": "-Scenes.html", "boundaries": "-Boundaries.csv"}
+SUFFIX = {"stats": ".framecut.json", "timeline": ".timeline.json", "scenes-csv": "-Scenes.csv", "scenes-json": "-Scenes.json", "scenes-ndjson": "-Scenes.ndjson", "scenes-html": "-Scenes.html", "boundaries": "-Boundaries.csv"}
 
 
 def default_path(video: str, kind: str, folder: str | None = None) -> str:

@@ -68,7 +68,7 @@ def test_artifacts_and_manifests(tmp_path):
     out.write_text("changed")
     assert not documents.reusable(m, "csv", str(out), request)
     assert documents.fnv64(b"") == "cbf29ce484222325" and documents.fnv64(b"a") == "af63dc4c8601ec8c"
-    assert documents.default_path("x/clip.mp4", "stats") == "x/clip.scenedetect.json" and documents.same_review({"bytes": 1}, {"bytes": 1})
+    assert documents.default_path("x/clip.mp4", "stats") == "x/clip.framecut.json" and documents.same_review({"bytes": 1}, {"bytes": 1})
 
 
 def test_command_line(spark, tmp_path, capsys):
