@@ -10,9 +10,9 @@ The plan never lists the pairs of a group:
 2. In each band bucket the member that shares most buckets is the hub; members are paired with
    hubs only, filtered by odd sketch, and confirmed on full sets.  The links join components.
 3. A bucket that still holds several components may hide a link between members that are not
-   hubs.  For these, the number of shingles that a set shares with any other set bounds every
-   intersection exactly; only pairs of different components that pass this bound and the sketch
-   are confirmed.  This is complete for every pair that shares a band.
+   hubs.  For these, the shingles that a set shares with any other set, and its measured overlap
+   with the hub, bound every intersection exactly; only pairs of different components that pass
+   these bounds and the sketch are confirmed.  This is complete for every pair that shares a band.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^ROWS)^BANDS = 3e-6.
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """node, set (sorted hashes as bytes) for the documents that are nodes."""
-    picked = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    picked = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def run(batches):
         hashes = WordHashes()
@@ -110,23 +110,23 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_co
             sets = [shingles(t, k, hashes).tobytes() for t in utf8(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return map_batches(picked, run, "node long, set binary").dropDuplicates(["node"])
+    return map_batches(picked, run, "node long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with common, the size of their sets' intersection, and linked: 100 * common >= percent * union."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches):
         for b in batches:
-            keep = []
+            common, linked = [], []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
 
-    return map_batches(joined, run, "a long, b long")
+    return map_batches(joined, run, "a long, b long, common long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -158,12 +158,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = cut(sig.where("n > 0").join(sets_of.select("node").distinct(), sig["doc"] == F.col("node"), "left_semi").dropDuplicates(["doc"]).select(F.col("doc").alias("node"), "n", "sketch", "bands"))
     ratio = F.lit(percent)
 
-    member = nodes.select("node", F.explode("bands").alias("key"))
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     live = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = cut(member.join(live, "key"))
     central = member.groupBy("node").agg(F.sum("c").alias("weight"))
     hub = member.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    sketches = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch")
+    sketches = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "bands")
     to_hub = member.join(hub, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = (
         to_hub.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -176,26 +176,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # Buckets that may hold links between members other than hubs need the sets of all their members.
     sets = cut(shingle_sets(docs, member.select("node").distinct(), k, id_col, text_col))
-    links = cut(confirmed(pairs, sets, percent))
+    measured = cut(overlaps(pairs, sets, percent))
+    links = measured.where("linked").select("a", "b")
     root = cut(components(links))
-    placed = member.select("node", "key").join(root, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    placed = member.select("node", "band", "key").join(root, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
     bounded = cut(shared_counts(sets, placed.select("node").distinct(), percent))
-    rest = placed.join(bounded, "node").join(sketches.select("node", "n", "sketch"), "node")
+    with_hub = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common")
+    rest = placed.join(bounded, "node").join(sketches, "node").join(hub, "key").join(with_hub, ["node", "hub"], "left")
+    rest = rest.withColumn("common", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("common"))).drop("hub")
     heads = hub.join(root.select(F.col("node").alias("hub"), F.col("root").alias("head")), "hub", "left").select("key", F.coalesce("head", "hub").alias("head"))
     minor = rest.join(heads, "key").where("root <> head")
     x, y = minor.alias("x"), rest.alias("y")
+    # An intersection has no more than each side shares with any set; and, with the overlaps of both with their
+    # hub known, no more than the smaller overlap and the smaller number of shared shingles beside the hub's.
+    beside = lambda t: F.col(f"{t}.shared") - F.col(f"{t}.common")
+    through = F.least(F.col("x.common"), F.col("y.common")) + F.least(beside("x"), beside("y"))
     most = F.least(F.col("x.shared"), F.col("y.shared"))
+    most = F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), F.least(most, through)).otherwise(most)
+    # A pair meets in each band that it shares; the first of them gives it.
+    first_band = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
     more = (
         x.join(
             y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((100 + ratio) * most >= ratio * (F.col("x.n") + F.col("y.n"))) & (100 * F.least(F.col("x.n"), F.col("y.n")) >= ratio * F.greatest(F.col("x.n"), F.col("y.n"))) & sketch_close("x.sketch", "y.sketch"),
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((100 + ratio) * most >= ratio * (F.col("x.n") + F.col("y.n"))) & (100 * F.least(F.col("x.n"), F.col("y.n")) >= ratio * F.greatest(F.col("x.n"), F.col("y.n"))) & sketch_close("x.sketch", "y.sketch") & first_band,
         )
         .select(F.greatest(F.col("x.node"), F.col("y.node")).alias("a"), F.least(F.col("x.node"), F.col("y.node")).alias("b"))
         .distinct()
     )
-    links = links.union(confirmed(cut(more), sets, percent))
+    links = links.union(overlaps(cut(more), sets, percent).where("linked").select("a", "b"))
     root = cut(components(links))
 
     of_set = sets_of.join(root, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("component"))
