@@ -1,16 +1,19 @@
 """Substring dedup: every word inside a passage of ``window`` words that starts anywhere else goes.
 
 ``repeated_words`` handles a corpus against itself, ``remove_known`` a corpus against a bounded
-reference by broadcast suffix automata.  See the README for why the corpus itself is matched by
-fingerprints: an automaton over all words can be neither broadcast nor built within the limits.
-
-Plan of ``repeated_words``; rows are distinct texts, keyed by two 64-bit hashes of the text:
+reference by broadcast suffix automata.  Plan of ``repeated_words``; texts are keyed by two
+64-bit hashes:
 
 1. One pass picks anchors: the smallest hash of 8-word grams in each window.  Equal windows pick
    equal anchors, so a window can only repeat if its anchor does.  Anchors are about 7% of words.
-2. Anchors are counted with map-side combine.  Texts with a repeated anchor are read once more
-   and give the 64-bit fingerprints of the windows around such anchors.
-3. Fingerprints are counted likewise; repeated ones come back to their texts as word spans.
+2. Anchors are counted with map-side combine.  The passages around the most frequent ones, each
+   from one text, are the reference: at most HOT_ANCHORS of them, so its automaton's size is bounded.
+3. Texts with a repeated anchor are read once more.  Matching statistics against the reference
+   find the windows of frequent passages: these stand in the reference's text too, so they go, and
+   each task reports each of them once.  The other windows around repeated anchors give 64-bit
+   fingerprints, which are counted with map-side combine; repeated ones come back to their texts.
+   An automaton over all repeated passages could neither be broadcast nor built within the limits
+   (see the README), so fingerprints are the exact way for what is beyond the reference.
 
 A text that occurs more than once is removed wholly (if it has a window) and stands in steps
 1-3 once.  No group of equal keys meets in one task: all groups are counts and minima.
@@ -22,6 +25,7 @@ nothing; repeated rows count as occurrences of each other; extra columns are ign
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ from .common import WordHashes, cut, gram_hashes, map_batches, text_keys, utf8
 
 WINDOW = 35
 GRAM = 8
+#: Texts from which an anchor counts as frequent, and the anchors whose passages (under 2 * window words each) form the reference.
+HOT_TEXTS, HOT_ANCHORS = 32, 2_000
 
 
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
     """id_col, n_words, n_removed, kept_sha256, spans (removed [start, end) words) for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), *text_keys(F.col(text_col)))
@@ -77,35 +83,51 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     texts = rows.where(F.col("n") >= window).groupBy(*key).agg(F.count("*").alias("copies"), F.min(id_col).alias("__first"), F.first("anchors").alias("anchors"))
     texts = cut(texts)
     seen = texts.select(*key, F.explode("anchors").alias("anchor"))
-    again = seen.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    hits = seen.join(again, "anchor", "left_semi").groupBy(*key).agg(F.collect_set("anchor").alias("hits"))
+    again = cut(seen.groupBy("anchor").agg(F.count("*").alias("c"), F.min(F.struct(*key)).alias("one")).where("c > 1"))
+    hot = again.where(F.col("c") >= hot_texts).orderBy(F.col("c").desc(), "anchor").limit(HOT_ANCHORS)
+    passages = frequent_passages(keyed, hot.select("one.*", "anchor"), window)
+    share, token = docs.sparkSession.sparkContext.broadcast(passages), uuid.uuid4().hex
+    hits = seen.join(again.select("anchor"), "anchor", "left_semi").groupBy(*key).agg(F.collect_set("anchor").alias("hits"))
     # Among the rows of one text any can stand for it; the smallest id does (all of its rows, should they repeat).
     hits = hits.join(texts.select(*key, "__first"), key).withColumnsRenamed({"__k1": "h1", "__k2": "h2"})
-    picked = keyed.join(hits, (F.col("__k1") == F.col("h1")) & (F.col("__k2") == F.col("h2")) & F.col(id_col).eqNullSafe(F.col("__first"))).select(*key, "text", "hits")
+    picked = keyed.join(hits, (F.col("__k1") == F.col("h1")) & (F.col("__k2") == F.col("h2")) & F.col(id_col).eqNullSafe(F.col("__first"))).select(*key, "text", "hits").dropDuplicates(key)
 
     def second(batches):
-        hashes = WordHashes()
+        hashes, reference, owners, frequent = WordHashes(), None, set(), set()
+        if share.value:
+            reference = automaton_of(token, share.value)
+            owners, frequent = {p[:2] for p in share.value}, {p[2] for p in share.value}
+        reported: set[int] = set()
         for b in batches:
-            starts, prints = [], []
-            for t, wanted in zip(utf8(b, "text"), b.column("hits").to_pylist(), strict=True):
-                h = hashes.of(t.split())
+            starts, prints, sure = [], [], []
+            for t, k1, k2, wanted in zip(utf8(b, "text"), *(b.column(c).to_pylist() for c in ("__k1", "__k2", "hits")), strict=True):
+                words = t.split()
+                h = hashes.of(words)
                 _, value = anchors(h, window)
                 at = np.flatnonzero(np.isin(value.view(np.int64), np.array(wanted, np.int64)))
-                starts.append(at.astype(np.int32))
-                prints.append(gram_hashes(h, window)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), b.column("text"), pa.array(starts, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64()))], ["__k1", "__k2", "text", "starts", "prints"])
-
-    windows = cut(map_batches(picked, second, "__k1 long, __k2 long, text string, starts array<int>, prints array<long>").dropDuplicates(key))
+                grams = gram_hashes(h, window).view(np.int64)
+                known = np.empty(0, np.int64)
+                if reference and (k1, k2) not in owners and not frequent.isdisjoint(wanted):
+                    known = np.flatnonzero(np.array(reference.matches(words)) >= window) - (window - 1)
+                    at = np.setdiff1d(at, known, assume_unique=True)
+                once = [g for g in dict.fromkeys(grams[known].tolist()) if g not in reported]
+                reported.update(once)
+                sure.append(known.astype(np.int32))
+                starts.append(np.r_[at, np.full(len(once), -1)].astype(np.int32))
+                prints.append(np.r_[grams[at], np.array(once, np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), b.column("text"), *(pa.array(x, pa.list_(t)) for x, t in ((starts, pa.int32()), (prints, pa.int64()), (sure, pa.int32())))], ["__k1", "__k2", "text", "starts", "prints", "sure"])
+
+    windows = cut(map_batches(picked, second, "__k1 long, __k2 long, text string, starts array<int>, prints array<long>, sure array<int>"))
     each = windows.select(*key, F.explode(F.arrays_zip("starts", "prints")).alias("w")).select(*key, F.col("w.starts").alias("start"), F.col("w.prints").alias("print"))
     twice = each.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
-    starts = each.join(twice, "print", "left_semi").groupBy(*key).agg(F.collect_list("start").alias("found"))
+    starts = each.where("start >= 0").join(twice, "print", "left_semi").groupBy(*key).agg(F.collect_list("start").alias("found"))
 
     def third(batches):
         for b in batches:
             spans, removed, sha = [], [], []
-            for t, found in zip(utf8(b, "text"), b.column("found").to_pylist(), strict=True):
+            for t, found, sure in zip(utf8(b, "text"), b.column("found").to_pylist(), b.column("sure").to_pylist(), strict=True):
                 words = t.split()
-                spans.append(joined_spans(sorted(set(found)), window))
+                spans.append(joined_spans(sorted({*(found or ()), *sure}), window))
                 kept, at = [], 0
                 for a, e in spans[-1]:
                     kept += words[at:a]
@@ -116,7 +138,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             flat = [[x for s in p for x in s] for p in spans]
             yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(flat, pa.list_(pa.int64()))], ["__k1", "__k2", "removed", "new_sha", "spans"])
 
-    changed = map_batches(windows.select(*key, "text").join(starts, key), third, "__k1 long, __k2 long, removed long, new_sha string, spans array<long>")
+    changed = map_batches(windows.select(*key, "text", "sure").join(starts, key, "left").where("found is not null or size(sure) > 0"), third, "__k1 long, __k2 long, removed long, new_sha string, spans array<long>")
     result = texts.select(*key, "copies").join(changed, key, "left").where("copies > 1 or removed > 0")
     copies = F.col("copies") > 1
     return rows.drop("anchors").join(result, key, "left").select(
@@ -128,6 +150,42 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     )
 
 
+def frequent_passages(keyed: DataFrame, hot: DataFrame, window: int) -> list[tuple[int, int, int, list[bytes]]]:
+    """(__k1, __k2, anchor, words) around the first occurrence of each anchor of hot in its text; as many as hot has."""
+    key = ["__k1", "__k2"]
+    few = hot.groupBy(*key).agg(F.collect_set("anchor").alias("wanted"))
+    texts = keyed.select(*key, "text").join(F.broadcast(few), key)
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            out = [[], [], [], []]
+            for t, k1, k2, wanted in zip(utf8(b, "text"), *(b.column(c).to_pylist() for c in (*key, "wanted")), strict=True):
+                words = t.split()
+                at, value = anchors(hashes.of(words), window)
+                value = value.view(np.int64)
+                for anchor in wanted:
+                    first = at[np.flatnonzero(value == anchor)[0]]
+                    here = np.flatnonzero((value == anchor) & (at == first))
+                    for column, x in zip(out, (k1, k2, anchor, b" ".join(words[here[0] : here[-1] + window])), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], [*key, "anchor", "words"])
+
+    found = map_batches(texts, run, "__k1 long, __k2 long, anchor long, words binary").dropDuplicates([*key, "anchor"])
+    return [(r[0], r[1], r[2], bytes(r[3]).split()) for r in found.collect()]
+
+
+_automata: dict[str, SuffixAutomaton] = {}
+
+
+def automaton_of(token: str, passages: list) -> SuffixAutomaton:
+    """The reference's automaton, built once in a worker."""
+    if token not in _automata:
+        _automata.clear()
+        _automata[token] = SuffixAutomaton([p[3] for p in passages])
+    return _automata[token]
+
+
 def joined_spans(starts: list[int], window: int) -> list[tuple[int, int]]:
     """The maximal spans that windows at these starts cover."""
     out: list[list[int]] = []
@@ -199,7 +257,7 @@ class SuffixAutomaton:
         return out
 
 
-#: Words behind one broadcast automaton (about 500 bytes each in a worker).
+#: Words behind one broadcast automaton (about 400 bytes each in a worker).
 SHARD_WORDS = 200_000
 
 

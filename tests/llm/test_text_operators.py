@@ -224,8 +224,10 @@ def test_substring_dedup(docs_of):
     shared = long_text(77, 60).split()
     once = long_text(78, 40)
     rows = [*ODD, (10, long_text(1, 50) + " " + " ".join(shared) + " " + long_text(2, 50)), (11, " ".join(shared[10:50])), (12, once + " x " + once), (13, " ".join(shared[:34])), (14, long_text(5)), (15, long_text(5)), (16, long_text(5).replace(" ", "  ", 1)), (17, "the " * 120), (18, long_text(6, 3000) + " " + " ".join(shared[20:56]))]
-    got = rows_of(substrings.repeated_words(docs_of(rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == sorted(brute.substrings(rows), key=repr)
+    rows += [(100 + k, f"{long_text(200 + k, 20)} {' '.join(shared[k : k + 50])} {long_text(300 + k, 20)}") for k in range(10)]
+    for hot in (substrings.HOT_TEXTS, 2):  # without and with a reference of frequent passages
+        got = rows_of(substrings.repeated_words(docs_of(rows), hot_texts=hot), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == sorted(brute.substrings(rows), key=repr)
     assert substrings.repeated_words(docs_of([])).count() == 0
 
 
