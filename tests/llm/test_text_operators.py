@@ -209,6 +209,24 @@ def test_wrapper_is_induced_without_article(spark):
     assert got == {k: f"Head {k}\n{long_text(k, 30 + k)}" for k in range(60)}
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 5, 60])
+def test_wrapper_keeps_what_stands_beside_the_body(spark, n):
+    words = lambda k: long_text(k, 60)
+    article = lambda k: f"<article><h1>Title {k}</h1><p>Lead {k}</p><div class='body'><p>{words(k)}</p></div></article>"
+    sections = lambda k: f"<article><h2>First {k}</h2><section><p>{words(k)}</p></section><h2>Second {k}</h2><section><p>{k} end</p></section></article>"
+    got = extracted(spark, [page("d.example", k, article(k)) for k in range(n)] + [page("e.example", 100 + k, sections(k)) for k in range(n)])
+    assert got == {k: f"Title {k}\nLead {k}\n{words(k)}" for k in range(n)} | {100 + k: f"First {k}\n{words(k)}\nSecond {k}\n{k} end" for k in range(n)}
+
+
+def test_wrapper_without_article_holds_all_that_varies(spark):
+    rows = [page("f.example", k, f"<div class='top'>Welcome</div><div class='head'><h1>Title {k}</h1></div><div class='text'><p>{long_text(k, 90)}</p></div>") for k in range(20)]
+    assert extracted(spark, rows) == {k: f"Title {k}\n{long_text(k, 90)}" for k in range(20)}
+
+
 def test_simple_tree_matching():
     leaf = lambda key, h=0: [key, h, 1, []]
     a = ["body", 1, 9, [leaf("h1"), leaf("p"), leaf("div.x"), leaf("p")]]
