@@ -227,6 +227,18 @@ def test_wrapper_without_article_holds_all_that_varies(spark):
     assert extracted(spark, rows) == {k: f"Title {k}\n{long_text(k, 90)}" for k in range(20)}
 
 
+def test_template_is_dropped_only_where_its_text_stands(spark):
+    box = lambda k: "Corrected on page 7" if k == 7 else "All the same words"
+    rows = [page("g.example", k, f"<article><h1>Head {k}</h1><div class='box'>{box(k)}</div><p>{long_text(k, 40)}</p></article>") for k in range(40)]
+    assert extracted(spark, rows) == {k: f"Head {k}\n" + (box(k) + "\n" if k == 7 else "") + long_text(k, 40) for k in range(40)}
+
+
+def test_copies_of_one_page_make_no_template(spark):
+    body = lambda k: long_text(k if k < 6 else 6, 50)
+    rows = [page("h.example", k, f"<article><h1>One head</h1><div class='body'><p>{body(k)}</p></div></article>") for k in range(80)]
+    assert {k: t.split("\n")[-1] for k, t in extracted(spark, rows).items()} == {k: body(k) for k in range(80)}
+
+
 def test_simple_tree_matching():
     leaf = lambda key, h=0: [key, h, 1, []]
     a = ["body", 1, 9, [leaf("h1"), leaf("p"), leaf("div.x"), leaf("p")]]
