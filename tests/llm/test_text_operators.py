@@ -239,6 +239,15 @@ def test_copies_of_one_page_make_no_template(spark):
     assert {k: t.split("\n")[-1] for k, t in extracted(spark, rows).items()} == {k: body(k) for k in range(80)}
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>", "<div class='has-sidebar'>", "<div class='menu-open'>", "<form id='aspnetForm'>", "<div id='menu'>", "<form class='menu'>"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_named_like_noise_are_kept(wrap, inner):
+    body = f"{wrap}<{inner}><h2 id='related-work'>Work</h2><section id='notice-of-change'><p>{long_text(1, 30)}</p></section><div class='cookie-notice'>eat</div></{inner}></{wrap[1:5].strip()}>"
+    root = html.parse(page("i.example", 1, body)[2])
+    assert html.main_text(root, None, []) == "Work\n" + long_text(1, 30)
+    assert "section.notice-of-change" in str(html.skeleton([k for k in root.kids if isinstance(k, html.Node)]))
+
+
 def test_simple_tree_matching():
     leaf = lambda key, h=0: [key, h, 1, []]
     a = ["body", 1, 9, [leaf("h1"), leaf("p"), leaf("div.x"), leaf("p")]]
