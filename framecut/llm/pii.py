@@ -1,12 +1,13 @@
 """Personal data: format rules, and contexts learned from them that find unseen identifiers.
 
-In DataFrame functions only.  The format rules give the base spans, which are the seeds.  Tokens
-with a digit or @ are the instances, the two words before a token its pattern.  Patterns and
+In DataFrame functions only.  The format rules give the base spans, which are the seeds.  Base spans,
+other tokens with a digit or @, and runs of numbers with spaces or brackets inside are the
+instances, the two words before an instance its pattern.  Patterns and
 instances form a graph; each round scores a pattern for a kind by the mean score of its
 instances, and an unseen instance by its confident patterns (noisy or).  After ROUNDS rounds the
-confident patterns mark unseen tokens of a fitting form as ``context_<kind>`` spans.
+confident patterns mark unseen instances of a fitting form as ``context_<kind>`` spans.
 
-The graph's edges are aggregated before they meet: a pattern or token as common as a third of
+The graph's edges are aggregated before they meet: a pattern or instance as common as a third of
 all rows is one count.
 
 Defined results: a null or empty text has no span; failing matches are dropped without retries;
@@ -16,11 +17,13 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import SPAN, find_spans, ordered
+from .spans import SPAN, find_spans, ordered, outside
 
 # The base patterns, with possessive repeats where nothing that follows could need less.
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -31,8 +34,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone")
-#: An instance: a run of these characters with a digit or @.
+#: An unseen instance: a run of these characters with a digit or @.
 TOKEN = r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+:/-]*+[0-9@][A-Za-z0-9._%+@:/-]*+"
+#: Another: numbers with spaces, brackets, dots or dashes between, of RUN_DIGITS in all.
+RUN = r"(?<![A-Za-z0-9._%+@:/-])[+(]{0,2}+[0-9]++(?![A-Za-z_%@:/])(?:[\x20().-]{1,3}+[0-9]++(?![A-Za-z_%@:/]))++"
+RUN_DIGITS = (6, 19)
 ROUNDS = 3
 #: Seeds that a pattern needs, its least confidence, and the score from which an instance is found.
 MIN_SEEDS, CONFIDENT, FOUND = 5, 0.9, 0.9
@@ -52,17 +58,18 @@ def luhn(number: Column) -> Column:
 def base_spans(text: Column) -> Column:
     part = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
     size = lambda x: F.length(digits(x))
+    find = partial(find_spans, text, context=True, through=True)
     return F.concat(
-        find_spans(text, EMAIL, "email", 0),
-        find_spans(text, IP, "ip", 1, lambda x: x.rlike(rf"^{part}(?:\.{part}){{3}}$")),
-        find_spans(text, CARD, "card", 2, lambda x: F.when(size(x).between(14, 19), luhn(digits(x))).otherwise(False)),
-        find_spans(text, PHONE, "phone", 3, lambda x: size(x).between(10, 15)),
+        find(EMAIL, "email", 0),
+        find(IP, "ip", 1, lambda x: x.rlike(rf"^{part}(?:\.{part}){{3}}$")),
+        find(CARD, "card", 2, lambda x: F.when(size(x).between(14, 19), luhn(digits(x))).otherwise(False)),
+        find(PHONE, "phone", 3, lambda x: size(x).between(10, 15)),
     )
 
 
 def fits(txt: Column, kind: Column) -> Column:
-    """Whether a token has the form that a kind needs at least."""
-    return F.when(kind == "email", F.contains(txt, F.lit("@"))).otherwise(F.length(digits(txt)) >= 6)
+    """Whether an instance has the form that a kind needs at least."""
+    return F.when(kind == "email", F.contains(txt, F.lit("@"))).otherwise((F.length(digits(txt)) >= 6) & ((kind != "ip") | ~txt.rlike(r"[\x20()]")))
 
 
 def learn(tokens: DataFrame) -> DataFrame:
@@ -86,10 +93,13 @@ def learn(tokens: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base and spans (base and learned ones), sorted, for each row of docs.  One pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), base_spans(text).alias("base"), find_spans(text, TOKEN, "token", 9, lambda x: F.length(x) >= 6, context=True).alias("tokens")))
+    scanned = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), base_spans(text).alias("base"), find_spans(text, TOKEN, "token", 9, lambda x: F.length(x) >= 6, context=True, through=True).alias("tokens"), find_spans(text, RUN, "run", 9, lambda x: x.rlike(r"[\x20()]") & F.length(digits(x)).between(*RUN_DIGITS), context=True, through=True).alias("runs")))
     words = F.regexp_extract(F.lower(F.regexp_replace("t.left", "[0-9]", "0")), r"(\S+\s+\S+)\s+[^\s\w]*$", 1)
     overlapping = F.filter("base", lambda b: (F.col("t.start") < b["end"]) & (b["start"] < F.col("t.end")))
-    tokens = scanned.select("__row", "base", F.explode("tokens").alias("t")).select("__row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.txt").alias("txt"), F.regexp_replace(words, r"\s+", " ").alias("pattern"), F.get(overlapping, F.lit(0))["kind"].alias("kind"))
+    # A token that starts in a base span is that span's part; one that starts before is seen with its kind.
+    others = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["start"] < b["end"])))
+    instances = F.concat(F.col("base"), others, outside(F.col("runs"), F.col("base")))
+    tokens = scanned.select("__row", "base", F.explode(instances).alias("t")).select("__row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.txt").alias("txt"), F.regexp_replace(words, r"\s+", " ").alias("pattern"), F.when(F.col("t.kind").isin(*KINDS), F.col("t.kind")).otherwise(F.get(overlapping, F.lit(0))["kind"]).alias("kind"))
     tokens = cut(tokens)
     patterns = learn(tokens)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("k")).cast("int") + (len(KINDS) - 1)

@@ -9,24 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: left and right: up to CONTEXT characters beside the match, as far as the neighbouring matches.
+#: left and right: up to CONTEXT characters beside the match, as far as the neighbouring matches; left runs on through these if asked.
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,txt:string,left:string,right:string>>"
 CONTEXT = 64
 
 
-def find_spans(text: Column, regex: str, kind: str, rank: int, keep=None, context: bool = False) -> Column:
+def find_spans(text: Column, regex: str, kind: str, rank: int, keep=None, context: bool = False, through: bool = False) -> Column:
     """Leftmost non-overlapping matches of regex in text, those for which keep(txt) holds."""
     bound = F.array(F.struct(F.split(text, regex, -1).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"), F.lit("").alias("before"))
 
     def walk(s):
         def step(a, x):
             piece = F.get(s["p"], a["i"])
             start = a["at"] + F.length(piece)
             left = F.right(piece, F.lit(CONTEXT)) if context else F.lit("")
+            if through:
+                left = F.right(F.concat(a["before"], F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
+            before = F.right(F.concat(left, F.right(x, F.lit(CONTEXT))), F.lit(CONTEXT)) if through else F.lit("")
             right = F.left(F.coalesce(F.get(s["p"], a["i"] + 1), F.lit("")), F.lit(CONTEXT)) if context else F.lit("")
             span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind).alias("kind"), x.alias("txt"), left.alias("left"), right.alias("right"))
-            return F.struct((start + F.length(x)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"))
+            return F.struct((start + F.length(x)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"), before.alias("before"))
 
         return F.aggregate(s["m"], zero, step, lambda a: a["out"])
 

@@ -105,6 +105,17 @@ def test_contexts_find_unseen_identifiers(docs_of):
     assert all(got[i].spans == got[i].base for i, _ in rows)
 
 
+def test_contexts_are_learned_from_spaced_numbers(docs_of):
+    card = lambda k: next(x for c in range(10) if (x := f"4111 1111 {1000 + k} 111{c}") and brute.personal(x))
+    rows = [(k, f"please call home number +1 (524) 555-{1000 + k} now") for k in range(40)] + [(k, f"paid with card {card(k)} today") for k in range(100, 140)]
+    rows += [(800, "please call home number +1 (524) 555-1000 or home number +1 (524) 555-1001 now")]
+    unseen = [(900, "please call home number (524) 555 1234 now"), (901, "paid with card 4111 1111 1111 1112 today"), (902, "my home number 017 555-7713 and home number 017 555-7714"), (903, "in the years 1999 2000 2001 all was well")]
+    got = by_id(pii.personal_data(docs_of([*rows, *unseen])))
+    found = {i: [(x.kind, dict(unseen)[i][x.start : x.end]) for x in got[i].spans] for i, _ in unseen}
+    assert found == {900: [("context_phone", "(524) 555 1234")], 901: [("context_card", "4111 1111 1111 1112")], 902: [("context_phone", "017 555-7713"), ("context_phone", "017 555-7714")], 903: []}
+    assert all(got[i].spans == got[i].base for i, _ in rows)
+
+
 @pytest.mark.parametrize("operator", [secrets.secret_scan, pii.personal_data])
 def test_spans_of_an_empty_table(docs_of, operator):
     assert operator(docs_of([])).count() == 0
