@@ -101,12 +101,13 @@ def select_cases(cases: DataFrame, ids: list[str] | None = None, detectors: list
     return cases.where("enabled")
 
 
-def parity(expected: DataFrame, actual: DataFrame, tolerance: int = 0) -> DataFrame:
-    """Scenes (scene, start, end) that differ by more than tolerance or stand on one side only."""
+def parity(expected: DataFrame, actual: DataFrame, tolerance: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Scenes (keys, scene, start, end) that differ by more than tolerance or stand on one side only; keys such as video_id."""
     e, a = expected.alias("e"), actual.alias("a")
-    both = e.join(a, F.col("e.scene") == F.col("a.scene"), "full")
+    names = (*keys, "scene")
+    both = e.join(a, [F.col(f"e.{c}") == F.col(f"a.{c}") for c in names], "full")
     off = lambda c: F.abs(F.col(f"e.{c}") - F.col(f"a.{c}"))
-    rows = both.select(F.coalesce("e.scene", "a.scene").alias("scene"), off("start").alias("start_delta"), off("end").alias("end_delta"))
+    rows = both.select(*(F.coalesce(f"e.{c}", f"a.{c}").alias(c) for c in names), off("start").alias("start_delta"), off("end").alias("end_delta"))
     return rows.where(F.col("start_delta").isNull() | (F.col("start_delta") > tolerance) | (F.col("end_delta") > tolerance))
 
 

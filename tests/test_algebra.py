@@ -137,6 +137,12 @@ def test_parity(spark):
     assert rows(quality.parity(s([(1, 0, 5), (2, 5, 9)]), s([(1, 0, 6), (2, 6, 9), (3, 9, 12)]), 1), "scene") == [(3, None, None)]
 
 
+def test_parity_of_many_videos(spark):
+    s = lambda r: spark.createDataFrame(r, "video_id long, scene int, start long, end long")
+    got = quality.parity(s([(1, 1, 0, 5), (2, 1, 0, 9)]), s([(1, 1, 0, 5), (2, 1, 0, 12), (3, 1, 0, 4)]), 1, ("video_id",))
+    assert rows(got, "video_id", "scene") == [(2, 1, 0, 3), (3, 1, None, None)]
+
+
 def test_scene_hashes(spark):
     s = spark.createDataFrame([(0, 1, 0, 4), (0, 2, 4, 6)], "video_id long, scene_number int, start long, end long")
     h = [0b1100, 0b1010, -1, 0b1000, -8, 7]
