@@ -245,9 +245,9 @@ def test_template_is_dropped_only_where_its_text_stands(spark):
 
 
 def test_copies_of_one_page_make_no_template(spark):
-    body = lambda k: long_text(k if k < 6 else 6, 50)
-    rows = [page("h.example", k, f"<article><h1>One head</h1><div class='body'><p>{body(k)}</p></div></article>") for k in range(80)]
-    assert {k: t.split("\n")[-1] for k, t in extracted(spark, rows).items()} == {k: body(k) for k in range(80)}
+    half = lambda k, at: long_text(2 * min(k, 4) + at, 50)
+    rows = [page("h.example", k, f"<article><h1>One head</h1><div class='a'><p>{half(k, 0)}</p></div><div class='b'><p>{half(k, 1)}</p></div></article>") for k in range(160)]
+    assert extracted(spark, rows) == {k: f"One head\n{half(k, 0)}\n{half(k, 1)}" for k in range(160)}
 
 
 @pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>", "<div class='has-sidebar'>", "<div class='menu-open'>", "<form id='aspnetForm'>", "<div id='menu'>", "<form class='menu'>"])
