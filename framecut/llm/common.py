@@ -91,3 +91,16 @@ def text_keys(text) -> list:
     """Two 64-bit keys that stand for a whole text (null like empty)."""
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(7), text).alias("__k2")]
+
+
+#: Keys that heavy_join broadcasts: every other key then has less than one part in HEAVY of the counted rows.
+HEAVY = 1000
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """rows left-joined with table (one row a key; not null), whose count_col says how many rows a key has.
+
+    The rows of the HEAVY most frequent keys meet a broadcast of HEAVY rows where they are, so no key gathers in one task.
+    """
+    heavy = cut(table.orderBy(F.col(count_col).desc(), *keys).limit(HEAVY))
+    return rows.join(F.broadcast(heavy), keys).drop(count_col).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table, keys, "left").drop(count_col))

@@ -4,21 +4,26 @@ A document's set holds its distinct word shingles as 64-bit hashes.  Each set ge
 MinHash values; ROWS of them make a band key, and all of them fold into an odd sketch (a parity
 bitmap whose XOR population count estimates the symmetric difference of two sets).
 
-The plan never lists the pairs of a group:
+The plan never lists the pairs of a group, and carries numbers only until texts are needed:
 
-1. Equal sets collapse to one representative, so exact copies cost nothing later.
+1. Equal sets (128-bit fingerprint) collapse to one node, so exact copies cost nothing later.
 2. In each band bucket the member that shares most buckets is the hub; members are paired with
    hubs only, filtered by odd sketch, and confirmed on full sets.  The links join components.
-3. A bucket that still holds several components may hide a link between members that are not
-   hubs.  For these, the shingles that a set shares with any other set, and its measured overlap
-   with the hub, bound every intersection exactly; only pairs of different components that pass
-   these bounds and the sketch are confirmed.  This is complete for every pair that shares a band.
+3. A bucket of three or more that still holds several components may hide a link between members
+   that are not hubs.  For these, the shingles that a set shares with any other set, and its
+   measured overlap with the hub, bound every intersection exactly; only pairs of different
+   components that pass these bounds and the sketch are confirmed.  This is complete for every
+   pair that shares a band.  A hub's buckets are taken together and dealt over tasks by a salt.
 
+Texts are read again only for the nodes of pairs and of buckets of three or more.
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^ROWS)^BANDS = 3e-6.
 
-Defined results: null or empty texts have no shingle and link with nothing; fewer words than a
-shingle make one shingle; rows with the same id are one document; a null id forms its own
-unlinked row (component null, kept); extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text has no shingle and links with nothing; fewer words than a
+shingle make one shingle; a text of any length is one set, read whole; every row is judged by its
+own text, so rows that share an id but not a text may get different components, and rows with equal
+text (repeated ones too) get the same; a null id forms its own unlinked row (component null, kept);
+among equally good hubs the one of the earliest row is taken, which changes no result; extra columns,
+of whatever name, are ignored; an empty table gives no rows; ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, gram_hashes, map_batches, mix, utf8
+from .common import WordHashes, cut, gram_hashes, heavy_join, map_batches, mix, text_keys, utf8
 
-ROWS, BANDS = 6, 42
-PERMUTATIONS = 256
-SKETCH_WORDS = 16
-#: XOR bits over which a pair is given up: at similarity 0.8, 92 of 1024 are expected, with a deviation of 12.
-SKETCH_CUT = 152
+ROWS, BANDS = 5, 32
+PERMUTATIONS = ROWS * BANDS
+SKETCH_WORDS = 10
+#: XOR bits over which a pair is given up: at similarity 0.8, 58 of 640 are expected, with a deviation of 9.
+SKETCH_CUT = 104
+#: Members of a hub's buckets, at most about, that meet the others of these in one task.
+SALTED = 512
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -74,63 +81,63 @@ def odd_sketch(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (set size), f1, f2 (fingerprint of the set), bands, sketch."""
+    """doc, k1, k2 (of the text), row (a number of its own), n (set size), f1, f2 (fingerprint of the set), bands, sketch.
+
+    Bands and sketch are null where the task met an equal set before.
+    """
     kinds = [("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    kept = ["doc", "__k1", "__k2", "row"]
 
     def run(batches):
         hashes = WordHashes()
-        last: dict[bytes, tuple] = {}
+        met: set[bytes] = set()
         for b in batches:
-            last.clear()
             rows = []
-            for t in utf8(b, text_col):
+            for t in utf8(b, "text"):
                 s = shingles(t, k, hashes)
                 if not len(s):
-                    rows.append((0, 0, 0, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 print_ = xxhash.xxh3_128_digest(s.tobytes())
-                if print_ not in last:  # a copy within the batch
-                    sig = minhash(s)
-                    f1, f2 = np.frombuffer(print_, np.int64)
-                    last[print_] = (len(s), f1, f2, band_keys(sig), odd_sketch(sig))
-                rows.append(last[print_])
+                f1, f2 = np.frombuffer(print_, np.int64)
+                sig = None if print_ in met else minhash(s)
+                met.add(print_)
+                rows.append((len(s), f1, f2, None, None) if sig is None else (len(s), f1, f2, band_keys(sig), odd_sketch(sig)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), *(pa.array(list(c), t) for c, (_, t) in zip(cols, kinds, strict=True))], ["doc", *(x for x, _ in kinds)])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), run, "doc long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
-
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(list(c), t) for c, (_, t) in zip(cols, kinds, strict=True))], [*kept, *(x for x, _ in kinds)])
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """node, set (sorted hashes as bytes) for the documents that are nodes."""
-    picked = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    keyed = keyed_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(keyed, run, f"doc {kind}, __k1 long, __k2 long, row long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
-    def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingles(t, k, hashes).tobytes() for t in utf8(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return map_batches(picked, run, "node long, set binary")
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, text and the two keys of the text."""
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *text_keys(F.col(text_col)))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def overlaps(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with common, the size of their sets' intersection, and linked: 100 * common >= percent * union."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    joined = pairs.join(texts_b.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts_a.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        for b in batches:
+        hashes = WordHashes()
+        for batch in batches:
             common, linked = [], []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            last, y = None, None
+            for b, t, u in zip(batch.column("b").to_pylist(), utf8(batch, "text_a"), utf8(batch, "text_b"), strict=True):
+                x = shingles(t, k, hashes)
+                if b != last:
+                    last, y = b, shingles(u, k, hashes)
                 common.append(len(np.intersect1d(x, y, assume_unique=True)))
                 linked.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
 
     return map_batches(joined, run, "a long, b long, common long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for the nodes of links (a, b); alternating large and small stars."""
+    """node, root (the smallest node reachable) for the nodes of links (a, b) but the roots; alternating large and small stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:
@@ -153,93 +160,106 @@ def sketch_close(a: str, b: str):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs."""
+    return judged(docs, k, percent, id_col, text_col).select(F.col("doc").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, __k1, __k2, n_shingles, component_id, kept for each row of docs."""
     sig = cut(signatures(docs, k, id_col, text_col))
-    sets_of = sig.where("n > 0 and doc is not null").groupBy("f1", "f2").agg(F.min("doc").alias("node"))
-    nodes = cut(sig.where("n > 0").join(sets_of.select("node").distinct(), sig["doc"] == F.col("node"), "left_semi").dropDuplicates(["doc"]).select(F.col("doc").alias("node"), "n", "sketch", "bands"))
+    usable = sig.where("n > 0 and doc is not null")
+    sets_of = cut(usable.groupBy("f1", "f2").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("node"), F.min("doc").alias("first"), F.count("*").alias("copies")))
+    root = linked_nodes(docs, usable, sets_of, k, percent, id_col, text_col)
+
+    # The name of a component is its smallest id; a set that links with no other is its own component.
+    placed = sets_of.join(root.union(root.select("root", "root").distinct()), "node")
+    named = placed.groupBy("root").agg(F.min("first").alias("least"))
+    component = sets_of.select("f1", "f2", "node", "first", "copies").join(placed.select("node", "root").join(named, "root").select("node", "least"), "node", "left").select("f1", "f2", "copies", F.coalesce("least", "first").alias("component"))
+    rows = sig.select("doc", "__k1", "__k2", "n", "f1", "f2")
+    alone = "n = 0 or doc is null"
+    out = heavy_join(rows.where(f"not ({alone})"), cut(component), ["f1", "f2"], "copies").unionByName(rows.where(alone).withColumn("component", F.col("doc")))
+    kept = F.coalesce(F.col("doc") == F.col("component"), F.lit(True))
+    return out.select("doc", "__k1", "__k2", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def linked_nodes(docs: DataFrame, usable: DataFrame, sets_of: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """node, root for the sets that link with another, but the roots."""
     ratio = F.lit(percent)
-
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    live = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = cut(member.join(live, "key"))
+    banded = usable.where("bands is not null").select(F.col("row").alias("node"), F.explode("bands").alias("key"))
+    live = cut(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    # Several tasks may have met a set: only its node stays.
+    met = cut(banded.join(live, "key", "left_semi").join(sets_of.select("node"), "node", "left_semi"))
+    member = cut(met.join(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"))
     central = member.groupBy("node").agg(F.sum("c").alias("weight"))
-    hub = member.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    sketches = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "bands")
+    hub = cut(member.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h"), F.count("*").alias("c")).select("key", (-F.col("h.minus")).alias("hub"), "c"))
+    sketches = cut(usable.select(F.col("row").alias("node"), "doc", "__k1", "__k2", "n", "sketch").join(central.select("node"), "node", "left_semi"))
     to_hub = member.join(hub, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = (
-        to_hub.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .where(100 * F.least("na", "nb") >= ratio * F.greatest("na", "nb"))
-        .where(sketch_close("sa", "sb"))
-        .select("a", "b")
-    )
-    pairs = cut(pairs)
-
-    # Buckets that may hold links between members other than hubs need the sets of all their members.
-    sets = cut(shingle_sets(docs, member.select("node").distinct(), k, id_col, text_col))
-    measured = cut(overlaps(pairs, sets, percent))
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    pairs = to_hub.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= ratio * F.greatest("na", "nb"))
+    pairs = cut(pairs.where(sketch_close("sa", "sb")).select("a", "b"))
+
+    # Buckets of three or more may hold links between members other than hubs, and need the sets of all their members.
+    # Those of one hub are taken together, so that a pair meets once for each hub that it shares.
+    crowd = cut(member.where("c > 2").join(hub.select("key", "hub"), "key").select("node", "hub").distinct())
+    wanted = pairs.select(F.col("a").alias("node"), F.lit(False).alias("hub")).union(pairs.select("b", F.lit(True))).union(crowd.select("node", F.lit(False))).groupBy("node").agg(F.max("hub").alias("hub"))
+    texts = cut(texts_of(docs, wanted.join(sketches.select("node", "doc", "__k1", "__k2"), "node"), id_col, text_col))
+    measured = cut(overlaps(pairs, texts, texts.where("hub"), k, percent))
     links = measured.where("linked").select("a", "b")
     root = cut(components(links))
-    placed = member.select("node", "band", "key").join(root, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
-    bounded = cut(shared_counts(sets, placed.select("node").distinct(), percent))
+
+    placed = crowd.join(root, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("hub", F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
+    placed = cut(placed.join(mixed, "hub"))
+    bounded = cut(shared_counts(texts, cut(placed.select("node").distinct().join(sketches.select("node", "n", "sketch"), "node")), k, percent))
     with_hub = measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common")
-    rest = placed.join(bounded, "node").join(sketches, "node").join(hub, "key").join(with_hub, ["node", "hub"], "left")
-    rest = rest.withColumn("common", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("common"))).drop("hub")
-    heads = hub.join(root.select(F.col("node").alias("hub"), F.col("root").alias("head")), "hub", "left").select("key", F.coalesce("head", "hub").alias("head"))
-    minor = rest.join(heads, "key").where("root <> head")
-    x, y = minor.alias("x"), rest.alias("y")
+    rest = placed.join(bounded, "node").where("node <> hub").join(with_hub, ["node", "hub"], "left")
+    rest = cut(rest.join(root.select(F.col("node").alias("hub"), F.col("root").alias("head")), "hub", "left").withColumn("head", F.coalesce("head", "hub")))
+    x = rest.where("root <> head").withColumn("salt", F.pmod(F.hash("node"), "salts")).alias("x")
+    y = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     # An intersection has no more than each side shares with any set; and, with the overlaps of both with their
     # hub known, no more than the smaller overlap and the smaller number of shared shingles beside the hub's.
     beside = lambda t: F.col(f"{t}.shared") - F.col(f"{t}.common")
     through = F.least(F.col("x.common"), F.col("y.common")) + F.least(beside("x"), beside("y"))
     most = F.least(F.col("x.shared"), F.col("y.shared"))
     most = F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), F.least(most, through)).otherwise(most)
-    # A pair meets in each band that it shares; the first of them gives it.
-    first_band = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
-    more = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((100 + ratio) * most >= ratio * (F.col("x.n") + F.col("y.n"))) & (100 * F.least(F.col("x.n"), F.col("y.n")) >= ratio * F.greatest(F.col("x.n"), F.col("y.n"))) & sketch_close("x.sketch", "y.sketch") & first_band,
-        )
-        .select(F.greatest(F.col("x.node"), F.col("y.node")).alias("a"), F.least(F.col("x.node"), F.col("y.node")).alias("b"))
-        .distinct()
-    )
-    links = links.union(overlaps(cut(more), sets, percent).where("linked").select("a", "b"))
-    root = cut(components(links))
+    together = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root"))
+    able = ((100 + ratio) * most >= ratio * (F.col("x.n") + F.col("y.n"))) & (100 * F.least(F.col("x.n"), F.col("y.n")) >= ratio * F.greatest(F.col("x.n"), F.col("y.n")))
+    more = cut(x.join(y, together & able & sketch_close("x.sketch", "y.sketch")).select(F.greatest(F.col("x.node"), F.col("y.node")).alias("a"), F.least(F.col("x.node"), F.col("y.node")).alias("b")).distinct())
+    if more.isEmpty():
+        return root
+    return components(links.union(overlaps(more, texts, texts, k, percent).where("linked").select("a", "b")))
 
-    of_set = sets_of.join(root, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("component"))
-    kind = docs.schema[id_col].dataType
-    # A null id takes no part; rows of one id are one document and share the smallest component.
-    out = sig.join(of_set, ["f1", "f2"], "left").select(
-        F.col("doc").cast(kind).alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc")).cast(kind).alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
+def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, hub, text of the nodes (with the id and keys of their row)."""
+    key = ["doc", "__k1", "__k2"]
+    # Nodes grow with the corpus, so this is a shuffle join at every size: a small run then costs what a large one does.
+    return keyed_texts(docs, id_col, text_col).join(nodes.hint("merge"), key).dropDuplicates(key).select("node", "hub", "text")
 
-def shared_counts(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, shared: how many shingles of its set stand in another set too, for the nodes where this leaves a link possible.
+
+def shared_counts(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The nodes (node, n, sketch) where a link is possible, with shared: how many shingles of its set stand in another set too.
 
     Partners of a node are members of the same buckets, so counting among such nodes bounds every intersection.
     """
-    kind = "node long, gram long"
 
     def run(batches):
+        hashes = WordHashes()
         for b in batches:
-            for node, s in zip(b.column("node").to_pylist(), b.column("set").to_pylist(), strict=True):
-                grams = np.frombuffer(s, np.int64)
+            for node, t in zip(b.column("node").to_pylist(), utf8(b, "text"), strict=True):
+                grams = shingles(t, k, hashes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(grams)], ["node", "gram"])
 
-    rows = map_batches(sets.join(nodes, "node", "left_semi"), run, kind)
-    # A gram with one owner isn't shared: what is left of each set's size counts the others.
-    single = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sized = sets.select("node", (F.length("set") / 8).cast("long").alias("size")).join(nodes, "node", "left_semi")
-    return sized.join(single, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"), "size").where(100 * F.col("shared") >= percent * F.col("size")).select("node", "shared")
+    rows = map_batches(texts.select("node", "text").join(nodes.select("node"), "node", "left_semi"), run, "node long, gram long")
+    # A gram with one owner isn't shared; the owners of the others aren't listed.
+    owners = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    single = owners.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    counted = nodes.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), "n", "sketch")
+    return counted.where(100 * F.col("shared") >= percent * F.col("n"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs whose id is the smallest of their component, with all their columns."""
+    key = ["doc", "__k1", "__k2"]
+    gone = cut(judged(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(*key).distinct())
+    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc"), *text_keys(F.col(text_col)))
+    return whole.join(gone, key, "left_anti").select("whole.*")
