@@ -13,8 +13,10 @@ The last residual of a source is taken in part (that many words), which meets th
 within one word; every other document is taken 0, 1 or 2 times.
 
 Defined results: null text and text without words have size 0 and are taken 0 times; a null
-source is a source; rows with one id are separate rows; equal inputs give equal draws (hashes of
-id, text and SEED); an empty table gives no rows; extra columns are ignored.
+source is a source; rows with one id are separate rows, in whatever sources; rows equal in source, id
+and text share one draw; equal inputs give equal draws (hashes of id, text and SEED), and documents
+of equal order hash are paired by key; a text of any length counts whole; an empty table gives no
+rows; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -99,30 +101,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Equal rows (same id and text) are one unit of their joint size here, and share its draw below.
     fractional = placed.where((F.col("size") > 0) & (F.col("p") > EPSILON)).groupBy("__source", "__key").agg(F.sum("size").alias("size"), F.first("p").alias("p"), F.first("__n").alias("__n"))
     largest = goal.agg(F.max("__n")).first()[0] or 0
-    open_, decided, level = fractional.select(F.xxhash64(F.lit(3), "__source").alias("s"), F.col("__key").alias("key"), "size", "p", F.col("__n").alias("n")), [], 0
+    open_, decided, level = fractional.select(source_key("__source").alias("s"), F.col("__key").alias("key"), "size", "p", F.col("__n").alias("n")), [], 0
     while True:
         blocks = F.ceil(F.col("n") / block)
         level += 1
         dealt = open_.withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "key"), F.greatest(blocks, F.lit(1))))
         groups = dealt.groupBy("s", "bucket").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(level + 1000), "key").alias("order"), "key", "size", "p"))).alias("items"))
         folded = cut(groups.select("s", F.ceil(F.col("n") / block).alias("n"), F.expr(_FOLD).alias("f")))
-        decided.append(folded.select(F.explode("f.out").alias("x")).select("x.key", "x.p"))
+        decided.append(folded.select("s", F.explode("f.out").alias("x")).select("s", "x.key", "x.p"))
         open_ = folded.where("f.key is not null").select("s", "f.key", "f.size", "f.p", "n")
         largest = math.ceil(largest / block)
         if largest <= 1:
             break
-    decided.append(open_.select("key", "p"))
+    decided.append(open_.select("s", "key", "p"))
     chosen = decided[0]
     for d in decided[1:]:
         chosen = chosen.union(d)
     taken = F.col("whole") * F.col("size") + F.coalesce(F.round(F.col("draw") * F.col("size")), F.lit(0.0))
-    return placed.join(chosen.select(F.col("key").alias("__key"), F.col("p").alias("draw")), "__key", "left").select(F.col("__id").alias(id_col), "__source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__key"))
+    drawn = placed.withColumn("s", source_key("__source")).join(chosen.select("s", F.col("key").alias("__key"), F.col("p").alias("draw")), ["s", "__key"], "left")
+    return drawn.select(F.col("__id").alias(id_col), "__source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__key"))
+
+
+def source_key(source):
+    """A number of a source, null included."""
+    return F.xxhash64(F.lit(3), source)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, with size, source_size, target and taken (columns of those names are replaced)."""
     new = ["size", "source_size", "target", "taken"]
-    found = mix(docs, id_col, text_col, source_col).select("__key", *(F.col(c).alias(f"__{c}") for c in new)).where("__taken > 0").dropDuplicates(["__key"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
-    kept = [F.col(c) for c in docs.columns if c not in new]
-    return keyed.join(found, "__key").select(*kept, *(F.col(f"__{c}").alias(c) for c in new))
+    found = mix(docs, id_col, text_col, source_col).where("taken > 0").select(source_key("__source").alias("s"), F.col("__key").alias("key"), *new).dropDuplicates(["s", "key"])
+    kept = [c for c in docs.columns if c not in new]
+    keyed = docs.select(F.struct(*kept).alias("row"), source_key(source_col).alias("s"), F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("key"))
+    return keyed.join(found, ["s", "key"]).select(*(F.col("row").getField(c).alias(c) for c in kept), *new)
