@@ -10,9 +10,10 @@ confident patterns mark unseen instances of a fitting form as ``context_<kind>``
 The graph's edges are aggregated before they meet: a pattern or instance as common as a third of
 all rows is one count.
 
-Defined results: a null or empty text has no span; failing matches are dropped without retries;
-repeated rows give repeated results but count as one instance; without seeds nothing is learned;
-extra columns are ignored.
+Defined results: a null or empty text has no span; a text of any length is read whole, in time that
+grows with it; failing matches are dropped without retries; repeated rows give repeated results but
+count as one instance; an instance that fits several kinds gets a span of each, ordered by kind;
+without seeds nothing is learned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import SPAN, find_spans, ordered, outside
+from .spans import SPAN, bound, find_spans, in_blocks, ordered, outside, overlapping
 
 # The base patterns, with possessive repeats where nothing that follows could need less.
 _LOCAL = r"A-Za-z0-9._%+-"
@@ -58,12 +59,12 @@ def luhn(number: Column) -> Column:
 def base_spans(text: Column) -> Column:
     part = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
     size = lambda x: F.length(digits(x))
-    find = partial(find_spans, text, context=True, through=True)
+    find = partial(find_spans, text, context=True)
     return F.concat(
-        find(EMAIL, "email", 0),
-        find(IP, "ip", 1, lambda x: x.rlike(rf"^{part}(?:\.{part}){{3}}$")),
-        find(CARD, "card", 2, lambda x: F.when(size(x).between(14, 19), luhn(digits(x))).otherwise(False)),
-        find(PHONE, "phone", 3, lambda x: size(x).between(10, 15)),
+        find(EMAIL, "email", 0, needs=F.contains(text, F.lit("@"))),
+        find(IP, "ip", 1, lambda x: x.rlike(rf"^{part}(?:\.{part}){{3}}$"), needs=text.rlike(r"[0-9]\.[0-9]")),
+        find(CARD, "card", 2, lambda x: F.when(size(x).between(14, 19), luhn(digits(x))).otherwise(False), needs=text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")),
+        find(PHONE, "phone", 3, lambda x: size(x).between(10, 15), needs=F.contains(text, F.lit("+"))),
     )
 
 
@@ -93,17 +94,22 @@ def learn(tokens: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base and spans (base and learned ones), sorted, for each row of docs.  One pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), base_spans(text).alias("base"), find_spans(text, TOKEN, "token", 9, lambda x: F.length(x) >= 6, context=True, through=True).alias("tokens"), find_spans(text, RUN, "run", 9, lambda x: x.rlike(r"[\x20()]") & F.length(digits(x)).between(*RUN_DIGITS), context=True, through=True).alias("runs")))
+    token = find_spans(text, TOKEN, "token", 9, lambda x: F.length(x) >= 6, context=True, needs=text.rlike("[0-9@]"))
+    run = find_spans(text, RUN, "run", 9, lambda x: x.rlike(r"[\x20()]") & F.length(digits(x)).between(*RUN_DIGITS), context=True, needs=text.rlike(r"[0-9][\x20().-]"))
+    scanned = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), base_spans(text).alias("base"), token.alias("tokens"), run.alias("runs")))
     words = F.regexp_extract(F.lower(F.regexp_replace("t.left", "[0-9]", "0")), r"(\S+\s+\S+)\s+[^\s\w]*$", 1)
-    overlapping = F.filter("base", lambda b: (F.col("t.start") < b["end"]) & (b["start"] < F.col("t.end")))
-    # A token that starts in a base span is that span's part; one that starts before is seen with its kind.
-    others = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["start"] < b["end"])))
-    instances = F.concat(F.col("base"), others, outside(F.col("runs"), F.col("base")))
-    tokens = scanned.select("__row", "base", F.explode(instances).alias("t")).select("__row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.txt").alias("txt"), F.regexp_replace(words, r"\s+", " ").alias("pattern"), F.when(F.col("t.kind").isin(*KINDS), F.col("t.kind")).otherwise(F.get(overlapping, F.lit(0))["kind"]).alias("kind"))
+
+    def instances(blocks):
+        # A token that starts in a base span is that span's part; one that starts before is seen with its kind.
+        others = F.filter("tokens", lambda t: ~F.exists(overlapping(t, blocks), lambda b: b["start"] <= t["start"]))
+        seen = F.transform(others, lambda t: t.withField("kind", F.coalesce(F.get(overlapping(t, blocks), F.lit(0))["kind"], t["kind"])))
+        return F.concat(F.col("base"), seen, outside(F.col("runs"), blocks))
+
+    tokens = scanned.select("__row", F.explode(bound(in_blocks(F.col("base")), instances)).alias("t")).select("__row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.txt").alias("txt"), F.regexp_replace(words, r"\s+", " ").alias("pattern"), F.when(F.col("t.kind").isin(*KINDS), F.col("t.kind")).alias("kind"))
     tokens = cut(tokens)
     patterns = learn(tokens)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("k")).cast("int") + (len(KINDS) - 1)
     hits = tokens.where("kind is null").join(patterns.withColumnRenamed("kind", "k"), "pattern").where(fits(F.col("txt"), F.col("k")) & (F.col("confidence") >= FOUND))
-    span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.concat(F.lit("context_"), "k").alias("kind"), "txt", F.lit("").alias("left"), F.lit("").alias("right"))
+    span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.concat(F.lit("context_"), "k").alias("kind"), "txt", F.lit("").alias("left"))
     found = hits.groupBy("__row").agg(F.collect_list(span).cast(SPAN).alias("found"))
     return scanned.join(found, "__row", "left").select(id_col, ordered(F.col("base")).alias("base"), ordered(F.col("base"), F.coalesce("found", F.array().cast(SPAN))).alias("spans"))

@@ -8,9 +8,10 @@ Both models are trained here from labelled samples: the values that the format r
 generated digests on one side, identifiers outside them on the other, at most ``sample`` of each
 (those of smallest hash, so reruns agree).  The model is a table of at most len(ALPHABET)^2 cells.
 
-Defined results: a null or empty text has no span; repeated rows give repeated results; without
+Defined results: a null or empty text has no span; a text of any length is read whole, in time that
+grows with it; repeated rows give repeated results; spans of one start are ordered by kind; without
 any labelled value the generated digests alone stand for secrets; without identifiers the ratio
-is that of smoothing alone; extra columns are ignored.
+is that of smoothing alone; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import SPAN, find_spans, ordered, outside
+from .spans import SPAN, bound, find_spans, in_blocks, ordered, outside
 
 # The base patterns.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,10 +45,11 @@ MEAN_RATIO, SUM_RATIO, SMOOTHING, BACK_OFF = 0.7, 20.0, 0.5, 8.0
 def base_spans(text: Column) -> Column:
     """Spans of the three format rules; an assign span's txt is the value."""
     value = lambda x: F.regexp_extract(x, ASSIGN, 2)
+    named = bound(F.lower(text), lambda t: F.contains(t, F.lit("pass")) | F.contains(t, F.lit("secret")) | F.contains(t, F.lit("token")) | F.contains(t, F.lit("api")))
     return F.concat(
-        find_spans(text, ASSIGN, "assign", 0, lambda x: F.length(value(x)) >= 6),
-        find_spans(text, ACCESS, "access", 1),
-        find_spans(text, HEX, "hex", 2),
+        find_spans(text, ASSIGN, "assign", 0, lambda x: F.length(value(x)) >= 6, needs=named),
+        find_spans(text, ACCESS, "access", 1, needs=F.contains(text, F.lit("AKIA"))),
+        find_spans(text, HEX, "hex", 2, needs=text.rlike(HEX)),
     )
 
 
@@ -107,11 +109,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(
             F.col(id_col),
             base_spans(text).alias("base"),
-            find_spans(text, TOKEN, "random", len(KINDS)).alias("tokens"),
+            find_spans(text, TOKEN, "random", len(KINDS), needs=text.rlike(TOKEN)).alias("tokens"),
             F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))), 1, PER_TEXT).alias("words"),
         )
     )
     model = train(scanned, sample)
     token_ratio = lambda x: ratio(x["txt"], model)
-    random = F.filter(outside(F.col("tokens"), F.col("base")), lambda x: token_ratio(x) >= F.greatest(F.lit(SUM_RATIO), MEAN_RATIO * (F.length(x["txt"]) - 1)))
-    return scanned.select(id_col, ordered(F.col("base")).alias("base"), ordered(F.col("base"), F.coalesce(random, F.array().cast(SPAN))).alias("spans"))
+    random = F.filter(bound(in_blocks(F.col("base")), lambda blocks: outside(F.col("tokens"), blocks)), lambda x: token_ratio(x) >= F.greatest(F.lit(SUM_RATIO), MEAN_RATIO * (F.length(x["txt"]) - 1)))
+    return scanned.select(id_col, "base", F.coalesce(random, F.array().cast(SPAN)).alias("random")).select(id_col, ordered(F.col("base")).alias("base"), ordered(F.col("base"), F.col("random")).alias("spans"))

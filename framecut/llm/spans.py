@@ -9,37 +9,77 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: left and right: up to CONTEXT characters beside the match, as far as the neighbouring matches; left runs on through these if asked.
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,txt:string,left:string,right:string>>"
-CONTEXT = 64
+#: left: up to CONTEXT characters before the match, through at most BACK earlier matches.
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,txt:string,left:string>>"
+CONTEXT, BACK = 64, 8
+#: Matches summed at once, and code points of a text that are searched for overlaps at once: work grows with the text, not its square.
+CHUNK, BLOCK, BLOCKS = 256, 1024, 64
 
 
-def find_spans(text: Column, regex: str, kind: str, rank: int, keep=None, context: bool = False, through: bool = False) -> Column:
-    """Leftmost non-overlapping matches of regex in text, those for which keep(txt) holds."""
-    bound = F.array(F.struct(F.split(text, regex, -1).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"), F.lit("").alias("before"))
+def bound(value: Column, function) -> Column:
+    """function(value) where value is worked out once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
-    def walk(s):
-        def step(a, x):
-            piece = F.get(s["p"], a["i"])
-            start = a["at"] + F.length(piece)
-            left = F.right(piece, F.lit(CONTEXT)) if context else F.lit("")
-            if through:
-                left = F.right(F.concat(a["before"], F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
-            before = F.right(F.concat(left, F.right(x, F.lit(CONTEXT))), F.lit(CONTEXT)) if through else F.lit("")
-            right = F.left(F.coalesce(F.get(s["p"], a["i"] + 1), F.lit("")), F.lit(CONTEXT)) if context else F.lit("")
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind).alias("kind"), x.alias("txt"), left.alias("left"), right.alias("right"))
-            return F.struct((start + F.length(x)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"), before.alias("before"))
 
-        return F.aggregate(s["m"], zero, step, lambda a: a["out"])
+def upto(n: Column) -> Column:
+    """The numbers 0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    found = F.transform(bound, walk)[0]
-    return F.filter(found, lambda x: keep(x["txt"])) if keep else found
 
+def running_sums(values: Column) -> Column:
+    """The sum of each value of an array and those before it; CHUNK values are summed, then the sums of chunks."""
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    sums = lambda v: F.aggregate(v, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(last(a) + x)))
+    inside = lambda v: F.transform(upto(F.ceil(F.size(v) / CHUNK)), lambda c: sums(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+    shifted = lambda parts, ends: F.flatten(F.transform(parts, lambda v, c: F.transform(v, lambda x: x + F.coalesce(F.get(ends, c - 1), F.lit(0)))))
+    return bound(bound(values, inside), lambda parts: bound(sums(F.transform(parts, last)), lambda ends: shifted(parts, ends)))
 
-def outside(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda c: ~F.exists(others, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+
+def find_spans(text: Column, regex: str, kind: str, rank: int, keep=None, context: bool = False, needs: Column | None = None) -> Column:
+    """Leftmost non-overlapping matches of regex in text, those for which keep(txt) holds; needs is false only where there is none."""
+    parts = F.struct(F.split(text, regex, -1).alias("p"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"))
+
+    def before(s, i):
+        tail = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(CONTEXT))
+        around = [tail(F.get(s[c], i - k)) for k in range(BACK, 0, -1) for c in ("p", "m")]
+        return F.right(F.concat(*around, tail(F.get(s["p"], i))), F.lit(CONTEXT))
+
+    def spans(s):
+        lengths = F.transform(s["m"], lambda x, i: F.length(F.get(s["p"], i)) + F.length(x))
+        return bound(running_sums(lengths), lambda ends: F.transform(s["m"], lambda x, i: span(s, ends, x, i)))
+
+    def span(s, ends, x, i):
+        end = F.get(ends, i)
+        left = before(s, i) if context else F.lit("")
+        return F.struct((end - F.length(x)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("txt"), left.alias("left"))
+
+    found = bound(parts, spans).cast(SPAN)
+    found = F.filter(found, lambda x: keep(x["txt"])) if keep else found
+    return found if needs is None else F.when(needs, found).otherwise(F.array().cast(SPAN))
+
+
+def in_blocks(spans: Column) -> Column:
+    """For each BLOCK code points of a text, the spans that reach into them, as far as the last span."""
+    reach = lambda found, low, high: F.filter(found, lambda x: (x["start"] < high) & (x["end"] > low))
+
+    def fine(k):
+        low = k * (BLOCK * BLOCKS)
+        return bound(reach(spans, low, low + BLOCK * BLOCKS), lambda part: F.transform(upto(F.lit(BLOCKS)), lambda j: reach(part, low + j * BLOCK, low + (j + 1) * BLOCK)))
+
+    last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    return F.flatten(F.transform(upto(F.ceil(last / (BLOCK * BLOCKS))), fine))
+
+
+def overlapping(x: Column, blocks: Column) -> Column:
+    """Those spans of in_blocks() that overlap x, in the order of their array (one in several blocks several times)."""
+    numbers = F.sequence(F.floor(x["start"] / BLOCK).cast("int"), F.floor((x["end"] - 1) / BLOCK).cast("int"))
+    here = F.flatten(F.transform(numbers, lambda k: F.coalesce(F.get(blocks, k), F.array().cast(SPAN))))
+    return F.filter(here, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"]))
+
+
+def outside(spans: Column, blocks: Column) -> Column:
+    """The spans that overlap none of those of in_blocks()."""
+    return F.filter(spans, lambda c: F.size(overlapping(c, blocks)) == 0)
 
 
 def ordered(*groups: Column) -> Column:

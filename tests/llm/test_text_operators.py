@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import pytest
@@ -116,6 +117,16 @@ def test_contexts_are_learned_from_spaced_numbers(docs_of):
     assert all(got[i].spans == got[i].base for i, _ in rows)
 
 
+@pytest.mark.parametrize(("operator", "rule"), [(secrets.secret_scan, brute.secrets), (pii.personal_data, brute.personal)])
+def test_spans_of_a_long_text_take_time_in_proportion(docs_of, operator, rule):
+    rng = random.Random(4)
+    long = " ".join(rng.choice([f"name{k}@host{k % 7}.example.com", f"10.0.{k % 300}.{k % 256}", f"token=abc{k}defg", f"+1 (017) 555-{1000 + k % 9000}", "0f" * 13 + str(k), f"w{k}"]) for k in range(100_000))
+    began = time.perf_counter()
+    got = operator(docs_of([(1, long), (2, "é" + long[:3000])])).select("doc_id", spans.joined(F.col("base")).alias("s")).collect()
+    assert time.perf_counter() - began < 120
+    assert {r.doc_id: r.s for r in got} == {1: brute.joined(rule(long)), 2: brute.joined(rule("é" + long[:3000]))}
+
+
 @pytest.mark.parametrize("operator", [secrets.secret_scan, pii.personal_data])
 def test_spans_of_an_empty_table(docs_of, operator):
     assert operator(docs_of([])).count() == 0
@@ -175,6 +186,24 @@ def test_near_duplicates_odd_rows(docs_of):
     assert neardup.near_duplicates(docs_of([]), 4).count() == 0
 
 
+def test_near_duplicates_of_clashing_and_string_ids(spark, docs_of):
+    text = long_text(3, 200)
+    rows = [(1, "some other text entirely"), (1, text), (2, text + " more"), (2, text + " more"), (3, text + " more"), (4, None), (4, "some other text entirely"), (None, text)]
+    want = sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 1, False), (None, None, True)], key=repr)
+    assert rows_of(neardup.near_duplicates(docs_of(rows), 4), "doc_id", "component_id", "kept") == want
+    left = neardup.keep_one_of_each(docs_of(rows).withColumns({"doc": F.lit("x"), "__k1": F.lit("y"), "n": F.lit(0)}), 4)
+    assert left.columns[-3:] == ["doc", "__k1", "n"] and rows_of(left, "doc_id", "text") == sorted([rows[0], rows[1], rows[5], rows[7]], key=repr)
+    named = spark.createDataFrame([(f"d{i}" if i else None, t) for i, t in rows], "doc_id string, text string")
+    assert rows_of(neardup.near_duplicates(named, 4), "doc_id", "component_id", "kept") == sorted([(f"d{i}" if i else None, f"d{c}" if c else None, k) for i, c, k in want], key=repr)
+
+
+def test_near_duplicates_of_large_groups(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "SALTED", 4)
+    texts = near_copies(1, 90, 22) + near_copies(2, 60, 12) + [long_text(5, 100)] * 300 + [long_text(6, 30_000), long_text(6, 30_000) + " end"]
+    rows = list(enumerate(texts))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(rows), 4).collect()} == brute.components(rows, 4)
+
+
 # --- 6: decontamination
 
 
@@ -215,7 +244,10 @@ def test_wrapper_is_induced_without_article(spark):
     rows = [page("c.example", k, f"<div class='top'><p>Welcome to our site</p></div><div class='text'><h2>Head {k}</h2><p>{long_text(k, 30 + k)}</p><div class='legal'>All the same words</div></div>", nav="x") for k in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     rule = html.wrappers(pages).collect()
-    assert [r.root for r in rule] == ["/html/body/div.site/div.text"]
+    path = 0
+    for key in ("html", "body", "div.site", "div.text"):
+        path = html.path_of(path, key)
+    assert [r.root for r in rule] == [path]
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got == {k: f"Head {k}\n{long_text(k, 30 + k)}" for k in range(60)}
 
@@ -256,15 +288,45 @@ def test_wrappers_named_like_noise_are_kept(wrap, inner):
     body = f"{wrap}<{inner}><h2 id='related-work'>Work</h2><section id='notice-of-change'><p>{long_text(1, 30)}</p></section><div class='cookie-notice'>eat</div></{inner}></{wrap[1:5].strip()}>"
     root = html.parse(page("i.example", 1, body)[2])
     assert html.main_text(root, None, []) == "Work\n" + long_text(1, 30)
-    assert "section.notice-of-change" in str(html.skeleton([k for k in root.kids if isinstance(k, html.Node)]))
+    assert [x.noise for x in html.skeleton(root) if x.key == "section.notice-of-change"] == [False]
+
+
+def test_simple_tree_matching(monkeypatch):
+    tree = lambda body: html.skeleton(html.parse(f"<body>{body}</body>"))
+    a = tree("<h1>x</h1><nav>1</nav><div class=x><ul>a</ul></div><nav>2</nav>")
+    b = tree("<h1>y</h1><div class=x><ul>b</ul></div><nav>2</nav><table>t</table>")
+    keys = lambda: [(a[i].key, b[j].key) for i, j in html.tree_match(a, b)]
+    assert keys() == [(k, k) for k in ("#", "body", "div.x", "nav", "ul")]
+    varies = {a[p].key: n for p, n in html.aligned(a, b)}
+    assert varies == {"#": 3, "body": 3, "div.x": 1, "ul": 1, "nav": 0}  # the heading, the table and the list; the menu on one side is noise
+    monkeypatch.setattr(html, "CELLS", 1)
+    assert {x for x, _ in keys()} == {"#", "body", "div.x", "nav", "ul"}
+
+
+@pytest.mark.parametrize("wrapper", [True, False])
+def test_deeply_nested_and_long_pages(spark, wrapper):
+    deep = "<div>" * 10_000 + "<p>deep text</p>" + "</b></div>" * 9_000
+    long = "".join(f"<h2>Head {k}</h2><div><p>part {k}</p></div>" for k in range(3000))
+    rows = [page("deep.example", 1, deep), page("deep.example", 2, f"<article>{long}</article>")]
+    rows += [page("deep.example", 3 + k, f"<article><p>{long_text(k, 30)}</p></article>") for k in range(8 * wrapper)]
+    got = extracted(spark, rows)
+    assert got[1] == "deep text" and got[2] == "\n".join(f"Head {k}\npart {k}" for k in range(3000))
+    assert all(got[3 + k] == long_text(k, 30) for k in range(8 * wrapper))
+
+
+def test_hosts_template_is_learned_whatever_its_tags(spark, monkeypatch):
+    monkeypatch.setattr(html, "NOISE_WORDS", frozenset())
+    rows = [page("j.example", k, f"<div class='q'><div class='links'>One two three</div><h1>Head {k}</h1><p>{long_text(k, 40)}</p><div class='end'>All the same words</div></div>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [len(r.template) for r in html.wrappers(pages).collect()] == [3]  # links, end and the footer
+    assert extracted(spark, rows) == {k: f"Head {k}\n{long_text(k, 40)}" for k in range(40)}
 
 
-def test_simple_tree_matching():
-    leaf = lambda key, h=0: [key, h, 1, []]
-    a = ["body", 1, 9, [leaf("h1"), leaf("p"), leaf("div.x"), leaf("p")]]
-    b = ["body", 2, 9, [leaf("h1"), leaf("div.x"), leaf("p"), leaf("form")]]
-    assert html.tree_match(a, b)[0] == 4
-    assert html.tree_match(a, leaf("html"))[0] == 0
+def test_extract_of_an_empty_table_and_extra_columns(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(none).collect() == []
+    more = spark.createDataFrame([(1, "http://a.example/", "<p>x", "kept", "old", "h")], "page_id long, url string, html string, __root string, text string, host string")
+    assert [tuple(r) for r in html.extract(more).select("page_id", "__root", "text", "host").collect()] == [(1, "kept", "x", "h")]
 
 
 # --- 8: substrings
@@ -328,6 +390,22 @@ def test_mixing(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
+def test_mixing_of_one_id_and_text_in_several_sources(docs_of):
+    texts = [long_text(k, 10 + k) for k in range(4)]
+    rows = [(k, texts[k], s) for k in range(4) for s in ("x", "y", None)] + [(7, "a b c", "x"), (7, "a b c", "x"), (7, "d e", "x")]
+    got = mixing.mix(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r["__source"] or "", r["size"]) for r in got) == sorted((i, s or "", len(t.split())) for i, t, s in rows)
+    taken = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r["__source"]] = taken.get(r["__source"], 0) + r.taken
+    want = brute.targets({s: sum(len(t.split()) for _, t, z in rows if z == s) for s in ("x", "y", None)})
+    assert all(abs(taken[s] - want[s]) <= 1.5 for s in want)
+    left = mixing.mixed_rows(docs_of(rows).withColumns({"s": F.lit(1), "key": F.lit(2), "__key": F.lit(3), "row": F.lit(4)}))
+    assert sorted((r.doc_id, r.source or "", r.taken) for r in left.collect()) == sorted((r.doc_id, r["__source"] or "", r.taken) for r in got if r.taken)
+    assert left.columns[-8:-4] == ["s", "key", "__key", "row"]
+
+
 def test_mixing_draws_each_document_with_its_probability(docs_of):
     rows = [(k, f"x{k} " * 10, s) for k in range(2000) for s in ["a" if k < 1200 else "b"]]
     got = mixing.mix(docs_of(rows)).collect()
