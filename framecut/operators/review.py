@@ -88,7 +88,7 @@ def filtered(review: DataFrame, status: str = "all", sort: str = "distance") ->
     """Candidates of a status (edge_case: within the review margin of the threshold) in one of SORTS."""
     margin = F.greatest(F.lit(0.0), F.col("detector_threshold") - F.col("review_threshold")) + 1e-9
     rows = review if status == "all" else review.where(F.col("threshold_distance") <= margin) if status == "edge_case" else review.where(F.col("status") == status)
-    return rows.orderBy(*(F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in SORTS[sort]))
+    return rows.orderBy("video_id", *(F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in SORTS[sort]))
 
 
 def search_scenes(scenes: DataFrame, text: str = "", sort: str = "start") -> DataFrame:

@@ -66,7 +66,8 @@ def similarity_report(signatures: DataFrame, spans: DataFrame, limit: int = MAX_
 
 
 def report_pairs(pairs: DataFrame, minimum: float, most: int = 16) -> DataFrame:
-    return pairs.where(F.col("similarity") >= minimum).orderBy("video_id", "rank").limit(most)
+    """The first most pairs of each video that are similar enough; pairs are ranked by similarity."""
+    return pairs.where((F.col("similarity") >= minimum) & (F.col("rank") <= most)).orderBy("video_id", "rank")
 
 
 def pair_scenes(pairs: DataFrame, scenes: DataFrame) -> DataFrame:

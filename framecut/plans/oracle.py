@@ -121,13 +121,13 @@ ORACLES = {
       SELECT n AS total_scenes, (SELECT count(*) FROM chosen) AS selected_scenes, k AS considered_scenes, (SELECT count(*) FROM chosen) - k AS without_fingerprint, n > (SELECT count(*) FROM chosen) AS truncated FROM n, known""",
     "nearest_sample": f"""WITH {_MEDIA}, point AS (SELECT video_id, k, floor(e * k / 20) AS time FROM (SELECT video_id, max(t) AS e FROM media GROUP BY video_id), (SELECT unnest(generate_series(0, 20)) AS k))
       SELECT video_id, k::INT AS k, time, sample FROM (SELECT p.*, m.sample, row_number() OVER (PARTITION BY p.video_id, p.k ORDER BY CASE WHEN m.t <= p.time THEN p.time - m.t ELSE m.t - p.time END, m.sample) AS o FROM point p JOIN media m USING (video_id)) WHERE o = 1""",
-    "previous_sample": f"WITH {_MEDIA}, s AS (SELECT video_id, sample FROM media WHERE sample % 4 = 1), p AS (SELECT video_id, sample - 1 AS sample_at FROM s UNION ALL SELECT video_id, sample + 1 FROM s) SELECT video_id, sample_at, coalesce((SELECT max(sample) FROM s WHERE s.video_id = p.video_id AND s.sample < p.sample_at), greatest(0, sample_at - 1)) AS previous FROM p",
+    "previous_sample": f"WITH {_MEDIA}, s AS (SELECT video_id, sample FROM media), p AS (SELECT video_id, sample - 1 AS sample_at FROM s UNION ALL SELECT video_id, sample + 1 FROM s) SELECT video_id, sample_at, coalesce((SELECT max(sample) FROM s WHERE s.video_id = p.video_id AND s.sample < p.sample_at), greatest(0, sample_at - 1)) AS previous FROM p",
     "score_downsample": f"WITH {_STREAM} SELECT video_id, floor(coalesce(frame::DOUBLE / nullif(total - 1, 0), 0) * 15)::BIGINT AS bucket, max(x) AS content_val FROM stream JOIN totals USING (video_id) GROUP BY 1, 2",
     "boundary_match": f"WITH RECURSIVE {_MATCH} SELECT * FROM found",
     "boundary_match_totals": f"WITH RECURSIVE {_MATCH} SELECT count(DISTINCT case_id) AS cases, count(*) FILTER (kind <> 'false_positive') AS reference_boundaries, count(*) FILTER (kind <> 'false_negative') AS candidate_boundaries, count(*) FILTER (kind = 'match') AS matched_boundaries, count(*) FILTER (kind = 'false_positive') AS false_positives, count(*) FILTER (kind = 'false_negative') AS false_negatives FROM found",
     "worst_divergences": f"WITH RECURSIVE {_MATCH} SELECT case_id, kind, frame, 0::BIGINT AS absolute_delta, 2 AS severity FROM found WHERE kind <> 'match' ORDER BY case_id, kind, frame LIMIT 25",
-    "parity_compare": f"""WITH RECURSIVE {_EFFECTIVE}, {_video_spans('eff', 'reviewed')}, e AS (SELECT * FROM spans WHERE video_id = 1), a AS (SELECT * FROM reviewed WHERE video_id = 1)
-      SELECT coalesce(e.scene_number, a.scene_number) AS scene, abs(e.start - a.start) AS start_delta, abs(e."end" - a."end") AS end_delta FROM e FULL JOIN a ON e.scene_number = a.scene_number WHERE e.start IS NULL OR a.start IS NULL OR abs(e.start - a.start) > 1 OR abs(e."end" - a."end") > 1""",
+    "parity_compare": f"""WITH RECURSIVE {_EFFECTIVE}, {_video_spans('eff', 'reviewed')}
+      SELECT coalesce(e.video_id, a.video_id) AS video_id, coalesce(e.scene_number, a.scene_number) AS scene, abs(e.start - a.start) AS start_delta, abs(e."end" - a."end") AS end_delta FROM spans e FULL JOIN reviewed a ON e.video_id = a.video_id AND e.scene_number = a.scene_number WHERE e.start IS NULL OR a.start IS NULL OR abs(e.start - a.start) > 1 OR abs(e."end" - a."end") > 1""",
     "bench_pairs": """WITH m AS (SELECT o_orderpriority AS id, o_orderstatus AS s, round(avg(o_totalprice), 2) AS mean FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2), p AS (SELECT id, max(mean) FILTER (s = 'F') AS reference, max(mean) FILTER (s = 'O') AS candidate FROM m GROUP BY id)
       SELECT *, round(reference / candidate, 6) AS ratio, CASE WHEN candidate < reference THEN 'candidate' WHEN candidate > reference THEN 'reference' ELSE 'tie' END AS winner FROM p""",
     "timecodes": """WITH t AS (SELECT event_id * 37 AS frame, round_even((event_id * 37)::DOUBLE * 1000 / 23.976::DOUBLE, 0)::BIGINT AS ms, (event_id * 37)::DOUBLE / 23.976::DOUBLE AS s FROM events)

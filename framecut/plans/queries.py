@@ -251,7 +251,7 @@ def nearest_sample(spark, d):
 
 
 def previous_sample(spark, d):
-    samples = _media(spark, d).where("sample % 4 = 1")
+    samples = _media(spark, d)
     points = samples.select("video_id", (F.col("sample") - 1).alias("sample_at")).union(samples.select("video_id", F.col("sample") + 1))
     return joins.previous_sample(points, samples)
 
@@ -287,8 +287,8 @@ def worst_divergences(spark, d):
 
 
 def parity_compare(spark, d):
-    rename = lambda s: s.where("video_id = 1").select(F.col("scene_number").alias("scene"), "start", "end")
-    return quality.parity(rename(adaptive_scenes(spark, d)), rename(reviewed_scenes(spark, d)), 1)
+    rename = lambda s: s.withColumnRenamed("scene_number", "scene")
+    return quality.parity(rename(adaptive_scenes(spark, d)), rename(reviewed_scenes(spark, d)), 1, ("video_id",))
 
 
 def bench_pairs(spark, d):

@@ -1,8 +1,8 @@
 """Push sessions as Structured Streaming: one small state for each video.
 
 Rows carry video_id, frame, value (a score or mean luma) or feature (histogram or hash as doubles),
-and last (true on the marker row that ends a video).  Frames must rise; sparse or falling ones are
-errors, as nothing is reordered across batches.  Results equal those of the batch operators.
+and last (true on the marker row that ends a video).  Frames must rise, but may be sparse; falling ones
+are errors, as nothing is reordered across batches.  Results equal those of the batch operators.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ class Session:
 
     def push(self, frame: int, value: float | None, feature: list | None) -> list[tuple]:
         s = self.s
-        if s["last"] is not None and frame != s["last"] + 1:
-            raise ValueError(f"frame {frame} after {s['last']}: frames must follow each other")
+        if s["last"] is not None and frame <= s["last"]:
+            raise ValueError(f"frame {frame} after {s['last']}: frames must rise")
         if not s["total"] and self.config.name == "threshold":
             s["cut"] = frame
         s["last"], s["total"] = frame, s["total"] + 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framecut import __main__ as cli
 from framecut.config import Adaptive, Content, Fade, Hash, Histogram, Options
-from framecut.operators import decisions, scores, spans
+from framecut.operators import decisions, scores, similarity, spans
 from framecut.sinks import documents, render
 from framecut.streaming import session
 
@@ -146,8 +146,9 @@ def test_stream_rejects_falling_frames():
     s.push(0, 1.0, None)
     with pytest.raises(ValueError):
         s.push(0, 1.0, None)
+    assert s.push(2, 1.0, None) == [(2, 1.0, None)]  # sparse frames are fine
     with pytest.raises(ValueError):
-        s.push(2, 1.0, None)
+        s.push(1, 1.0, None)
 
 
 def test_queries_match_their_sql(spark, sf_dir):
@@ -167,6 +168,26 @@ def test_queries_match_their_sql(spark, sf_dir):
         assert sorted((near(r) for r in found.select(*want.columns).collect()), key=repr) == sorted(map(near, want.fetchall()), key=repr), name
 
 
+def test_detail_queries_match_their_sql(spark, sf_dir):
+    import duckdb
+
+    from framecut.plans.details import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("embeddings", "events", "orders", "customer", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    for name, query in QUERIES.items():
+        found, want = query(spark, sf_dir), con.sql(ORACLES[name])
+        assert sorted(found.columns) == sorted(want.columns), name
+        assert sorted((tuple(r) for r in found.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr), name
+
+
+def test_reports_are_limited_by_video(spark):
+    pairs = spark.createDataFrame([(v, k, 1.0 - k / 64) for v in (1, 2) for k in range(1, 30)], "video_id long, rank int, similarity double")
+    assert similarity.report_pairs(pairs, 0.0).groupBy("video_id").count().orderBy("video_id").collect() == [(1, 16), (2, 16)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
