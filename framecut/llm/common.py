@@ -76,8 +76,11 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def table_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """The folder that driver and executors share; on one machine, where the session names none, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return folder or "/tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:

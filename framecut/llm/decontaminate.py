@@ -9,7 +9,8 @@ scanned in one more narrow pass over the same rows, so broadcast size never grow
 benchmark and no row is shuffled.
 
 Defined results: null and empty items make no window; null and empty texts have no hit; equal
-items each count; repeated rows give repeated results; extra columns are ignored.
+items each count; a text of any length is scanned whole; items that share a window all count; repeated
+rows give repeated results; an empty table gives no rows; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +71,21 @@ def hit_words(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def joined(spans) -> list[tuple[int, int]]:
+    """The maximal spans that spans cover together, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word spans as byte offsets of the original text."""
+    if not spans:
+        return []
     at = [m.span() for m in WORD.finditer(text)]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
@@ -91,12 +105,15 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def judge(docs: DataFrame, items: DataFrame, out_cols: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep_clean: bool = False) -> DataFrame:
-    """out_cols of docs with n_words, n_hit, n_items, items_sha256, contaminated; or, with keep_clean, the clean rows alone."""
+    """out_cols of docs with n_words, n_hit, n_items, items_sha256, contaminated and places ([start, end) bytes of hit passages in the text); or, with keep_clean, the clean rows alone."""
     blocks = item_blocks(items, item_col, item_text, block_bytes)
     spark = docs.sparkSession
     held = [spark.sparkContext.broadcast(b) for b in blocks]
     df = docs.select(*{c: None for c in [*out_cols, text_col]})
     extra = pa.list_(pa.string())
+    held_hits = "__hits"
+    while held_hits in docs.columns:
+        held_hits += "_"
 
     def scan(k: int, last: bool):
         share = held[k]
@@ -104,8 +121,8 @@ def judge(docs: DataFrame, items: DataFrame, out_cols: list[str], text_col: str
         def run(batches):
             scanner = Scanner(share.value)
             for b in batches:
-                before = b.column("__hits").to_pylist() if k else [[]] * b.num_rows
-                columns = [[] for _ in range(5)]
+                before = b.column(held_hits).to_pylist() if k else [[]] * b.num_rows
+                columns = [[] for _ in range(6)]
                 hits = []
                 for text, old in zip(utf8(b, text_col), before, strict=True):
                     words = alnum_words(text)
@@ -119,16 +136,17 @@ def judge(docs: DataFrame, items: DataFrame, out_cols: list[str], text_col: str
                         continue
                     n_hit = int(hit_words(len(words), list(spans)).sum()) if spans else 0
                     digest = hashlib.sha256(",".join(sorted(who)).encode()).hexdigest()
-                    for c, v in zip(columns, (len(words), n_hit, len(who), digest, n_hit > 0 and MIN_SHARE * n_hit >= len(words)), strict=True):
+                    places = [] if keep_clean else byte_spans(text, joined(spans))
+                    for c, v in zip(columns, (len(words), n_hit, len(who), digest, n_hit > 0 and MIN_SHARE * n_hit >= len(words), places), strict=True):
                         c.append(v)
                 if not last:
-                    kept = [c for c in b.schema.names if c != "__hits"]
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(hits, extra)], [*kept, "__hits"])
+                    kept = [c for c in b.schema.names if c != held_hits]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(hits, extra)], [*kept, held_hits])
                 elif keep_clean:
                     yield b.select(out_cols).filter(pa.array([not x for x in columns[4]], pa.bool_()))
                 else:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_cols), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*out_cols, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_cols), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*out_cols, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "places"])
 
         return run
 
@@ -136,13 +154,13 @@ def judge(docs: DataFrame, items: DataFrame, out_cols: list[str], text_col: str
     for k in range(len(held)):
         last = k == len(held) - 1
         if not last:
-            schema = docs.select(*{c: None for c in [*out_cols, text_col]}).schema.add("__hits", T.ArrayType(T.StringType()))
+            schema = docs.select(*{c: None for c in [*out_cols, text_col]}).schema.add(held_hits, T.ArrayType(T.StringType()))
         elif keep_clean:
             schema = base
         else:
             schema = docs.select(*out_cols).schema
-            for f, t in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
-                schema = schema.add(f, t)
+            for f, t in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"), ("places", "array<array<long>>")):
+                schema = schema.add(f, T._parse_datatype_string(t) if "<" in t else t)
         df = map_batches(df, scan(k, last), schema)
     return df
 

@@ -6,8 +6,9 @@ is followed in the original text by an expression of identifiers, AND, OR, WITH
 which a shunting-yard parser turns to postfix order and evaluates.
 
 Defined results: a null or empty text has no words, no places and score 0; repeated rows give
-repeated results; all places count, overlapping ones too; a tag without a well-formed
-expression adds nothing; extra columns are ignored.
+repeated results; all places count, overlapping ones too; a text of any length is scanned whole in
+one pass; of several freedoms the smallest is the score; a tag without a well-formed expression adds
+nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,13 +137,10 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-def expression_after(text: bytes, word: int) -> str:
-    """What follows the tag whose last word has this index, up to the end of its line."""
-    for k, m in enumerate(WORD.finditer(text)):
-        if k == word:
-            line = text[m.end() :].split(b"\n", 1)[0]
-            return line.decode("utf-8", "replace").lstrip(" \t:=\"'")
-    return ""
+def expression_at(text: bytes, at: int) -> str:
+    """What follows a tag that ends at this byte, up to the end of its line."""
+    end = text.find(b"\n", at)
+    return text[at : end if end >= 0 else len(text)].decode("utf-8", "replace").lstrip(" \t:=\"'")
 
 
 def scan(text: bytes) -> tuple:
@@ -150,6 +148,7 @@ def scan(text: bytes) -> tuple:
     words = text.translate(ALNUM).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     base, base_labels, labels, freedoms, expressions = [], set(), set(), [], []
+    ends: list[int] = []  # of the words in the text, listed once if there is a tag
     at = spaces = 0
     for end, ((label, kind), n) in automaton().iter(joined):
         start = end  # the last character of the match is the space after its last word
@@ -157,8 +156,8 @@ def scan(text: bytes) -> tuple:
         at = start
         first = spaces - n  # words before the match
         if kind == "tag":
-            raw = expression_after(text, first + n - 1)
-            if rpn := postfix(raw):
+            ends = ends or [m.end() for m in WORD.finditer(text)]
+            if rpn := postfix(expression_at(text, ends[first + n - 1])):
                 found, freedom = evaluate(rpn)
                 labels |= found
                 freedoms.append(freedom)

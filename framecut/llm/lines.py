@@ -11,8 +11,9 @@ content leaves the corpus altogether.
 3. The boilerplate lines meet the occurrences again; what they remove comes back per text.
 
 Defined results: a null text has no lines and stays null; empty lines and lines below
-``min_chars`` stay; a null site counts as a site of its own; repeated rows are removed alike;
-extra columns, of whatever name, stay.
+``min_chars`` stay; a text of any length is split whole; a null site counts as a site of its own;
+among rows of one id the earliest line is first; repeated rows are removed alike; an empty table
+gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_keys
+from .spans import bound, upto
 
 MIN_SITES = 10
 MIN_CHARS = 12
 #: log2 of the sketch's buckets: a relative error of about 1.04 / 2^(LG_K / 2).
 LG_K = 12
+#: Lines of a text whose removal is looked up at once.
+CHUNK = 256
 #: Estimates within this share of the threshold are counted exactly: over six times the error.
 NEAR = 0.1
 
@@ -67,7 +71,10 @@ def _clean(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites
     k1, k2 = text_keys(F.col(text_col))
     keyed = docs.select("*", k1, k2)
     joined = keyed.join(gone, (F.col("__k1") == F.col("__g1")) & (F.col("__k2") == F.col("__g2")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    # Positions are looked up among those of their chunk, so that work grows with the lines, not their square.
+    chunks = F.transform(upto(F.ceil((F.array_max("__gone") + 1) / CHUNK)), lambda c: F.filter("__gone", lambda g: F.floor(g / CHUNK) == c))
+    goes = lambda found, i: F.coalesce(F.array_contains(F.get(found, F.floor(i / CHUNK).cast("int")), i), F.lit(False))
+    kept = bound(chunks, lambda found: F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~goes(found, i)))
     clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn("__clean", clean)
 
@@ -84,5 +91,7 @@ def line_report(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the boilerplate lines taken out of text_col; columns and rows stay."""
-    out = _clean(docs, id_col, text_col, site_col, min_sites, min_chars)
-    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    others = F.struct(*(c for c in docs.columns if c != text_col))
+    bare = docs.select(others.alias("others"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).alias("site"))
+    out = _clean(bare, "id", "text", "site", min_sites, min_chars)
+    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in docs.columns))

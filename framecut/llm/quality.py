@@ -5,8 +5,9 @@ inside duplicated n-grams are measured against all word characters, and likewise
 of duplicated lines.  The verdict rejects a text when one share passes its limit.
 
 Defined results: a null or empty text has no words and fails; a text shorter than an n-gram has
-no duplicate of that length; the first of equal lines is not a duplicate; repeated rows are
-judged alike; extra columns are ignored.
+no duplicate of that length; the first of equal lines is not a duplicate; a share equal to its limit
+passes; a text of any length is measured whole; repeated rows are judged alike; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

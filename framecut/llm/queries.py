@@ -45,7 +45,7 @@ def op5_pii(spark, sf_dir):
 
 def op6_decontaminate(spark, sf_dir):
     """Words of every document that stand in a window of a benchmark item."""
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("places")
 
 
 def op7_html_extraction(spark, sf_dir):

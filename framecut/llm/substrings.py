@@ -19,7 +19,9 @@ A text that occurs more than once is removed wholly (if it has a window) and sta
 1-3 once.  No group of equal keys meets in one task: all groups are counts and minima.
 
 Defined results: null and empty texts have no words; texts shorter than the window lose
-nothing; repeated rows count as occurrences of each other; extra columns are ignored.
+nothing; a text of any length is read whole; of equal anchors in a window the first counts, which
+changes no result; repeated rows count as occurrences of each other; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

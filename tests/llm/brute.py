@@ -28,6 +28,15 @@ def secrets(text):
     return spans + [(2, "hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
 
 
+def licenses(text):
+    """(words, base places, first, last, base labels)"""
+    words = ALNUM.findall(low(text))
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    found = [(k, label) for p, label in phrases.items() for k in range(len(words)) if tuple(words[k : k + len(p)]) == p]
+    at = [k for k, _ in found]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in found}))
+
+
 def luhn(number):
     twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
     return sum(v - 9 if v > 9 else v for v in twice) % 10 == 0

@@ -60,6 +60,16 @@ def test_license_expression_scores(docs_of):
     assert all(r.n_base == 0 for r in got.values())
 
 
+def test_license_query_matches_brute_force(spark, docs_of, sf_dir):
+    known = [(1, "MIT licenseMIT license mit. LICENSE"), (2, "x " * 50_000 + "Apache License; general public license general public license"), *ODD]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    cols = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert rows_of(licenses.license_scan(docs_of(known)), *cols) == sorted(((i, *brute.licenses(t)) for i, t in known), key=repr)
+    found = queries.QUERIES["op1_license_scan"](spark, sf_dir)
+    assert rows_of(found, *cols) == sorted(((i, *brute.licenses(t)) for i, t in docs), key=repr)
+    assert licenses.license_scan(docs_of([])).count() == 0
+
+
 # --- 2 and 5: spans
 
 
@@ -216,6 +226,8 @@ def test_decontamination(spark, docs_of):
     for block in (decontaminate.BLOCK_BYTES, 50):
         got = rows_of(decontaminate.decontaminate(docs_of(rows), table, block_bytes=block), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert got == sorted(brute.decontaminate(rows, items), key=repr)
+        places = {r.doc_id: [text.encode()[a:b].decode() for a, b in r.places] for r in decontaminate.decontaminate(docs_of(rows), table, block_bytes=block).collect() for text in [dict(rows)[r.doc_id] or ""]}
+        assert places[10] == [", ".join(w[5:30]).upper()] and places[12] == ["SHORT-item five: words only"] and not places[11]
     left = decontaminate.drop_contaminated(docs_of(rows), table, block_bytes=50)
     assert left.columns == docs_of(rows).columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 4, 5, 6, None, 11, 13}
     assert decontaminate.decontaminate(docs_of(rows), table.limit(0)).where("contaminated").count() == 0
@@ -423,12 +435,20 @@ def test_line_dedup(docs_of):
     rows += [(100 + k, f"nine sites carry this line\nx{k}", f"s{k % 9}") for k in range(30)] + [(200, None, "s1"), (201, "", None), (202, "Subscribe to our list", None), (203, "Subscribe to our list", None), (203, "Subscribe to our list", None)]
     got = rows_of(lines.line_report(docs_of(rows)).withColumn("sha", F.sha2("clean_text", 256)), "doc_id", "n_lines", "n_removed", "sha")
     assert got == sorted(brute.lines(rows), key=repr)
-    kept = lines.remove_boilerplate(docs_of(rows))
-    assert kept.columns == docs_of(rows).columns and kept.count() == len(rows)
+    clashing = docs_of(rows).withColumns({c: F.lit("mine") for c in ("__k1", "__gone", "id", "site", "others")})
+    kept = lines.remove_boilerplate(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(rows) and kept.where("__k1 = 'mine' and others = 'mine'").count() == len(rows)
     assert by_id(kept)[200].text is None and by_id(kept)[0].text.startswith("  Subscribe")
     assert lines.line_report(docs_of([])).count() == 0
 
 
+def test_many_lines_of_one_text(docs_of):
+    many = "\n".join(f"a line that many sites carry {k % 4000}" if k % 3 else f"own line of this text {k}" for k in range(30_000))
+    rows = [(0, many, "s0")] + [(1 + j, "\n".join(f"a line that many sites carry {k}" for k in range(4000)), f"s{1 + j}") for j in range(10)]
+    got = rows_of(lines.line_report(docs_of(rows)).withColumn("sha", F.sha2("clean_text", 256)), "doc_id", "n_lines", "n_removed", "sha")
+    assert got == sorted(brute.lines(rows), key=repr)
+
+
 def test_near_threshold_sites_are_counted_exactly(docs_of):
     rows = [(k, f"a line on {n} sites indeed\nz{k}", f"s{j}") for n in range(5, 16) for j in range(n) for k in [100 * n + j]]
     got = by_id(lines.line_report(docs_of(rows)))
