@@ -11,7 +11,8 @@ reference by broadcast suffix automata.  Plan of ``repeated_words``; texts are k
 3. Texts with a repeated anchor are read once more.  Matching statistics against the reference
    find the windows of frequent passages: these stand in the reference's text too, so they go, and
    each task reports each of them once.  The other windows around repeated anchors give 64-bit
-   fingerprints, which are counted with map-side combine; repeated ones come back to their texts.
+   fingerprints, which are counted with map-side combine; repeated ones come back to their texts.  A
+   window that a text itself repeats goes anyway and is reported once, so no text floods a count.
    An automaton over all repeated passages could neither be broadcast nor built within the limits
    (see the README), so fingerprints are the exact way for what is beyond the reference.
 
@@ -112,9 +113,12 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 if reference and (k1, k2) not in owners and not frequent.isdisjoint(wanted):
                     known = np.flatnonzero(np.array(reference.matches(words)) >= window) - (window - 1)
                     at = np.setdiff1d(at, known, assume_unique=True)
-                once = [g for g in dict.fromkeys(grams[known].tolist()) if g not in reported]
-                reported.update(once)
-                sure.append(known.astype(np.int32))
+                # A window that stands in this text twice goes without being counted elsewhere; it is reported once.
+                _, back, times = np.unique(grams[at], return_inverse=True, return_counts=True)
+                own, at = at[times[back] > 1], at[times[back] == 1]
+                once = list(dict.fromkeys(grams[own].tolist())) + [g for g in dict.fromkeys(grams[known].tolist()) if g not in reported]
+                reported.update(grams[known].tolist())
+                sure.append(np.union1d(known, own).astype(np.int32))
                 starts.append(np.r_[at, np.full(len(once), -1)].astype(np.int32))
                 prints.append(np.r_[grams[at], np.array(once, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column("__k1"), b.column("__k2"), b.column("text"), *(pa.array(x, pa.list_(t)) for x, t in ((starts, pa.int32()), (prints, pa.int64()), (sure, pa.int32())))], ["__k1", "__k2", "text", "starts", "prints", "sure"])
