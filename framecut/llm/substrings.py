@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, gram_hashes, map_batches, text_keys, utf8
+from .common import WordHashes, cut, gram_hashes, heavy_join, map_batches, text_keys, utf8
 
 WINDOW = 35
 GRAM = 8
@@ -147,7 +147,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     changed = map_batches(windows.select(*key, "text", "sure").join(starts, key, "left").where("found is not null or size(sure) > 0"), third, "__k1 long, __k2 long, removed long, new_sha string, spans array<long>")
     result = texts.select(*key, "copies").join(changed, key, "left").where("copies > 1 or removed > 0")
     copies = F.col("copies") > 1
-    return rows.drop("anchors").join(result, key, "left").select(
+    # Many rows may share a text: those of the most frequent ones don't meet in one task.
+    return heavy_join(rows.drop("anchors"), cut(result.withColumn("n_copies", F.col("copies"))), key, "n_copies").select(
         F.col(id_col),
         F.col("n").alias("n_words"),
         F.when(copies, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
