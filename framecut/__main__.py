@@ -2,6 +2,8 @@
 
     python -m framecut detect content frames.parquet out --threshold 27
     python -m framecut render csv out/scenes --rate 24
+    python -m framecut render stats out/stats --out out/stats-csv
+    python -m framecut list-scenes out/scenes --rate 24
     python -m framecut inspect clip.framecut.json
 """
 
@@ -24,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
         d.add_argument("out")
         d.add_argument("--min-scene-len", type=int, default=15)
         d.add_argument("--merge-last-scene", action="store_true")
+        d.add_argument("--stats", action="store_true", help="also write statistics and, for content and adaptive, the review")
         for f in dataclasses.fields(kind):
             option = "--" + f.name.replace("_", "-")
             if f.name == "weights":
@@ -32,17 +35,49 @@ def parser() -> argparse.ArgumentParser:
                 d.add_argument(option, action=argparse.BooleanOptionalAction, default=None)
             else:
                 d.add_argument(option, type=type(f.default))
-    render = commands.add_parser("render")
-    render.add_argument("form", choices=["csv", "json", "ndjson", "html"])
-    render.add_argument("scenes")
-    render.add_argument("--rate", type=float, required=True)
-    render.add_argument("--out")
+    forms = commands.add_parser("render").add_subparsers(dest="form", required=True)
+    scenes = {form: forms.add_parser(form) for form in ("csv", "json", "ndjson", "html")} | {"list-scenes": commands.add_parser("list-scenes"), "export-html": commands.add_parser("export-html")}
+    for r in scenes.values():
+        r.add_argument("scenes")
+        r.add_argument("--rate", type=float, required=True)
+        r.add_argument("--out")
+    for r in (forms.add_parser("stats"), forms.add_parser("boundaries"), commands.add_parser("list-boundaries")):
+        r.add_argument("rows")
+        r.add_argument("--out", required=True)
+    timeline = forms.add_parser("timeline")
+    timeline.add_argument("rows")
+    timeline.add_argument("--timing", required=True)
+    timeline.add_argument("--out", required=True)
     commands.add_parser("inspect").add_argument("stats")
     return p
 
 
+#: Earlier names of rendering commands.
+LEGACY = {"list-scenes": "csv", "export-html": "html", "list-boundaries": "boundaries"}
+
+
+def write_rows(spark, a) -> None:
+    """Statistics and review candidates as CSV files, timelines as JSON lines, a folder for each video."""
+    from .operators.timeline import scene_timeline
+    from .sinks import render
+
+    rows = spark.read.parquet(a.rows)
+    if a.form == "timeline":
+        scene_timeline(rows, spark.read.parquet(a.timing)).write.mode("overwrite").partitionBy("video_id").json(a.out)
+        return
+    order = "frame"
+    if a.form == "boundaries":
+        sides = [c for c in ("before", "after") if c in rows.columns]
+        rows, order = rows.select(*(c for c in rows.columns if c not in sides), *(rows[s][e].alias(f"{s}_{e}") for s in sides for e in ("start", "end"))), "rank"
+    names = render.metric_names(rows)
+    flat = render.metric_columns(rows, names)
+    flat.repartitionByRange("video_id", order).sortWithinPartitions("video_id", order).write.mode("overwrite").partitionBy("video_id").option("header", True).csv(a.out)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
+    if a.command in LEGACY:
+        a.form, a.command = LEGACY[a.command], "render"
     if a.command == "inspect":
         from .sinks.documents import summary
 
@@ -53,16 +88,24 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.getOrCreate()
     if a.command == "detect":
-        from .api import detect
+        from .api import boundary_review, detect, stats
 
         settings = {f.name: v for f in dataclasses.fields(DETECTORS[a.detector]) if (v := getattr(a, f.name)) is not None}
         config = load(a.detector, settings)
         if a.detector == "hash" and config.lowpass > config.size:
             raise SystemExit("lowpass is at most size")
-        found = detect(spark.read.parquet(a.frames), config, Options(a.min_scene_len, MERGE_LAST if a.merge_last_scene else SUPPRESS))
-        for name, df in found._asdict().items():
+        frames, options = spark.read.parquet(a.frames), Options(a.min_scene_len, MERGE_LAST if a.merge_last_scene else SUPPRESS)
+        tables = detect(frames, config, options)._asdict()
+        if a.stats:
+            tables["stats"] = stats(frames, config, options)
+        if a.stats and a.detector in ("content", "adaptive"):
+            tables["review"] = boundary_review(frames, config, options)
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{a.out}/{name}")
         return
+    if a.form in ("stats", "boundaries", "timeline"):
+        write_rows(spark, a)
+        return
     from .sinks.render import documents
 
     scenes = spark.read.parquet(a.scenes)

@@ -74,9 +74,23 @@ def test_artifacts_and_manifests(tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     frames = spark.createDataFrame([(0, k, 1, 1, bytes([v] * 3)) for k, v in enumerate([0, 0, 255, 255])], "video_id long, frame long, width int, height int, rgb binary")
     frames.write.parquet(str(tmp_path / "f"))
-    cli.main(["detect", "content", str(tmp_path / "f"), str(tmp_path / "out"), "--threshold", "20", "--min-scene-len", "1"])
+    cli.main(["detect", "content", str(tmp_path / "f"), str(tmp_path / "out"), "--threshold", "20", "--min-scene-len", "1", "--stats"])
     cli.main(["render", "csv", str(tmp_path / "out/scenes"), "--rate", "10"])
     assert "2,3,00:00:00.200" in capsys.readouterr().out
+    cli.main(["list-scenes", str(tmp_path / "out/scenes"), "--rate", "10"])
+    assert "2,3,00:00:00.200" in capsys.readouterr().out
+    cli.main(["export-html", str(tmp_path / "out/scenes"), "--rate", "10"])
+    assert "<td>00:00:00.200</td>" in capsys.readouterr().out
+    cli.main(["render", "stats", str(tmp_path / "out/stats"), "--out", str(tmp_path / "stats")])
+    cli.main(["list-boundaries", str(tmp_path / "out/review"), "--out", str(tmp_path / "review")])
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / name))
+    assert [(r.frame, r.decision) for r in read("stats").orderBy("frame").collect()] == [("0", "not_evaluated"), ("1", "below_threshold"), ("2", "accepted"), ("3", "below_threshold")]
+    assert [(r.frame, r.rank, r.after_end) for r in read("review").collect()] == [("2", "1", "4")]
+    base = "struct<ticks:long,time_base:struct<numerator:long,denominator:long>>"
+    times = spark.createDataFrame([(0, k, (k * 40, (1, 1000)), (40, (1, 1000))) for k in range(4)], f"video_id long, frame long, presentation_time {base}, duration {base}")
+    times.write.parquet(str(tmp_path / "timing"))
+    cli.main(["render", "timeline", str(tmp_path / "out/scenes"), "--timing", str(tmp_path / "timing"), "--out", str(tmp_path / "timeline")])
+    assert [(r.start_time.ticks, r.end_time.ticks) for r in spark.read.json(str(tmp_path / "timeline")).orderBy("start").collect()] == [(0, 80), (80, 160)]
     with pytest.raises(SystemExit):
         cli.main(["detect", "hash", str(tmp_path / "f"), str(tmp_path / "o"), "--size", "2", "--lowpass", "4"])
 
