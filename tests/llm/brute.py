@@ -132,8 +132,8 @@ def targets(sizes):
     return out
 
 
-def lines(rows, min_sites=10, min_chars=12):
-    """(id, lines, removed, kept text) for rows of (id, text, site)."""
+def lines_left(rows, min_sites=10, min_chars=12):
+    """The lines that stay of each row (id, text, site); None for a null text."""
     sites, first = collections.defaultdict(set), {}
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
     for i, t, s in rows:
@@ -141,9 +141,13 @@ def lines(rows, min_sites=10, min_chars=12):
             if len(strip(line)) >= min_chars:
                 sites[strip(line)].add(s)
                 first[strip(line)] = min(first.get(strip(line), (i, p)), (i, p))
+    return [None if t is None else [x for p, x in enumerate(t.split("\n")) if len(sites.get(strip(x), ())) < min_sites or first[strip(x)] == (i, p)] for i, t, _ in rows]
+
+
+def lines(rows, min_sites=10, min_chars=12):
+    """(id, lines, removed, kept text) for rows of (id, text, site)."""
     out = []
-    for i, t, _ in rows:
-        parts = t.split("\n") if t is not None else []
-        kept = [x for p, x in enumerate(parts) if len(sites.get(strip(x), ())) < min_sites or first[strip(x)] == (i, p)]
-        out.append((i, len(parts), len(parts) - len(kept), sha("\n".join(kept))))
+    for (i, t, _), kept in zip(rows, lines_left(rows, min_sites, min_chars), strict=True):
+        n = len(t.split("\n")) if t is not None else 0
+        out.append((i, n, n - len(kept or []), sha("\n".join(kept or []))))
     return out

@@ -4,6 +4,7 @@ import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from framecut.llm import quality
 
 
 def text(seed, n):
@@ -39,10 +40,27 @@ def test_stages_do_their_work(spark, docs_of, tmp_path):
 
 def test_run_over_the_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = {r.doc_id for r in docs.collect() if not (lambda q: q[0] < 10 or 100 * q[4] > 20 * q[0])(brute.quality(r.text))}
-    got = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in got.select("doc_id").collect()} <= want
-    empty = docs.limit(0)
+    good = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}  # its SQL checks the rules
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good)
+    assert len(rows) > 100
+    rows = [(i, "\n".join(left), s) for (i, _, s), left in zip(rows, brute.lines_left(rows), strict=True)]
+    alone = {i for i, (_, c) in brute.components([(i, t) for i, t, _ in rows], 5).items() if i == c}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = [r for r in rows if r[0] in alone]
+    dirty = {x[0] for x in brute.decontaminate([(i, t) for i, t, _ in rows], items) if x[-1]}
+    rows = [r for r in rows if r[0] not in dirty]
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    want = {i: (t, s) for i, t, s in rows}
+    assert all(want[r.doc_id] == (r.text, r.source) and 0 < r.taken <= 2 * r["size"] for r in got) and len({r.doc_id for r in got}) == len(got)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(brute.SPACED.findall(t))
+    for s, target in brute.targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= 1.5 and all(abs(r.target - target) < 1e-6 for r in got if r.source == s)
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
