@@ -78,7 +78,52 @@ _MATCH = f"""{_RATIO}, {_adaptive('ga', 3)}, {_adaptive('gb', 4)}, found AS (SEL
 _MEDIA = "media AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sample, round(epoch_us(ts)::DOUBLE * 1 / 1000000 - min(epoch_us(ts)::DOUBLE * 1 / 1000000) OVER (PARTITION BY user_id), 3) AS t FROM events)"
 _REVIEW = f"""{_CONTENT}, {_CUTS}, {_spans('cuts')}, seeds AS (SELECT s.frame, s.score, CASE WHEN o.ok THEN 'accepted' WHEN NOT o.ok THEN 'suppressed_min_scene_len' ELSE 'near_miss' END AS status FROM score s LEFT JOIN over_ o ON o.frame = s.frame WHERE s.score >= 9.5)"""
 
+# Low DCT frequencies of an 8 x 8 luma plane against their median: 4 x 4 of 8 x 8 cells for bits, 8 x 8 of 32 x 32 samples for prints.
+_PHASH = f"""{_GRAY}, coef AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16) * CASE WHEN u = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END AS c FROM (SELECT unnest(generate_series(0, 3)) AS u), (SELECT unnest(generate_series(0, 7)) AS x)),
+    plane AS (SELECT frame, k // 8 AS y, k % 8 AS x, l / greatest(1, max(l) OVER (PARTITION BY frame)) AS s FROM (SELECT frame, k, {_LUMA} AS l FROM gray)),
+    low AS (SELECT frame, a.u * 4 + b.u AS k, sum(a.c * s * b.c) AS x FROM plane JOIN coef a ON a.x = plane.y JOIN coef b ON b.x = plane.x GROUP BY ALL),
+    bits AS (SELECT frame, k, x > median(x) OVER (PARTITION BY frame) AS bit FROM (SELECT frame, k, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE x END AS x FROM low))"""
+_HASH_CUTS = f"""{_PHASH}, ord AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev FROM (SELECT DISTINCT frame FROM bits)),
+    hc AS (SELECT 0 AS video_id, o.frame FROM ord o JOIN bits a ON a.frame = o.frame JOIN bits b ON b.frame = o.prev AND b.k = a.k GROUP BY o.frame HAVING count(*) FILTER (a.bit <> b.bit) / 16.0::DOUBLE >= 0.625), total AS (SELECT count(*) AS total FROM ord)"""
+_PRINT = f"""{_GRAY}, coef AS (SELECT u, x // 4 AS x, sum(cos(pi() * (2 * x + 1) * u / 64) * CASE WHEN u = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END) AS c FROM (SELECT unnest(generate_series(0, 7)) AS u), (SELECT unnest(generate_series(0, 31)) AS x) GROUP BY ALL),
+    low AS (SELECT frame, a.u * 8 + b.u AS k, round(sum(a.c * ((77 * r + 150 * g + 29 * b + 128) >> 8) * b.c), 6) AS x FROM gray JOIN coef a ON a.x = gray.k // 8 JOIN coef b ON b.x = gray.k % 8 GROUP BY ALL),
+    middle AS (SELECT frame, median(x) AS m FROM low WHERE k > 0 GROUP BY frame)"""
+
+
+def _around(name: str, dy: int, dx: int, outside: str = "") -> str:
+    """The pixel of list name beside (y, x); beyond the frame its nearest one, or outside."""
+    inside = f"{name}[1 + greatest(0, least(7, y + {dy})) * 8 + greatest(0, least(7, x + {dx}))]"
+    return f"CASE WHEN y + {dy} BETWEEN 0 AND 7 AND x + {dx} BETWEEN 0 AND 7 THEN {inside} ELSE {outside} END" if outside else inside
+
+
+_GX, _GY = (" - ".join("(" + " + ".join(f"{n} * {_around('p', *at(k, side))}" for k, n in ((-1, 1), (0, 2), (1, 1))) + ")" for side in (1, -1)) for at in (lambda k, side: (k, side), lambda k, side: (side, k)))
+_BESIDE = {n: _around("ms", *at, outside="0") for n, at in {"west": (0, -1), "east": (0, 1), "north": (-1, 0), "south": (1, 0), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}.items()}
+_PEAK = """CASE WHEN ay < ax * 13573 THEN m > {west} AND m >= {east} WHEN ay > ax * 13573 + ax * 65536 THEN m > {north} AND m >= {south}
+      WHEN (gx < 0) = (gy < 0) THEN m > {nw} AND m > {se} ELSE m > {ne} AND m > {sw} END""".format(**_BESIDE)
+_EDGES = f"""{_GRAY}, image AS (SELECT frame, list(r ORDER BY k) AS p, floor(greatest(0, median(r) * 2 / 3.0::DOUBLE)) AS low, floor(least(255, median(r) * 4 / 3.0::DOUBLE)) AS high FROM gray GROUP BY frame),
+    spot AS (SELECT k, k // 8 AS y, k % 8 AS x FROM (SELECT unnest(generate_series(0, 63)) AS k)),
+    slope AS (SELECT frame, k, y, x, low, high, {_GX} AS gx, {_GY} AS gy FROM image, spot),
+    steep AS (SELECT *, abs(gx) AS ax, abs(gy) * 32768 AS ay, abs(gx) + abs(gy) AS m FROM slope),
+    peaks AS (SELECT frame, y, x, m > low AS weak, m > high AS strong FROM (SELECT s.*, {_PEAK} AS peak FROM steep s JOIN (SELECT frame, list(m ORDER BY k) AS ms FROM steep GROUP BY frame) USING (frame)) WHERE peak),
+    edge AS (SELECT frame, y, x FROM peaks WHERE strong UNION SELECT w.frame, w.y, w.x FROM peaks w JOIN edge e ON e.frame = w.frame AND abs(e.y - w.y) <= 1 AND abs(e.x - w.x) <= 1 WHERE w.weak),
+    wide AS (SELECT DISTINCT frame, k FROM edge e JOIN spot s ON abs(e.y - s.y) <= 2 AND abs(e.x - s.x) <= 2),
+    ord AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev FROM image),
+    differ AS (SELECT frame, k FROM (SELECT frame, k FROM wide UNION ALL SELECT o.frame, k FROM wide JOIN ord o ON o.prev = wide.frame) GROUP BY frame, k HAVING count(*) = 1)"""
+# Boundaries of one side lie 5 or more apart, so within tolerance 3 only neighbours in the common order match: the best matching of a path, from its end.
+_TOLERANT = f"""{_RATIO}, {_adaptive('ga', 3)}, {_adaptive('gb', 4)}, el AS (SELECT video_id::VARCHAR AS case_id, frame, 0 AS side FROM ga UNION ALL SELECT video_id::VARCHAR, frame, 1 FROM gb),
+    line AS (SELECT case_id, side, row_number() OVER w AS n, lag(frame) OVER w - frame AS d, coalesce(lag(side) OVER w <> side AND lag(frame) OVER w - frame <= 3, false) AS close FROM el WINDOW w AS (PARTITION BY case_id ORDER BY frame DESC, side DESC)),
+    best AS (SELECT case_id, n, 0 AS pairs, 0::BIGINT AS total, []::BIGINT[] AS ds, 0 AS pairs2, 0::BIGINT AS total2, []::BIGINT[] AS ds2 FROM line WHERE n = 1
+      UNION ALL SELECT case_id, n, CASE WHEN take THEN pairs2 + 1 ELSE pairs END, CASE WHEN take THEN total2 - d ELSE total END, CASE WHEN take THEN list_append(ds2, d) ELSE ds END, pairs, total, ds
+      FROM (SELECT l.case_id, l.n, l.d, b.* EXCLUDE (case_id, n), l.close AND (pairs2 + 1 > pairs OR pairs2 + 1 = pairs AND total2 - l.d >= total) AS take FROM best b JOIN line l ON l.case_id = b.case_id AND l.n = b.n + 1)),
+    counted AS (SELECT case_id, max(n) AS n, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS c FROM line GROUP BY case_id)"""
+
 ORACLES = {
+    "hash_bits": f"WITH {_PHASH} SELECT frame, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM bits GROUP BY frame",
+    "hash_scenes": f"WITH RECURSIVE {_HASH_CUTS}, {_greedy('cuts', 'hc', 3)}, {_spans('cuts')} SELECT * FROM spans",
+    "frame_fingerprints": f"WITH {_PRINT} SELECT frame, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY k) AS print FROM low JOIN middle USING (frame) GROUP BY frame",
+    "edge_distance": f"WITH RECURSIVE {_EDGES} SELECT o.frame, CASE WHEN o.prev IS NULL THEN 0 ELSE 255.0::DOUBLE * count(d.k) / 64 END AS delta_edges FROM ord o LEFT JOIN differ d ON d.frame = o.frame GROUP BY o.frame, o.prev",
+    "compare_runs": f"WITH RECURSIVE {_RATIO}, {_adaptive('ga', 3)}, {_adaptive('gb', 4)} SELECT coalesce(ga.video_id, gb.video_id) AS video_id, CASE WHEN gb.frame IS NULL THEN 'current_only' WHEN ga.frame IS NULL THEN 'saved_only' ELSE 'shared' END AS kind, ga.frame / 10.0::DOUBLE AS current, gb.frame / 10.0::DOUBLE AS saved FROM ga FULL JOIN gb ON ga.video_id = gb.video_id AND ga.frame BETWEEN gb.frame - 2 AND gb.frame + 2",
+    "boundary_match_tolerant": f"WITH RECURSIVE {_TOLERANT} SELECT case_id, r AS reference_boundaries, c AS candidate_boundaries, pairs::BIGINT AS matched_boundaries, c - pairs AS false_positives, r - pairs AS false_negatives, coalesce(list_max(ds), 0) AS max_absolute_delta, coalesce(list_avg(ds), 0) AS mean_absolute_delta FROM best JOIN counted USING (case_id, n)",
     "content_scenes": f"WITH {_CONTENT}, {_CUTS}, {_spans('cuts')} SELECT * FROM spans",
     "hsv_pixels": f"WITH {_RGB}, {_hsv('rgb')} SELECT frame, k::INT AS pixel, h::INT AS h, s::INT AS s, v::INT AS v FROM hsv",
     "luma_mean": f"WITH {_RGB} SELECT frame, round(avg({_LUMA}), 6) AS average_rgb FROM rgb GROUP BY frame",
@@ -128,7 +173,7 @@ ORACLES = {
     "worst_divergences": f"WITH RECURSIVE {_MATCH} SELECT case_id, kind, frame, 0::BIGINT AS absolute_delta, 2 AS severity FROM found WHERE kind <> 'match' ORDER BY case_id, kind, frame LIMIT 25",
     "parity_compare": f"""WITH RECURSIVE {_EFFECTIVE}, {_video_spans('eff', 'reviewed')}
       SELECT coalesce(e.video_id, a.video_id) AS video_id, coalesce(e.scene_number, a.scene_number) AS scene, abs(e.start - a.start) AS start_delta, abs(e."end" - a."end") AS end_delta FROM spans e FULL JOIN reviewed a ON e.video_id = a.video_id AND e.scene_number = a.scene_number WHERE e.start IS NULL OR a.start IS NULL OR abs(e.start - a.start) > 1 OR abs(e."end" - a."end") > 1""",
-    "bench_pairs": """WITH m AS (SELECT o_orderpriority AS id, o_orderstatus AS s, round(avg(o_totalprice), 2) AS mean FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2), p AS (SELECT id, max(mean) FILTER (s = 'F') AS reference, max(mean) FILTER (s = 'O') AS candidate FROM m GROUP BY id)
+    "bench_pairs": """WITH m AS (SELECT o_orderpriority AS id, o_orderstatus = 'F' AS first, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1, 2), p AS (SELECT id, max(mean) FILTER (first) AS reference, max(mean) FILTER (NOT first) AS candidate FROM m GROUP BY id)
       SELECT *, round(reference / candidate, 6) AS ratio, CASE WHEN candidate < reference THEN 'candidate' WHEN candidate > reference THEN 'reference' ELSE 'tie' END AS winner FROM p""",
     "timecodes": """WITH t AS (SELECT event_id * 37 AS frame, round_even((event_id * 37)::DOUBLE * 1000 / 23.976::DOUBLE, 0)::BIGINT AS ms, (event_id * 37)::DOUBLE / 23.976::DOUBLE AS s FROM events)
       SELECT frame, ms // 3600000 AS hours, ms // 60000 % 60 AS minutes, ms // 1000 % 60 AS seconds, ms % 1000 AS millis, floor((s % 3600) / 60)::BIGINT AS core_minutes, frame * 30 AS parsed FROM t""",

@@ -106,6 +106,11 @@ def hash_scenes(spark, d):
     return spans.scene_spans(decisions.hash_boundaries(found, HASH_THRESHOLD, HASH_M), spans.totals(tables.gray_frames(spark, d)))
 
 
+def frame_fingerprints(spark, d):
+    prints = _binary(tables.gray_frames(spark, d)).select("frame", image.fingerprint("rgb", "width", "height").alias("hash"))
+    return prints.select("frame", F.lpad(F.bin("hash"), 64, "0").alias("print"))
+
+
 def _ratios(spark, d):
     return scores.adaptive_scores(tables.score_stream(spark, d), ADAPTIVE.frame_window)
 
@@ -292,9 +297,9 @@ def parity_compare(spark, d):
 
 
 def bench_pairs(spark, d):
-    rows = tables.read(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("mean")).where("o_orderstatus in ('F', 'O')")
     label = F.concat("o_orderpriority", F.when(F.col("o_orderstatus") == "F", " reference").otherwise(" candidate"))
-    return quality.bench_pairs(rows.select(label.alias("label"), "mean")).select("id", "reference", "candidate", F.round("ratio", 6).alias("ratio"), "winner")
+    rows = tables.read(spark, d, "orders").groupBy(label.alias("label")).agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return quality.bench_pairs(rows).select("id", "reference", "candidate", F.round("ratio", 6).alias("ratio"), "winner")
 
 
 def timecodes(spark, d):
@@ -314,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_scenes, hsv_pixels, luma_mean, luma_histogram, compact_luma, content_scores, content_components, content_luma_only, content_decisions,
-        content_merge_last, edge_distance, binary_content_scores, hist_scores, hist_scenes, hash_bits, hash_scenes, adaptive_scores, adaptive_scenes,
+        content_merge_last, edge_distance, binary_content_scores, hist_scores, hist_scenes, hash_bits, hash_scenes, frame_fingerprints, adaptive_scores, adaptive_scenes,
         fade_events, fade_scenes, stats_long_to_wide, stats_rows_decisions, stored_scenes, threshold_preview, scene_counts, boundary_review, review_context,
         adaptive_review, effective_boundaries, reviewed_scenes, threshold_diff, scene_timeline, stride_samples, scene_selection, scene_majority_hash,
         scene_similarity_pairs, similarity_report, nearest_sample, previous_sample, compare_runs, score_downsample, boundary_match, boundary_match_totals,
