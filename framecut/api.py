@@ -31,10 +31,6 @@ def frame_scores(frames: DataFrame, config) -> DataFrame:
         return frames.select("video_id", "frame", image.binary_mean_luma("rgb", "width", "height").alias("average_rgb")) if binary else scores.luma_scores(frames)
     if isinstance(config, Hash):
         return scores.hash_scores(frames.select("video_id", "frame", image.phash("rgb", "width", "height", config.size, config.lowpass).alias("bits")))
-    if binary:
-        from .sources.frames import to_pixels
-
-        frames = to_pixels(frames)
     return scores.histogram_scores(frames, config)
 
 

@@ -17,19 +17,24 @@ def as_image(rgb: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
 
 
+#: Saturation and hue divided by value and by range, in fixed point with 12 fractional bits.
+S_SCALE = np.rint(255 * 4096 / np.maximum(np.arange(256), 1)).astype(np.int32)
+H_SCALE = np.rint(180 * 4096 / (6.0 * np.maximum(np.arange(256), 1))).astype(np.int32)
+
+
 def hsv_planes(image: np.ndarray) -> np.ndarray:
-    """height x width x 3 int32 of hue (0 to 179), saturation and value."""
-    r, g, b = (image[..., k].astype(np.int32) for k in range(3))
+    """3 x height x width int16 of hue (0 to 179), saturation and value."""
+    r, g, b = np.ascontiguousarray(np.moveaxis(image, -1, 0), np.int16)
     v = np.maximum(np.maximum(r, g), b)
     d = v - np.minimum(np.minimum(r, g), b)
-    with np.errstate(divide="ignore"):
-        s_scale = np.rint(np.where(v > 0, 255 * 4096 / np.maximum(v, 1), 0)).astype(np.int32)
-        h_scale = np.rint(np.where(d > 0, 180 * 4096 / (6.0 * np.maximum(d, 1)), 0)).astype(np.int32)
+    out = np.empty((3, *v.shape), np.int16)
+    # Of pixels without colour the range is 0, and so are both products.
+    out[1] = (d * S_SCALE[v] + 2048) >> 12
     turn = np.where(v == r, g - b, np.where(v == g, b - r + 2 * d, r - g + 4 * d))
-    s = np.clip((d * s_scale + 2048) >> 12, 0, 255)
-    h = (turn * h_scale + 2048) >> 12
-    h = np.where(h < 0, h + 180, np.where(h >= 180, h - 180, h))
-    return np.stack([np.where(d == 0, 0, h), np.where(d == 0, 0, s), v], axis=-1)
+    hue = (turn * H_SCALE[d] + 2048) >> 12
+    out[0] = hue + 180 * (hue < 0) - 180 * (hue >= 180)
+    out[2] = v
+    return out
 
 
 def luma_plane(image: np.ndarray) -> np.ndarray:
@@ -150,6 +155,28 @@ def binary_mean_luma(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.
     return _each(lambda i: float(luma_plane(i).mean()) if i.size else 0.0, rgb, width, height)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _histogram(rgb: pd.Series, width: pd.Series, height: pd.Series, bins: pd.Series) -> pd.Series:
+    def one(image, n):
+        counts = np.bincount(np.clip(np.floor(luma_plane(image).ravel() * n / 256.0), 0, n - 1).astype(np.int64), minlength=n).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum())
+        return counts / norm if norm > 0 else counts
+
+    return pd.Series([one(as_image(*row[:3]), row[3]) for row in zip(rgb, width, height, bins, strict=True)])
+
+
+def binary_histogram(rgb, width, height, bins: int):
+    """Counts of a binary frame's pixels by luma bin, divided by their Euclidean norm if that is above 0."""
+    return _histogram(rgb, width, height, F.lit(max(1, bins)))
+
+
+@F.pandas_udf(T.LongType())
+def differing_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Places at which two byte strings of one length differ; null if a length differs or one is null."""
+    both = lambda x, y: x is not None and y is not None and len(x) == len(y)
+    return pd.Series([int((np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum()) if both(x, y) else None for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 def register(spark) -> None:
     """Makes the image functions callable from SQL."""
     spark.udf.register("phash", _phash)

@@ -7,16 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _beside(points: DataFrame, marks: DataFrame, point: str, mark: str, strict: bool) -> DataFrame:
-    """points with __before and __after: the marks at or below (strict: below) and at or above, of the same video."""
+def _beside(points: DataFrame, marks: DataFrame, point: str, mark: str, strict: bool, chunk: float = 4096.0) -> DataFrame:
+    """points with __before and __after: the marks at or below (strict: below) and at or above, of the same video.
+
+    Rows are dealt by (video, chunk of the axis); only the first and last mark of each chunk meet their
+    video in one window, and what they carry over comes back to the chunk's rows.
+    """
     row = F.struct(*points.columns)
     kind = points.select(row).schema[0].dataType
     both = marks.select("video_id", F.col(mark).cast("double").alias("__at"), F.col(mark).alias("__mark"), F.lit(None).cast(kind).alias("__row")).unionByName(points.select("video_id", F.col(point).cast("double").alias("__at"), F.lit(None).cast(marks.schema[mark].dataType).alias("__mark"), row.alias("__row")))
+    both = both.withColumn("__chunk", F.floor(F.col("__at") / chunk))
+    by_chunk = Window.partitionBy("video_id").orderBy("__chunk")
+    ends = both.groupBy("video_id", "__chunk").agg(F.max("__mark").alias("hi"), F.min("__mark").alias("lo"))
+    carried = ends.select("video_id", "__chunk", F.max("hi").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("__lower"), F.min("lo").over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("__upper"))
     is_point = F.col("__row").isNotNull()
-    up = Window.partitionBy("video_id").orderBy("__at", ~is_point if strict else is_point).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("video_id").orderBy(F.col("__at").desc(), is_point).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumns({"__before": F.last("__mark", ignorenulls=True).over(up), "__after": F.last("__mark", ignorenulls=True).over(down)})
-    return found.where("__row is not null").select("__row.*", "__before", "__after")
+    up = Window.partitionBy("video_id", "__chunk").orderBy("__at", ~is_point if strict else is_point).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("video_id", "__chunk").orderBy(F.col("__at").desc(), is_point).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"__before": F.last("__mark", ignorenulls=True).over(up), "__after": F.last("__mark", ignorenulls=True).over(down)}).where("__row is not null")
+    joined = found.join(carried, ["video_id", "__chunk"], "left")
+    return joined.select("__row.*", F.coalesce("__before", "__lower").alias("__before"), F.coalesce("__after", "__upper").alias("__after"))
 
 
 def nearest_sample(times: DataFrame, samples: DataFrame, time: str = "time", at: str = "media_time_seconds") -> DataFrame:

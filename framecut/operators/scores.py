@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Content, Histogram
+from ..functions.image import binary_histogram, differing_bytes
 from ..functions.pixel import correlation, hsv, luma_histogram, mean_luma
 
 CHUNK = 512
@@ -54,9 +55,8 @@ def content_scores(frames: DataFrame, config: Content = Content(), chunk: int =
 
 def edge_distance(a: Column, b: Column) -> Column:
     """Mean absolute difference of two binary edge maps of 0 and 255; 0 if their sizes differ."""
-    bytes_of = lambda x: F.regexp_extract_all(F.hex(x), F.lit("(..)"), F.lit(1))
-    differ = F.size(F.filter(F.zip_with(bytes_of(a), bytes_of(b), lambda x, y: x != y), lambda d: d)).cast("double")
-    return F.when((F.length(a) == F.length(b)) & (F.length(a) > 0), 255.0 * differ / F.length(a)).otherwise(F.lit(0.0))
+    differ = differing_bytes(a, b)
+    return F.when(F.length(a) > 0, F.coalesce(255.0 * differ / F.length(a), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def binary_content_scores(frames: DataFrame, config: Content = Content(), chunk: int = 32) -> DataFrame:
@@ -74,21 +74,22 @@ def binary_content_scores(frames: DataFrame, config: Content = Content(), chunk:
     halo = dealt.join(copies, ["video_id", "frame"]).withColumn("part", F.col("to")).withColumn("halo", F.lit(True)).select(*dealt.columns)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["frame", "width", "height", "rgb", "halo", "video_id"]).to_pylist(), key=lambda r: r["frame"])
+        table = table.sort_by("frame")
+        numbers = [table.column(c).to_pylist() for c in ("video_id", "frame", "width", "height", "halo")]
         out, before = [], None
-        for r in rows:
-            image = as_image(r["rgb"], r["width"], r["height"])
-            now = hsv_planes(image).reshape(-1, 3), edge_map(image) if edge else None
-            if not r["halo"]:
+        for video, frame, width, height, copied, rgb in zip(*numbers, table.column("rgb"), strict=True):
+            image = as_image(memoryview(rgb.as_buffer()), width, height)
+            now = hsv_planes(image).reshape(3, -1), edge_map(image) if edge else None
+            if not copied:
                 h = s = v = e = score = 0.0
                 if before:
-                    n = min(len(now[0]), len(before[0]))
-                    deltas = np.abs(now[0][:n] - before[0][:n]).sum(0)
+                    n = min(now[0].shape[1], before[0].shape[1])
+                    deltas = np.abs(now[0][:, :n] - before[0][:, :n]).sum(1, dtype=np.int64)
                     if edge and now[1].shape == before[1].shape and now[1].size:
-                        e = float(np.abs(now[1].astype(int) - before[1].astype(int)).mean())
+                        e = float(255.0 * np.count_nonzero(now[1] != before[1]) / now[1].size)
                     h, s, v = (float(x) / max(n, 1) for x in deltas)
                     score = float(hue * deltas[0] + sat * deltas[1] + val * deltas[2] + edge * e * n) / (n * total) if n and total else 0.0
-                out.append((r["video_id"], r["frame"], score, h, s, v, e))
+                out.append((video, frame, score, h, s, v, e))
             before = now
         names = ["video_id", "frame", "content_val", "delta_hue", "delta_saturation", "delta_luminance", "delta_edges"]
         kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 5]
@@ -103,8 +104,9 @@ def luma_scores(frames: DataFrame) -> DataFrame:
 
 
 def histogram_scores(frames: DataFrame, config: Histogram = Histogram(), chunk: int = CHUNK) -> DataFrame:
-    """video_id, frame, hist_diff (correlation with the frame before; 0 for the first), first."""
-    rows = with_previous(frames.select("video_id", "frame", luma_histogram(F.col("px"), config.bins).alias("hist")), ["hist"], chunk)
+    """video_id, frame, hist_diff (correlation with the frame before; 0 for the first), first; of px or binary frames."""
+    hist = luma_histogram(F.col("px"), config.bins) if "px" in frames.columns else binary_histogram("rgb", "width", "height", config.bins)
+    rows = with_previous(frames.select("video_id", "frame", hist.alias("hist")), ["hist"], chunk)
     first = F.col("prev_hist").isNull()
     return rows.select("video_id", "frame", F.when(first, 0.0).otherwise(correlation(F.col("prev_hist"), F.col("hist"))).alias("hist_diff"), first.alias("first"))
 

@@ -39,20 +39,28 @@ def even_scenes(spans: DataFrame, limit: int = MAX_SCENES) -> DataFrame:
 def scene_hashes(signatures: DataFrame, spans: DataFrame) -> DataFrame:
     """video_id, scene_number, hash (bitwise majority; a tie takes the first frame's bit), samples."""
     rows = containing(signatures.select("video_id", "frame", "hash"), spans, "frame").where("scene_number is not null")
-    ones = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{k}") for k in range(BITS)]
-    counted = rows.groupBy("video_id", "scene_number").agg(F.count("*").alias("samples"), F.min_by("hash", "frame").alias("first"), *ones)
-    bit = lambda k: F.when(2 * F.col(f"b{k}") > F.col("samples"), 1).when(2 * F.col(f"b{k}") < F.col("samples"), 0).otherwise(F.shiftrightunsigned("first", k).bitwiseAND(F.lit(1).cast("long"))).cast("long")
-    value = bit(0)
-    for k in range(1, BITS):
-        value = value.bitwiseOR(F.shiftleft(bit(k), k))
+    ones = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(BITS)]
+    counted = rows.groupBy("video_id", "scene_number").agg(F.count("*").alias("samples"), F.min_by("hash", "frame").alias("first"), F.array(*ones).alias("ones"))
+    one = F.lit(1).cast("long")
+    shift = lambda name, value, k: F.call_function(name, value, k)
+
+    def with_bit(value, votes, k):
+        bit = F.when(2 * votes > F.col("samples"), one).when(2 * votes < F.col("samples"), F.lit(0).cast("long")).otherwise(shift("shiftrightunsigned", F.col("first"), k).bitwiseAND(one))
+        return value.bitwiseOR(shift("shiftleft", bit, k))
+
+    numbered = F.transform("ones", lambda votes, k: F.struct(votes.alias("votes"), k.alias("k")))
+    value = F.aggregate(numbered, F.lit(0).cast("long"), lambda a, x: with_bit(a, x["votes"], x["k"]))
     return counted.select("video_id", "scene_number", value.alias("hash"), "samples")
 
 
 def similar_pairs(hashes: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
     """The most closest pairs of scenes of each video; hashes has at most MAX_SCENES scenes a video."""
-    a, b = hashes.alias("a"), hashes.alias("b")
-    distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash")))
-    pairs = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a.scene_number") < F.col("b.scene_number"))).select(F.col("a.video_id").alias("video_id"), F.col("a.scene_number").alias("first_scene"), F.col("b.scene_number").alias("second_scene"), distance.cast("int").alias("distance"))
+    scene = F.struct("scene_number", "hash")
+    listed = hashes.groupBy("video_id").agg(F.sort_array(F.collect_list(scene)).alias("scenes"))
+    first = listed.select("video_id", "scenes", F.posexplode("scenes").alias("k", "a"))
+    pairs = first.select("video_id", "a", F.explode(F.slice("scenes", F.col("k") + 2, F.size("scenes"))).alias("b"))
+    distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))).cast("int")
+    pairs = pairs.select("video_id", F.col("a.scene_number").alias("first_scene"), F.col("b.scene_number").alias("second_scene"), distance.alias("distance"))
     order = Window.partitionBy("video_id").orderBy("distance", "first_scene", "second_scene")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("similarity", 1.0 - F.col("distance") / BITS)
 

@@ -38,15 +38,18 @@ def boundary_count(spans: DataFrame) -> DataFrame:
     return spans.groupBy("video_id").agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("boundaries"))
 
 
-def containing(points: DataFrame, spans: DataFrame, point: str) -> DataFrame:
+def containing(points: DataFrame, spans: DataFrame, point: str, chunk: int = 4096) -> DataFrame:
     """points with scene_number, start, end of the span that holds them: an as-of join, as spans tile the axis.
 
-    Both sides meet in one ordered window by video, so no pair of a point and a span is tried.
+    Both sides meet in ordered windows by video and chunk of frames, so no pair of a point and a span is
+    tried and no video is sorted whole; a span stands in every chunk that it reaches.
     """
     cols = points.columns
-    marks = spans.select("video_id", F.col("start").alias("__at"), F.struct("scene_number", "start", "end").alias("__span"), F.lit(None).cast(points.select(F.struct(*cols)).schema[0].dataType).alias("__row"))
-    rows = points.select("video_id", F.col(point).alias("__at"), F.lit(None).cast(marks.schema["__span"].dataType).alias("__span"), F.struct(*cols).alias("__row"))
-    w = Window.partitionBy("video_id").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    chunk_of = lambda x: F.floor(x / chunk).cast("long")
+    reached = F.explode(F.sequence(chunk_of(F.col("start")), chunk_of(F.greatest(F.col("end") - 1, F.col("start")))))
+    marks = spans.select("video_id", F.col("start").alias("__at"), F.struct("scene_number", "start", "end").alias("__span"), F.lit(None).cast(points.select(F.struct(*cols)).schema[0].dataType).alias("__row"), reached.alias("__chunk"))
+    rows = points.select("video_id", F.col(point).alias("__at"), F.lit(None).cast(marks.schema["__span"].dataType).alias("__span"), F.struct(*cols).alias("__row"), chunk_of(F.col(point)).alias("__chunk"))
+    w = Window.partitionBy("video_id", "__chunk").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = marks.unionByName(rows).withColumn("__span", F.last("__span", ignorenulls=True).over(w)).where("__row is not null")
     inside = F.when(F.col("__at") < F.col("__span.end"), F.col("__span"))
     return found.select("__row.*", inside.alias("__span")).select(*cols, "__span.scene_number", "__span.start", "__span.end")

@@ -206,3 +206,17 @@ def test_order_check(spark):
     assert sources.check_order(good, "t").count() == 2
     with pytest.raises(PySparkException):
         sources.check_order(good.union(good), "t").collect()
+
+
+def test_joins_cross_chunks_of_the_axis(spark):
+    s = spark.createDataFrame([(0, 1, 0, 9000), (0, 2, 9000, 9001), (0, 3, 9001, 30000)], "video_id long, scene_number int, start long, end long")
+    p = spark.createDataFrame([(0, x) for x in (0, 4096, 8999, 9000, 9001, 20000, 29999, 30000, 50000)], "video_id long, at long")
+    found = spans.containing(p, s, "at").orderBy("at").collect()
+    assert [r["scene_number"] for r in found] == [1, 1, 1, 2, 3, 3, 3, None, None]
+    marks = spark.createDataFrame([(0, 0, 0.0), (0, 1, 5000.0), (0, 2, 40000.0)], "video_id long, sample long, media_time_seconds double")
+    times = spark.createDataFrame([(0, 1.0), (0, 4095.0), (0, 22500.0), (0, 22501.0), (0, 90000.0), (1, 3.0)], "video_id long, time double")
+    near = joins.nearest_sample(times, marks).orderBy("video_id", "time").collect()
+    assert [r["sample"] for r in near] == [0, 1, 1, 2, 2, None]
+    at = spark.createDataFrame([(0, x) for x in (0, 1, 9000, 9001)], "video_id long, sample_at long")
+    some = spark.createDataFrame([(0, 0), (0, 9000)], "video_id long, sample long")
+    assert [r["previous"] for r in joins.previous_sample(at, some).orderBy("sample_at").collect()] == [0, 0, 0, 9000]

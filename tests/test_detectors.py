@@ -180,3 +180,10 @@ def test_reconstructed_decisions(spark):
     assert [r.decision for r in rows] == ["not_evaluated", "below_threshold", "accepted", "below_threshold"]
     assert rows[0].score == 1.0 and scores.insight_score(api.stats(gray(spark, 0, 0), Histogram(), Options(1)).select("video_id", "frame", "metrics"), "histogram", 0.05).where("frame = 0").first().score == 0.0
     assert F is not None
+
+
+def test_binary_histograms_equal_those_of_pixels(spark):
+    frames = solid_frames(spark, [(0, 0, 0), (10, 200, 30), (10, 200, 30), (255, 255, 255)], 3)
+    plain = scores.histogram_scores(to_pixels(frames)).orderBy("frame").collect()
+    binary = scores.histogram_scores(frames).orderBy("frame").collect()
+    assert [(r["frame"], round(r["hist_diff"], 9), r["first"]) for r in binary] == [(r["frame"], round(r["hist_diff"], 9), r["first"]) for r in plain]
