@@ -6,6 +6,7 @@ from .decontaminate import WINDOW as ITEM_WINDOW
 from .lines import MIN_CHARS, MIN_SITES
 from .quality import MAX_GRAM_CHARS, MAX_LINE_CHARS
 from .substrings import WINDOW
+from .vectorcodes import ENTRIES, PARTS, ROUNDS, SCALE
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,4 +84,41 @@ f AS (SELECT x.d, x.p, x.raw, b.line IS NOT NULL AND NOT (x.doc_id = b.first.i A
 g AS (SELECT d, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(raw, chr(10) ORDER BY p) FILTER (NOT gone) AS s FROM f GROUP BY d)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN g ON g.d = t.d"""
 
-ORACLES = {"op3_quality_rules": OP3, "op4_near_dedup": OP4, "op6_decontaminate": OP6, "op8_substring_dedup": OP8, "op10_line_dedup": OP10}
+
+
+def _codes_sql() -> str:
+    """Six rounds of assignment and mean, unrolled."""
+    near = """a{i} AS MATERIALIZED (SELECT r, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+      SELECT r, p.part, e, list_sum(list_transform(range(1, len(w) + 1), lambda k: (w[k] - cw[k]) * (w[k] - cw[k])))::BIGINT AS d FROM p JOIN c{i} c ON c.part = p.part) GROUP BY r, part)"""
+    mean = """s{j} AS (SELECT part, e, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.part, e, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM a{i} a JOIN p ON p.r = a.r AND p.part = a.part) GROUP BY ALL),
+    m{j} AS (SELECT part, e, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY k) AS cw FROM s{j} GROUP BY part, e),
+    c{j} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.cw, c.cw) AS cw FROM c{i} c LEFT JOIN m{j} m ON m.part = c.part AND m.e = c.e)"""
+    rounds = ",".join(near.format(i=i) + "," + mean.format(i=i, j=i + 1) for i in range(ROUNDS)) + "," + near.format(i=ROUNDS)
+    return f"""
+WITH q AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {PARTS} + 1:(part + 1) * len(v) // {PARTS}] AS w FROM q, range({PARTS}) t(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, w AS cw FROM p WHERE r <= {ENTRIES}), {rounds},
+b AS (SELECT sha256(string_agg(array_to_string(cw, ','), ',' ORDER BY part, e)) AS h FROM c{ROUNDS}),
+f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM f JOIN q ON q.r = f.r, b"""
+
+
+OP12 = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+  100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 10 * length(t.text), regexp_matches(t.text, '[#$%&*|]'), coalesce(t.doc_id > first, false)] AS f
+  FROM t JOIN e ON e.text = t.text LEFT JOIN l ON l.doc_id = t.doc_id),
+g AS (SELECT part, f, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, 15 - a.i - b.i - c.i - d.i] AS p FROM x a, x b, x c, x d WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+s AS (SELECT array_to_string(list_transform(p, lambda k: substr('ABCDE', k::INT, 1)), '') AS filter_order, p, i AS step FROM o, x),
+u AS (SELECT part, filter_order, step, p[step] AS own, f[p[step]] AS fails, len(list_filter(p[1:step - 1], lambda k: f[k])) AS before, len(list_filter(f, lambda y: y)) AS n_fails, n, good, toxic FROM g, s),
+v AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (before = 0 AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (before = 0 AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (before > 0 AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (before = 0 AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (before = 0 AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM u GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM v"""
+
+ORACLES = {"op3_quality_rules": OP3, "op4_near_dedup": OP4, "op6_decontaminate": OP6, "op8_substring_dedup": OP8, "op10_line_dedup": OP10, "op11_vector_codes": _codes_sql(), "op12_filter_audit": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licenses, lines, mixing, neardup, pii, quality, secrets, spans, substrings
+from . import decontaminate, filteraudit, html, licenses, lines, mixing, neardup, pii, quality, secrets, simhash, spans, substrings, vectorcodes
 
 
 def table(spark, sf_dir: str, name: str):
@@ -69,4 +69,21 @@ def op10_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_quality_rules, op4_near_dedup, op5_pii, op6_decontaminate, op7_html_extraction, op8_substring_dedup, op9_source_mixing, op10_line_dedup)}
+def op11_vector_codes(spark, sf_dir):
+    """Part codes of every vector by codebooks learnt from all of them, with errors by row and by label."""
+    codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    found = vectorcodes.label_errors(codes)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    """What each order of the five filters keeps and removes of every part of the documents."""
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_simhash_dedup(spark, sf_dir):
+    """Fingerprint and component of every document over links of four differing bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_quality_rules, op4_near_dedup, op5_pii, op6_decontaminate, op7_html_extraction, op8_substring_dedup, op9_source_mixing, op10_line_dedup, op11_vector_codes, op12_filter_audit, op13_simhash_dedup)}
