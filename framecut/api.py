@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import Adaptive, Content, Fade, Hash, Histogram, Options
-from .functions import image
-from .operators import decisions, review, scores, spans
+from .operators import decisions, features, review, scores, spans
 
 
 class Detection(NamedTuple):
@@ -25,12 +24,12 @@ def frame_scores(frames: DataFrame, config) -> DataFrame:
     binary = "px" not in frames.columns
     if isinstance(config, (Content, Adaptive)):
         content = config if isinstance(config, Content) else Content()
-        rows = scores.binary_content_scores(frames, content) if binary else scores.content_scores(frames, content)
+        rows = features.image_content_scores(frames, content) if binary else scores.content_scores(frames, content)
         return scores.adaptive_scores(rows, config.frame_window) if isinstance(config, Adaptive) else rows
     if isinstance(config, Fade):
-        return frames.select("video_id", "frame", image.binary_mean_luma("rgb", "width", "height").alias("average_rgb")) if binary else scores.luma_scores(frames)
+        return features.frame_features(frames, luma=True) if binary else scores.luma_scores(frames)
     if isinstance(config, Hash):
-        return scores.hash_scores(frames.select("video_id", "frame", image.phash("rgb", "width", "height", config.size, config.lowpass).alias("bits")))
+        return scores.hash_scores(features.frame_features(frames, phash=(config.size, config.lowpass)))
     return scores.histogram_scores(frames, config)
 
 

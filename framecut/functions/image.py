@@ -22,24 +22,59 @@ S_SCALE = np.rint(255 * 4096 / np.maximum(np.arange(256), 1)).astype(np.int32)
 H_SCALE = np.rint(180 * 4096 / (6.0 * np.maximum(np.arange(256), 1))).astype(np.int32)
 
 
+def planes(image: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Red, green and blue as flat bytes."""
+    return tuple(np.ascontiguousarray(image[..., k]).ravel() for k in range(3))
+
+
+@lru_cache(maxsize=1)
+def hsv_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Saturation at value << 8 | range, and hue at (turn + 256) << 8 | range; turn is the scaled place on the wheel."""
+    d = np.arange(256)
+    saturation = np.minimum((d * S_SCALE[:, None] + 2048) >> 12, 255)
+    hue = (np.arange(-256, 5 * 256)[:, None] * H_SCALE[d] + 2048) >> 12
+    hue = hue + 180 * (hue < 0) - 180 * (hue >= 180)
+    # Turns that no range of that size allows are never looked up.
+    return saturation.astype(np.uint8).ravel(), np.clip(hue, 0, 255).astype(np.uint8).ravel()
+
+
 def hsv_planes(image: np.ndarray) -> np.ndarray:
-    """3 x height x width int16 of hue (0 to 179), saturation and value."""
-    r, g, b = np.ascontiguousarray(np.moveaxis(image, -1, 0), np.int16)
+    """3 x pixels bytes of hue (0 to 179), saturation and value."""
+    saturation, hue = hsv_tables()
+    r, g, b = planes(image)
     v = np.maximum(np.maximum(r, g), b)
     d = v - np.minimum(np.minimum(r, g), b)
-    out = np.empty((3, *v.shape), np.int16)
-    # Of pixels without colour the range is 0, and so are both products.
-    out[1] = (d * S_SCALE[v] + 2048) >> 12
-    turn = np.where(v == r, g - b, np.where(v == g, b - r + 2 * d, r - g + 4 * d))
-    hue = (turn * H_SCALE[d] + 2048) >> 12
-    out[0] = hue + 180 * (hue < 0) - 180 * (hue >= 180)
+    out = np.empty((3, v.size), np.uint8)
     out[2] = v
+    # Of pixels without colour the range is 0, and so are both entries.
+    np.take(saturation, (v.astype(np.uint16) << 8) | d, out=out[1], mode="clip")
+    red, green = v == r, v == g
+    r, g, b, wide = (x.astype(np.int16) for x in (r, g, b, d))
+    turn = np.where(red, g - b, np.where(green, b - r + 2 * wide, r - g + 4 * wide))
+    np.take(hue, ((turn + 256).astype(np.int32) << 8) | d, out=out[0], mode="clip")
     return out
 
 
 def luma_plane(image: np.ndarray) -> np.ndarray:
-    x = image.astype(np.float64)
-    return 0.299 * x[..., 0] + 0.587 * x[..., 1] + 0.114 * x[..., 2]
+    r, g, b = planes(image)
+    return (0.299 * r + 0.587 * g + 0.114 * b).reshape(image.shape[:2])
+
+
+def mean_luma(image: np.ndarray) -> float:
+    """Mean luma out of whole sums; 0 without pixels."""
+    if not image.size:
+        return 0.0
+    r, g, b = (int(p.sum(dtype=np.int64)) for p in planes(image))
+    return (0.299 * r + 0.587 * g + 0.114 * b) / (image.size // 3)
+
+
+def luma_counts(image: np.ndarray, bins: int) -> np.ndarray:
+    """Counts of pixels by luma bin, divided by their Euclidean norm if that is above 0."""
+    bins = max(1, bins)
+    which = np.clip((luma_plane(image).ravel() * bins / 256.0).astype(np.int64), 0, bins - 1)
+    counts = np.bincount(which, minlength=bins).astype(np.float64)
+    norm = np.sqrt((counts * counts).sum())
+    return counts / norm if norm > 0 else counts
 
 
 def box_resize(plane: np.ndarray, n: int) -> np.ndarray:
@@ -150,26 +185,6 @@ def fingerprint(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Serie
     return _each(similarity_hash, rgb, width, height)
 
 
-@F.pandas_udf(T.DoubleType())
-def binary_mean_luma(rgb: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    return _each(lambda i: float(luma_plane(i).mean()) if i.size else 0.0, rgb, width, height)
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _histogram(rgb: pd.Series, width: pd.Series, height: pd.Series, bins: pd.Series) -> pd.Series:
-    def one(image, n):
-        counts = np.bincount(np.clip(np.floor(luma_plane(image).ravel() * n / 256.0), 0, n - 1).astype(np.int64), minlength=n).astype(np.float64)
-        norm = np.sqrt((counts * counts).sum())
-        return counts / norm if norm > 0 else counts
-
-    return pd.Series([one(as_image(*row[:3]), row[3]) for row in zip(rgb, width, height, bins, strict=True)])
-
-
-def binary_histogram(rgb, width, height, bins: int):
-    """Counts of a binary frame's pixels by luma bin, divided by their Euclidean norm if that is above 0."""
-    return _histogram(rgb, width, height, F.lit(max(1, bins)))
-
-
 @F.pandas_udf(T.LongType())
 def differing_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Places at which two byte strings of one length differ; null if a length differs or one is null."""

@@ -1,8 +1,8 @@
 """Scores of neighbouring frames.
 
 ``with_previous`` gives each row its predecessor's features without holding a video in one task:
-rows are dealt by (video, chunk of frames), and the last row of each chunk is copied into the
-next one.  Only one number a chunk meets its video in one window.
+rows are dealt by (video, chunk of frames), and the features of each chunk's last row go to the
+next one.  Only one row a chunk meets its video in one window.
 """
 
 from __future__ import annotations
@@ -11,23 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Content, Histogram
-from ..functions.image import binary_histogram, differing_bytes
+from ..functions.image import differing_bytes
 from ..functions.pixel import correlation, hsv, luma_histogram, mean_luma
+from .features import frame_features
 
 CHUNK = 512
 EPSILON = 1e-6
 
 
 def with_previous(rows: DataFrame, columns: list[str], chunk: int = CHUNK) -> DataFrame:
-    """rows with prev_<column> of the row before in frame order; null for a video's first row."""
-    dealt = rows.withColumn("__chunk", F.floor(F.col("frame") / chunk)).withColumn("__halo", F.lit(False))
-    last = dealt.groupBy("video_id", "__chunk").agg(F.max("frame").alias("frame"))
-    following = F.lead("__chunk").over(Window.partitionBy("video_id").orderBy("__chunk"))
-    copies = last.withColumn("__to", following).where("__to is not null").select("video_id", "frame", "__to")
-    halo = dealt.join(copies, ["video_id", "frame"]).withColumn("__chunk", F.col("__to")).withColumn("__halo", F.lit(True)).select(*dealt.columns)
+    """rows with prev_<column> of the row before in frame order; null for a video's first row.
+
+    Rows meet their chunk in one shuffle, which both branches below read; a chunk's last features join its successor's first row.
+    """
+    dealt = rows.withColumn("__chunk", F.floor(F.col("frame") / chunk)).repartition("video_id", "__chunk")
+    ends = dealt.groupBy("video_id", "__chunk").agg(F.max_by(F.struct(*columns), "frame").alias("__end"))
+    carried = ends.select("video_id", "__chunk", F.lag("__end").over(Window.partitionBy("video_id").orderBy("__chunk")).alias("__end"))
     w = Window.partitionBy("video_id", "__chunk").orderBy("frame")
-    both = dealt.unionByName(halo)
-    return both.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns}).where(~F.col("__halo")).drop("__chunk", "__halo")
+    inside = dealt.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns} | {"__n": F.row_number().over(w)})
+    carried = carried.select(F.col("video_id").alias("__video"), F.col("__chunk").alias("__of"), "__end")
+    # Null-safe, so that no filter goes below only one side and both keep sharing the shuffle.
+    joined = inside.join(carried, F.col("video_id").eqNullSafe(F.col("__video")) & F.col("__chunk").eqNullSafe(F.col("__of")), "left")
+    out = joined.withColumns({f"prev_{c}": F.when(F.col("__n") == 1, F.col(f"__end.{c}")).otherwise(F.col(f"prev_{c}")) for c in columns})
+    return out.drop("__chunk", "__end", "__n", "__video", "__of")
 
 
 def content_scores(frames: DataFrame, config: Content = Content(), chunk: int = CHUNK) -> DataFrame:
@@ -59,45 +65,6 @@ def edge_distance(a: Column, b: Column) -> Column:
     return F.when(F.length(a) > 0, F.coalesce(255.0 * differ / F.length(a), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def binary_content_scores(frames: DataFrame, config: Content = Content(), chunk: int = 32) -> DataFrame:
-    """content_scores of binary rgb frames: numpy within chunks of one video, each with its predecessor's frame."""
-    import numpy as np
-    import pyarrow as pa
-
-    from ..functions.image import as_image, edge_map, hsv_planes
-
-    hue, sat, val, edge = config.used_weights
-    total = sum(map(abs, (hue, sat, val, edge)))
-    dealt = frames.select("video_id", "frame", "width", "height", "rgb").withColumn("part", F.floor(F.col("frame") / chunk)).withColumn("halo", F.lit(False))
-    last = dealt.groupBy("video_id", "part").agg(F.max("frame").alias("frame"))
-    copies = last.withColumn("to", F.lead("part").over(Window.partitionBy("video_id").orderBy("part"))).where("to is not null").select("video_id", "frame", "to")
-    halo = dealt.join(copies, ["video_id", "frame"]).withColumn("part", F.col("to")).withColumn("halo", F.lit(True)).select(*dealt.columns)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame")
-        numbers = [table.column(c).to_pylist() for c in ("video_id", "frame", "width", "height", "halo")]
-        out, before = [], None
-        for video, frame, width, height, copied, rgb in zip(*numbers, table.column("rgb"), strict=True):
-            image = as_image(memoryview(rgb.as_buffer()), width, height)
-            now = hsv_planes(image).reshape(3, -1), edge_map(image) if edge else None
-            if not copied:
-                h = s = v = e = score = 0.0
-                if before:
-                    n = min(now[0].shape[1], before[0].shape[1])
-                    deltas = np.abs(now[0][:, :n] - before[0][:, :n]).sum(1, dtype=np.int64)
-                    if edge and now[1].shape == before[1].shape and now[1].size:
-                        e = float(255.0 * np.count_nonzero(now[1] != before[1]) / now[1].size)
-                    h, s, v = (float(x) / max(n, 1) for x in deltas)
-                    score = float(hue * deltas[0] + sat * deltas[1] + val * deltas[2] + edge * e * n) / (n * total) if n and total else 0.0
-                out.append((video, frame, score, h, s, v, e))
-            before = now
-        names = ["video_id", "frame", "content_val", "delta_hue", "delta_saturation", "delta_luminance", "delta_edges"]
-        kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 5]
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
-
-    return dealt.unionByName(halo).groupBy("video_id", "part").applyInArrow(run, "video_id long, frame long, content_val double, delta_hue double, delta_saturation double, delta_luminance double, delta_edges double")
-
-
 def luma_scores(frames: DataFrame) -> DataFrame:
     """video_id, frame, average_rgb (mean luma)."""
     return frames.select("video_id", "frame", mean_luma(F.col("px")).alias("average_rgb"))
@@ -105,8 +72,8 @@ def luma_scores(frames: DataFrame) -> DataFrame:
 
 def histogram_scores(frames: DataFrame, config: Histogram = Histogram(), chunk: int = CHUNK) -> DataFrame:
     """video_id, frame, hist_diff (correlation with the frame before; 0 for the first), first; of px or binary frames."""
-    hist = luma_histogram(F.col("px"), config.bins) if "px" in frames.columns else binary_histogram("rgb", "width", "height", config.bins)
-    rows = with_previous(frames.select("video_id", "frame", hist.alias("hist")), ["hist"], chunk)
+    hists = frames.select("video_id", "frame", luma_histogram(F.col("px"), config.bins).alias("hist")) if "px" in frames.columns else frame_features(frames, bins=config.bins)
+    rows = with_previous(hists, ["hist"], chunk)
     first = F.col("prev_hist").isNull()
     return rows.select("video_id", "frame", F.when(first, 0.0).otherwise(correlation(F.col("prev_hist"), F.col("hist"))).alias("hist_diff"), first.alias("first"))
 

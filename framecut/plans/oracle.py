@@ -83,6 +83,21 @@ _PHASH = f"""{_GRAY}, coef AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16) * C
     plane AS (SELECT frame, k // 8 AS y, k % 8 AS x, l / greatest(1, max(l) OVER (PARTITION BY frame)) AS s FROM (SELECT frame, k, {_LUMA} AS l FROM gray)),
     low AS (SELECT frame, a.u * 4 + b.u AS k, sum(a.c * s * b.c) AS x FROM plane JOIN coef a ON a.x = plane.y JOIN coef b ON b.x = plane.x GROUP BY ALL),
     bits AS (SELECT frame, k, x > median(x) OVER (PARTITION BY frame) AS bit FROM (SELECT frame, k, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE x END AS x FROM low))"""
+# Frames of 8 x 8 areas: 320 x 180 by the areas' sizes, 20 x 12 pixel by pixel, where cells of 8 x 8 overlap.
+_WIDE = "wide AS (SELECT vec_id AS frame, k, {} AS r, {} AS g, {} AS b FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS k))".format(*(_BYTE.format(f"embedding[(k + {c}) % 64 + 1]") for c in range(3)))
+_AREA = "area AS (SELECT y * 8 + x AS k, rows * columns AS n FROM (SELECT i * 8 // 180 AS y, count(*) AS rows FROM range(180) t(i) GROUP BY 1), (SELECT i * 8 // 320 AS x, count(*) AS columns FROM range(320) t(i) GROUP BY 1))"
+_WIDE_CONTENT = f"""{_WIDE}, {_AREA}, {_hsv('wide')}, ord AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev FROM (SELECT DISTINCT frame FROM hsv)),
+    delta AS (SELECT o.frame, coalesce(sum(n * abs(a.h - b.h)), 0)::DOUBLE / 57600 AS h, coalesce(sum(n * abs(a.s - b.s)), 0)::DOUBLE / 57600 AS s, coalesce(sum(n * abs(a.v - b.v)), 0)::DOUBLE / 57600 AS v
+      FROM ord o JOIN hsv a ON a.frame = o.frame JOIN area ON area.k = a.k LEFT JOIN hsv b ON b.frame = o.prev AND b.k = a.k GROUP BY o.frame)"""
+_WIDE_FEATURES = f"""{_WIDE}, {_AREA}, mean AS (SELECT frame, sum(n * ({_LUMA})) / 57600 AS m FROM wide JOIN area USING (k) GROUP BY frame),
+    bins AS (SELECT frame, least(15, floor(({_LUMA}) * 16 / 256.0::DOUBLE))::INT AS bin, sum(n)::DOUBLE AS c FROM wide JOIN area USING (k) GROUP BY ALL),
+    hist AS (SELECT frame, coalesce(sum(c) FILTER (bin = 7), 0) / sqrt(sum(c * c)) AS bin_7, sum(c) / sqrt(sum(c * c)) AS hist_sum FROM bins GROUP BY frame),
+    coef AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16) * CASE WHEN u = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END AS c FROM range(4) a(u), range(8) b(x)),
+    px AS (SELECT frame, y, x, {_LUMA} AS l FROM range(12) a(y), range(20) b(x), wide WHERE k = (y * 8 // 12) * 8 + x * 8 // 20),
+    box AS (SELECT frame, i, j, avg(l) AS l FROM px, range(8) a(i), range(8) b(j) WHERE y >= i * 12 // 8 AND y < (i * 12 + 19) // 8 AND x >= j * 20 // 8 AND x < (j * 20 + 27) // 8 GROUP BY ALL),
+    plane AS (SELECT frame, i AS y, j AS x, l / greatest(1, max(l) OVER (PARTITION BY frame)) AS s FROM box),
+    low AS (SELECT frame, a.u * 4 + b.u AS k, sum(a.c * s * b.c) AS x FROM plane JOIN coef a ON a.x = plane.y JOIN coef b ON b.x = plane.x GROUP BY ALL),
+    bits AS (SELECT frame, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM (SELECT frame, k, x > median(x) OVER (PARTITION BY frame) AS bit FROM (SELECT frame, k, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE x END AS x FROM low)) GROUP BY frame)"""
 _HASH_CUTS = f"""{_PHASH}, ord AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS prev FROM (SELECT DISTINCT frame FROM bits)),
     hc AS (SELECT 0 AS video_id, o.frame FROM ord o JOIN bits a ON a.frame = o.frame JOIN bits b ON b.frame = o.prev AND b.k = a.k GROUP BY o.frame HAVING count(*) FILTER (a.bit <> b.bit) / 16.0::DOUBLE >= 0.625), total AS (SELECT count(*) AS total FROM ord)"""
 _PRINT = f"""{_GRAY}, coef AS (SELECT u, x // 4 AS x, sum(cos(pi() * (2 * x + 1) * u / 64) * CASE WHEN u = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END) AS c FROM (SELECT unnest(generate_series(0, 7)) AS u), (SELECT unnest(generate_series(0, 31)) AS x) GROUP BY ALL),
@@ -130,6 +145,8 @@ ORACLES = {
     "luma_histogram": f"WITH {_HIST} SELECT frame, bin, round(x, 6) AS x FROM hist",
     "compact_luma": f"WITH {_RGB}, cell AS (SELECT unnest(generate_series(0, 15)) AS cell) SELECT frame, cell::INT AS cell, ((77 * r + 150 * g + 29 * b + 128) >> 8)::INT AS luma FROM cell JOIN rgb ON k = least((2 * (cell // 4) + 1) * 3 // 8, 2) * 7 + least((2 * (cell % 4) + 1) * 7 // 8, 6)",
     "content_scores": f"WITH {_COLOR} SELECT frame, round((dh + ds + dv) / (n * 3), 6) AS content_val FROM delta",
+    "wide_content_scores": f"WITH {_WIDE_CONTENT} SELECT frame, round((h + s + v) / 3, 6) AS content_val, round(h, 6) AS delta_hue, round(s, 6) AS delta_saturation, round(v, 6) AS delta_luminance FROM delta",
+    "wide_features": f"WITH {_WIDE_FEATURES} SELECT frame, round(m * 57600000)::BIGINT AS luma_total, round(bin_7, 6) AS bin_7, round(hist_sum, 6) AS hist_sum, bits FROM mean JOIN hist USING (frame) JOIN bits USING (frame)",
     "binary_content_scores": f"WITH {_COLOR} SELECT frame, round((dh + ds + dv) / (n * 3), 6) AS content_val FROM delta",
     "content_components": f"WITH {_COLOR} SELECT frame, round((0.5::DOUBLE * dh + ds + 2 * dv) / (n * 3.5::DOUBLE), 6) AS content_val, round(dh / n, 6) AS delta_hue, round(ds / n, 6) AS delta_saturation, round(dv / n, 6) AS delta_luminance, 0.0::DOUBLE AS delta_edges FROM delta",
     "content_luma_only": f"WITH {_COLOR} SELECT frame, round(dv / n, 6) AS content_val FROM delta",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MERGE_LAST, Adaptive, Content, Fade, Histogram, Options
 from ..functions import image, pixel, timecode
-from ..operators import decisions, joins, quality, review, scores, similarity, spans, timeline
+from ..operators import decisions, features, joins, quality, review, scores, similarity, spans, timeline
 from ..sources import frames as sources
 from ..sources import tables
 
@@ -81,7 +81,19 @@ def edge_distance(spark, d):
 
 
 def binary_content_scores(spark, d):
-    return scores.binary_content_scores(_binary(tables.rgb_frames(spark, d))).select("frame", F.round("content_val", 6).alias("content_val"))
+    return features.image_content_scores(_binary(tables.rgb_frames(spark, d))).select("frame", F.round("content_val", 6).alias("content_val"))
+
+
+def wide_content_scores(spark, d):
+    return features.image_content_scores(tables.wide_frames(spark, d)).select("frame", *(F.round(c, 6).alias(c) for c in ("content_val", "delta_hue", "delta_saturation", "delta_luminance")))
+
+
+def wide_features(spark, d):
+    """Mean luma and histogram of frames of 320 x 180, and hashes of frames whose sides the hash doesn't divide."""
+    found = features.frame_features(tables.wide_frames(spark, d), luma=True, bins=16)
+    bits = features.frame_features(tables.wide_frames(spark, d, 20, 12), phash=(HASH_SIZE, HASH_LOWPASS))
+    text = F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits")
+    return found.join(bits, ["video_id", "frame"]).select("frame", F.round(F.col("average_rgb") * 57_600_000).cast("long").alias("luma_total"), F.round(F.get("hist", F.lit(7)), 6).alias("bin_7"), F.round(F.aggregate("hist", F.lit(0.0), lambda a, x: a + x), 6).alias("hist_sum"), text)
 
 
 def hist_scores(spark, d):
@@ -94,7 +106,7 @@ def hist_scenes(spark, d):
 
 
 def _hashes(spark, d):
-    return _binary(tables.gray_frames(spark, d)).select("video_id", "frame", image.phash("rgb", "width", "height", HASH_SIZE, HASH_LOWPASS).alias("bits"))
+    return features.frame_features(_binary(tables.gray_frames(spark, d)), phash=(HASH_SIZE, HASH_LOWPASS))
 
 
 def hash_bits(spark, d):
@@ -107,7 +119,7 @@ def hash_scenes(spark, d):
 
 
 def frame_fingerprints(spark, d):
-    prints = _binary(tables.gray_frames(spark, d)).select("frame", image.fingerprint("rgb", "width", "height").alias("hash"))
+    prints = features.frame_features(_binary(tables.gray_frames(spark, d)), fingerprint=True)
     return prints.select("frame", F.lpad(F.bin("hash"), 64, "0").alias("print"))
 
 
@@ -319,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_scenes, hsv_pixels, luma_mean, luma_histogram, compact_luma, content_scores, content_components, content_luma_only, content_decisions,
-        content_merge_last, edge_distance, binary_content_scores, hist_scores, hist_scenes, hash_bits, hash_scenes, frame_fingerprints, adaptive_scores, adaptive_scenes,
+        content_merge_last, edge_distance, binary_content_scores, wide_content_scores, wide_features, hist_scores, hist_scenes, hash_bits, hash_scenes, frame_fingerprints, adaptive_scores, adaptive_scenes,
         fade_events, fade_scenes, stats_long_to_wide, stats_rows_decisions, stored_scenes, threshold_preview, scene_counts, boundary_review, review_context,
         adaptive_review, effective_boundaries, reviewed_scenes, threshold_diff, scene_timeline, stride_samples, scene_selection, scene_majority_hash,
         scene_similarity_pairs, similarity_report, nearest_sample, previous_sample, compare_runs, score_downsample, boundary_match, boundary_match_totals,

@@ -27,6 +27,28 @@ def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("video_id"), F.col("vec_id").alias("frame"), F.lit(7).alias("width"), F.lit(3).alias("height"), px.alias("px"))
 
 
+def wide_frames(spark: SparkSession, sf_dir: str, width: int = 320, height: int = 180, grain: int = 0) -> DataFrame:
+    """video_id, frame, width, height, rgb: each embedding's 64 values as 8 x 8 areas of colour.
+
+    grain: each image's bytes are then changed by a fixed pattern of up to so much, as real ones don't compress.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cell = (np.arange(height) * 8 // height)[:, None] * 8 + (np.arange(width) * 8 // width)[None, :]
+    pattern = np.random.default_rng(7).integers(0, grain + 1, (height, width, 3), np.uint8)
+
+    def run(batches):
+        for b in batches:
+            for frame, values in zip(b.column("frame").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                v = np.array(values, np.uint8)
+                image = np.stack([v[cell], v[(cell + 1) % 64], v[(cell + 2) % 64]], axis=-1) ^ pattern
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([frame], pa.int64()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([image.tobytes()], pa.binary())], ["video_id", "frame", "width", "height", "rgb"])
+
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.transform("embedding", _byte).alias("bytes"))
+    return rows.mapInArrow(run, "video_id long, frame long, width int, height int, rgb binary")
+
+
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, frame, content_val, average_rgb: the values of each user's events in order."""
     order = Window.partitionBy("user_id").orderBy("event_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framecut import api
 from framecut.config import MERGE_LAST, Adaptive, Content, Fade, Hash, Histogram, Options, load, review_threshold
 from framecut.functions import image
-from framecut.operators import decisions, scores, spans
+from framecut.operators import decisions, features, scores, spans
 from framecut.sources.frames import solid_frames, to_pixels
 
 
@@ -57,9 +57,37 @@ def test_binary_scores_equal_pixel_scores(spark):
     for config in (Content(), Content(weights=(1.0, 0.0, 2.0, 0.5))):
         pixels = to_pixels(frames).withColumn("edge", image.edges("rgb", "width", "height"))
         a = scores.content_scores(pixels, config, chunk=7).orderBy("video_id", "frame").collect()
-        b = scores.binary_content_scores(frames, config, chunk=5).orderBy("video_id", "frame").collect()
-        for x, y in zip(a, b, strict=True):
-            assert tuple(x)[:2] == tuple(y)[:2] and np.allclose(list(x)[2:], list(y)[2:])
+        for dealt, step in ((frames, 1), (frames.repartition(5), 1), (frames.repartition(7, "frame"), 2), (frames.orderBy(F.desc("frame")), 1)):
+            b = features.image_content_scores(dealt.where("video_id = 1") if step == 2 else dealt, config, step).orderBy("video_id", "frame").collect()
+            for x, y in zip([r for r in a if step == 1 or r.video_id == 1], b, strict=True):
+                assert tuple(x)[:2] == tuple(y)[:2] and np.allclose(list(x)[2:], list(y)[2:])
+
+
+def test_few_images_leave_their_task(spark, monkeypatch):
+    """Of frames stored in order, two images a run go on; a step that skips frames is found out."""
+    kept = []
+    plain = features.cut
+    monkeypatch.setattr(features, "cut", lambda df: kept.append(plain(df)) or kept[-1])
+    frames = solid_frames(spark, [(k, 7 * k % 256, 3) for k in range(60)]).coalesce(1)
+    assert features.image_content_scores(frames.union(frames.withColumn("video_id", F.lit(9)))).count() == 120
+    assert kept[0].where("rgb is not null").count() == 4
+    assert features.image_content_scores(frames.where("frame < 0")).count() == 0
+    mixed = frames.where("frame % 2 = 0").union(frames.where("frame % 2 = 1"))
+    with pytest.raises(Exception, match="distance of these frames"):
+        features.image_content_scores(mixed, step=2).collect()
+
+
+def test_features_of_images(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, k, w, h, rng.integers(0, 256, 3 * w * h, np.uint8).tobytes()) for k, (w, h) in enumerate([(13, 7), (5, 5), (0, 0), (32, 18)])]
+    frames = spark.createDataFrame(rows, "video_id long, frame long, width int, height int, rgb binary")
+    found = features.frame_features(frames, luma=True, bins=8).orderBy("frame").collect()
+    for r, (_, _, w, h, rgb) in zip(found, rows, strict=True):
+        p = np.frombuffer(rgb, np.uint8).reshape(-1, 3).astype(float) @ [0.299, 0.587, 0.114]
+        counts = np.bincount(np.minimum(p * 8 // 256, 7).astype(int), minlength=8)
+        assert abs(r.average_rgb - (p.mean() if w else 0.0)) < 1e-9 and np.allclose(r.hist, counts / (np.linalg.norm(counts) or 1))
+    bits = features.frame_features(frames.where("frame <> 2"), phash=(4, 2), fingerprint=True).orderBy("frame").collect()
+    assert [len(r.bits) for r in bits] == [16] * 3 and len({r["hash"] for r in bits}) == 3
 
 
 def test_edges_golden(spark):
@@ -67,7 +95,7 @@ def test_edges_golden(spark):
     a[:, :32] = 255
     b[:32] = 255
     frames = spark.createDataFrame([(0, k, 64, 64, x.tobytes()) for k, x in enumerate((a, b))], "video_id long, frame long, width int, height int, rgb binary")
-    got = scores.binary_content_scores(frames, Content(weights=(0.0, 0.0, 0.0, 1.0))).orderBy("frame").collect()
+    got = features.image_content_scores(frames, Content(weights=(0.0, 0.0, 0.0, 1.0))).orderBy("frame").collect()
     assert got[1].delta_edges == got[1].content_val == 36.73095703125
 
 
