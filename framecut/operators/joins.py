@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,33 @@ def media_times(points: DataFrame, samples: DataFrame, duration: Column, fps: Co
     return rows.withColumn("media_time_seconds", F.coalesce("__t", F.when(F.col("sample") >= count, duration), F.col("sample") / fps)).drop("__t")
 
 
+class Unused:
+    """Places 0 to n - 1 of which some are taken; finds the nearest free one on each side, in all but constant time."""
+
+    def __init__(self, n: int):
+        self.up, self.down = list(range(n + 1)), list(range(n + 1))  # down holds place k at k + 1
+
+    @staticmethod
+    def _end(links: list[int], k: int) -> int:
+        end = k
+        while links[end] != end:
+            end = links[end]
+        while links[k] != end:
+            links[k], k = end, links[k]
+        return end
+
+    def above(self, k: int) -> int:
+        """The first free place from k on; n if there is none."""
+        return self._end(self.up, k)
+
+    def below(self, k: int) -> int:
+        """The last free place before k; -1 if there is none."""
+        return self._end(self.down, k) - 1
+
+    def take(self, k: int) -> None:
+        self.up[k], self.down[k + 1] = k + 1, k
+
+
 def compare_runs(current: DataFrame, saved: DataFrame, fps: float) -> DataFrame:
     """video_id, kind (shared, current_only, saved_only), current, saved: times of two runs' boundaries.
 
@@ -60,15 +89,18 @@ def compare_runs(current: DataFrame, saved: DataFrame, fps: float) -> DataFrame:
 
     def run(key, table):
         times = list(zip(table.column("time").to_pylist(), table.column("side").to_pylist(), strict=True))
-        mine, theirs, out = sorted(t for t, s in times if not s), sorted(t for t, s in times if s), []
+        mine, theirs = sorted(t for t, s in times if not s), sorted(t for t, s in times if s)
+        free, out = Unused(len(theirs)), []
         for t in mine:
-            best = min(theirs, key=lambda x: abs(x - t), default=None)
-            if best is not None and abs(best - t) <= tolerance:
-                theirs.remove(best)
-                out.append(("shared", t, best))
+            at = bisect.bisect_left(theirs, t)
+            near = [k for k in (free.below(at), free.above(at)) if 0 <= k < len(theirs)]
+            best = min(near, key=lambda k: (abs(theirs[k] - t), k), default=None)
+            if best is not None and abs(theirs[best] - t) <= tolerance:
+                free.take(best)
+                out.append(("shared", t, theirs[best]))
             else:
                 out.append(("current_only", t, None))
-        out += [("saved_only", None, t) for t in theirs]
+        out += [("saved_only", None, t) for k, t in enumerate(theirs) if free.above(k) == k]
         return pa.table({"video_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "kind": pa.array([o[0] for o in out], pa.string()), "current": pa.array([o[1] for o in out], pa.float64()), "saved": pa.array([o[2] for o in out], pa.float64())})
 
     return parted.groupBy("video_id", "part").applyInArrow(run, "video_id long, kind string, current double, saved double")

@@ -6,41 +6,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 
-def best_matching(reference: list[int], candidate: list[int], tolerance: int) -> list[tuple[int | None, int | None]]:
-    """Ordered one-to-one matching: most pairs, then least total delta; None stands for unmatched.
 
-    cost[i][j] is the best (pairs, -delta) of the suffixes from i and j.
+class Matching:
+    """Ordered one-to-one matching of one part: most pairs, then least total delta, by a banded table.
+
+    A reference boundary meets only the candidates within the tolerance, so row i keeps the scores of its candidates'
+    places low[i] to high[i]; left of them a row equals the one above, right of them its last score goes on.  A score is
+    pairs * UNIT - delta.  Of equally good choices a match comes first, then leaving out the reference, then the candidate.
     """
-    r, c = len(reference), len(candidate)
-    best = [[(0, 0)] * (c + 1) for _ in range(r + 1)]
-    for i in range(r - 1, -1, -1):
-        for j in range(c - 1, -1, -1):
-            options = [best[i + 1][j], best[i][j + 1]]
-            if (delta := abs(reference[i] - candidate[j])) <= tolerance:
-                pairs, total = best[i + 1][j + 1]
-                options.append((pairs + 1, total - delta))
-            best[i][j] = max(options)
-    out, i, j = [], 0, 0
-    while i < r or j < c:
-        delta = abs(reference[i] - candidate[j]) if i < r and j < c else tolerance + 1
-        if delta <= tolerance and best[i][j] == (best[i + 1][j + 1][0] + 1, best[i + 1][j + 1][1] - delta):
-            out.append((reference[i], candidate[j]))
-            i, j = i + 1, j + 1
-        elif j == c or i < r and best[i][j] == best[i + 1][j]:
-            out.append((reference[i], None))
-            i += 1
-        else:
-            out.append((None, candidate[j]))
-            j += 1
-    return out
+
+    def __init__(self, reference: list[int], candidate: list[int], tolerance: int):
+        self.reference, self.candidate, self.tolerance = reference, candidate, tolerance
+        unit = 1 + tolerance * (len(reference) + 1)
+        self.low, self.high, self.score = [0], [0], [[0]]
+        lo = hi = 0
+        for frame in reference:
+            while lo < len(candidate) and candidate[lo] < frame - tolerance:
+                lo += 1
+            hi = max(hi, lo)
+            while hi < len(candidate) and candidate[hi] <= frame + tolerance:
+                hi += 1
+            row = [self.at(len(self.score) - 1, lo)]
+            for j in range(lo + 1, hi + 1):
+                match = self.at(len(self.score) - 1, j - 1) + unit - abs(candidate[j - 1] - frame)
+                row.append(max(match, self.at(len(self.score) - 1, j), row[-1]))
+            self.low.append(lo)
+            self.high.append(hi)
+            self.score.append(row)
+        self.unit = unit
+
+    def at(self, i: int, j: int) -> int:
+        """The best score of the first i references with the first j candidates, for j from low[i] on."""
+        return self.score[i][min(j, self.high[i]) - self.low[i]]
+
+    def pairs(self, more: bool) -> tuple[list[tuple[int | None, int | None]], bool]:
+        """The pairs in order, None for unmatched; and whether candidates are left when the references have run out.
+
+        more: whether later parts have left over candidates, whose turn would come before that of this part's.
+        """
+        i, j, out = len(self.reference), len(self.candidate), []
+        while more and i and self.at(i - 1, j) == self.at(i, j):
+            i -= 1
+            out.append((self.reference[i], None))
+        more = more and not i
+        while i and j:
+            now = self.at(i, j) if j >= self.low[i] else None
+            if self.low[i] < j <= self.high[i] and now == self.at(i - 1, j - 1) + self.unit - abs(self.candidate[j - 1] - self.reference[i - 1]):
+                i, j = i - 1, j - 1
+                out.append((self.reference[i], self.candidate[j]))
+            elif j <= self.low[i] or now == self.at(i - 1, j):
+                i -= 1
+                out.append((self.reference[i], None))
+            else:
+                j -= 1
+                out.append((None, self.candidate[j]))
+        left = more or j > 0
+        out += [(None, c) for c in reversed(self.candidate[:j])] + [(r, None) for r in reversed(self.reference[:i])]
+        return out[::-1], left
 
 
 def matches(reference: DataFrame, candidate: DataFrame, tolerance: int) -> DataFrame:
     """case_id, kind (match, false_positive, false_negative), reference_frame, candidate_frame, delta.
 
     Boundaries of (case_id, frame).  No match crosses a gap above the tolerance, so cases fall into
-    small groups there, and each is solved by itself.
+    parts there, each solved by itself.  Among equally good matchings a part's choice depends on one thing of
+    the later parts: whether they leave over a candidate.  So each part is solved for both answers, and the answers
+    are settled from each case's end, with one row a part.
     """
     rows = reference.select("case_id", "frame", F.lit(0).alias("side")).unionByName(candidate.select("case_id", "frame", F.lit(1).alias("side")))
     w = Window.partitionBy("case_id").orderBy("frame", "side")
@@ -48,12 +81,29 @@ def matches(reference: DataFrame, candidate: DataFrame, tolerance: int) -> DataF
 
     def run(key, table):
         sides = [sorted(f for f, s in zip(table.column("frame").to_pylist(), table.column("side").to_pylist(), strict=True) if s == side) for side in (0, 1)]
-        found = best_matching(*sides, tolerance)
-        kinds = ["match" if a is not None and b is not None else "false_negative" if b is None else "false_positive" for a, b in found]
-        return pa.table({"case_id": pa.array([key[0].as_py()] * len(found), pa.string()), "kind": pa.array(kinds, pa.string()), "reference_frame": pa.array([a for a, _ in found], pa.int64()), "candidate_frame": pa.array([b for _, b in found], pa.int64())})
-
-    found = parted.select(F.col("case_id").cast("string").alias("case_id"), "part", F.col("frame").cast("long").alias("frame"), "side").groupBy("case_id", "part").applyInArrow(run, "case_id string, kind string, reference_frame long, candidate_frame long")
-    return found.withColumn("delta", F.col("candidate_frame") - F.col("reference_frame"))
+        solved = Matching(*sides, tolerance)
+        (plain, left), (other, left_of_other) = solved.pairs(False), solved.pairs(True)
+        found = [(None, *p) for p in plain] if plain == other else [(False, *p) for p in plain] + [(True, *p) for p in other]
+        n = len(found)
+        kinds = ["match" if a is not None and b is not None else "false_negative" if b is None else "false_positive" for _, a, b in found]
+        columns = [pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int64()), pa.array([f[0] for f in found], pa.bool_()), pa.array([left] * n), pa.array([left_of_other] * n), pa.array(kinds, pa.string())]
+        columns += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
+        return pa.table(dict(zip(("case_id", "part", "more", "left", "left_of_other", "kind", "reference_frame", "candidate_frame"), columns, strict=True)))
+
+    schema = "case_id string, part long, more boolean, left boolean, left_of_other boolean, kind string, reference_frame long, candidate_frame long"
+    found = cut(parted.select(F.col("case_id").cast("string").alias("case_id"), "part", F.col("frame").cast("long").alias("frame"), "side").groupBy("case_id", "part").applyInArrow(run, schema))
+    choice = found.groupBy("case_id", "part").agg(F.first("left").alias("left"), F.first("left_of_other").alias("left_of_other"))
+    # From the end: the nearest later part whose answer is the same for both, turned once for each part between that turns it.
+    later = Window.partitionBy("case_id").orderBy(F.desc("part"))
+    before = later.rowsBetween(Window.unboundedPreceding, -1)
+    fixed = F.when(F.col("left") == F.col("left_of_other"), F.col("left"))
+    turns = F.sum((F.col("left") & ~F.col("left_of_other")).cast("int")).over(later)
+    seen = choice.select("case_id", "part", turns.alias("turns"), fixed.alias("fixed"))
+    since = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns")), ignorenulls=True).over(before)
+    total = F.coalesce(F.lag("turns").over(later), F.lit(0)) - F.coalesce(since["turns"], F.lit(0))
+    settled = seen.select("case_id", "part", (F.coalesce(since["fixed"], F.lit(False)) != (total % 2 == 1)).alias("answer"))
+    kept = found.join(settled, ["case_id", "part"]).where("more is null or more = answer")
+    return kept.select("case_id", "kind", "reference_frame", "candidate_frame", (F.col("candidate_frame") - F.col("reference_frame")).alias("delta"))
 
 
 def case_metrics(found: DataFrame) -> DataFrame:

@@ -83,6 +83,17 @@ _PHASH = f"""{_GRAY}, coef AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 16) * C
     plane AS (SELECT frame, k // 8 AS y, k % 8 AS x, l / greatest(1, max(l) OVER (PARTITION BY frame)) AS s FROM (SELECT frame, k, {_LUMA} AS l FROM gray)),
     low AS (SELECT frame, a.u * 4 + b.u AS k, sum(a.c * s * b.c) AS x FROM plane JOIN coef a ON a.x = plane.y JOIN coef b ON b.x = plane.x GROUP BY ALL),
     bits AS (SELECT frame, k, x > median(x) OVER (PARTITION BY frame) AS bit FROM (SELECT frame, k, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE x END AS x FROM low))"""
+_PAIRS = f"""{_STREAM}, sets AS (SELECT video_id, coalesce(list(frame ORDER BY frame) FILTER (x < 20), []) AS a, coalesce(list(frame ORDER BY frame) FILTER (x >= 20 AND x < 45), []) AS c FROM stream GROUP BY video_id),
+    dp AS (SELECT video_id, 0 AS i, list_transform(range(len(c) + 1), lambda k: 0::BIGINT) AS s FROM sets UNION ALL
+      SELECT video_id, i, list_transform(range(1, len(b) + 1), lambda j: list_max(b[1:j])) FROM (
+        SELECT dp.video_id, i + 1 AS i, list_transform(range(1, len(c) + 2), lambda j: CASE WHEN j > 1 AND abs(a[i + 1] - c[j - 1]) <= 3 THEN greatest(s[j], s[j - 1] + 1000000 - abs(a[i + 1] - c[j - 1])) ELSE s[j] END) AS b
+        FROM dp JOIN sets ON sets.video_id = dp.video_id WHERE i < len(a))),
+    walk AS (SELECT video_id, len(a)::INT AS i, len(c)::INT AS j, NULL::VARCHAR AS kind, NULL::BIGINT AS rf, NULL::BIGINT AS cf FROM sets UNION ALL
+      SELECT video_id, i - (kind <> 'false_positive')::INT, j - (kind <> 'false_negative')::INT, kind, CASE WHEN kind <> 'false_positive' THEN a[i] END, CASE WHEN kind <> 'false_negative' THEN c[j] END FROM (
+        SELECT w.video_id, w.i, w.j, a, c, CASE WHEN w.i > 0 AND w.j > 0 AND abs(a[w.i] - c[w.j]) <= 3 AND now.s[w.j + 1] = up.s[w.j] + 1000000 - abs(a[w.i] - c[w.j]) THEN 'match'
+          WHEN w.i > 0 AND (w.j = 0 OR up.s[w.j + 1] = now.s[w.j + 1]) THEN 'false_negative' ELSE 'false_positive' END AS kind
+        FROM walk w JOIN sets ON sets.video_id = w.video_id JOIN dp now ON now.video_id = w.video_id AND now.i = w.i LEFT JOIN dp up ON up.video_id = w.video_id AND up.i = w.i - 1 WHERE w.i > 0 OR w.j > 0))"""
+
 # Frames of 8 x 8 areas: 320 x 180 by the areas' sizes, 20 x 12 pixel by pixel, where cells of 8 x 8 overlap.
 _WIDE = "wide AS (SELECT vec_id AS frame, k, {} AS r, {} AS g, {} AS b FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS k))".format(*(_BYTE.format(f"embedding[(k + {c}) % 64 + 1]") for c in range(3)))
 _AREA = "area AS (SELECT y * 8 + x AS k, rows * columns AS n FROM (SELECT i * 8 // 180 AS y, count(*) AS rows FROM range(180) t(i) GROUP BY 1), (SELECT i * 8 // 320 AS x, count(*) AS columns FROM range(320) t(i) GROUP BY 1))"
@@ -185,6 +196,7 @@ ORACLES = {
       SELECT video_id, k::INT AS k, time, sample FROM (SELECT p.*, m.sample, row_number() OVER (PARTITION BY p.video_id, p.k ORDER BY CASE WHEN m.t <= p.time THEN p.time - m.t ELSE m.t - p.time END, m.sample) AS o FROM point p JOIN media m USING (video_id)) WHERE o = 1""",
     "previous_sample": f"WITH {_MEDIA}, s AS (SELECT video_id, sample FROM media), p AS (SELECT video_id, sample - 1 AS sample_at FROM s UNION ALL SELECT video_id, sample + 1 FROM s) SELECT video_id, sample_at, coalesce((SELECT max(sample) FROM s WHERE s.video_id = p.video_id AND s.sample < p.sample_at), greatest(0, sample_at - 1)) AS previous FROM p",
     "score_downsample": f"WITH {_STREAM} SELECT video_id, floor(coalesce(frame::DOUBLE / nullif(total - 1, 0), 0) * 15)::BIGINT AS bucket, max(x) AS content_val FROM stream JOIN totals USING (video_id) GROUP BY 1, 2",
+    "boundary_match_pairs": f"WITH RECURSIVE {_PAIRS} SELECT video_id::VARCHAR AS case_id, kind, rf AS reference_frame, cf AS candidate_frame, cf - rf AS delta FROM walk WHERE kind IS NOT NULL",
     "boundary_match": f"WITH RECURSIVE {_MATCH} SELECT * FROM found",
     "boundary_match_totals": f"WITH RECURSIVE {_MATCH} SELECT count(DISTINCT case_id) AS cases, count(*) FILTER (kind <> 'false_positive') AS reference_boundaries, count(*) FILTER (kind <> 'false_negative') AS candidate_boundaries, count(*) FILTER (kind = 'match') AS matched_boundaries, count(*) FILTER (kind = 'false_positive') AS false_positives, count(*) FILTER (kind = 'false_negative') AS false_negatives FROM found",
     "worst_divergences": f"WITH RECURSIVE {_MATCH} SELECT case_id, kind, frame, 0::BIGINT AS absolute_delta, 2 AS severity FROM found WHERE kind <> 'match' ORDER BY case_id, kind, frame LIMIT 25",

@@ -299,6 +299,13 @@ def boundary_match_tolerant(spark, d):
     return quality.case_metrics(_matched(spark, d, 3))
 
 
+def boundary_match_pairs(spark, d):
+    """The pairs of dense boundaries, where many matchings are equally good."""
+    rows = tables.score_stream(spark, d)
+    of = lambda where: rows.where(where).select(F.col("video_id").cast("string").alias("case_id"), "frame")
+    return quality.matches(of("average_rgb < 20"), of("average_rgb >= 20 and average_rgb < 45"), 3)
+
+
 def worst_divergences(spark, d):
     return quality.worst_divergences(_matched(spark, d, 0), 25)
 
@@ -335,6 +342,6 @@ QUERIES = {
         fade_events, fade_scenes, stats_long_to_wide, stats_rows_decisions, stored_scenes, threshold_preview, scene_counts, boundary_review, review_context,
         adaptive_review, effective_boundaries, reviewed_scenes, threshold_diff, scene_timeline, stride_samples, scene_selection, scene_majority_hash,
         scene_similarity_pairs, similarity_report, nearest_sample, previous_sample, compare_runs, score_downsample, boundary_match, boundary_match_totals,
-        boundary_match_tolerant, worst_divergences, parity_compare, bench_pairs, timecodes, sample_times,
+        boundary_match_tolerant, boundary_match_pairs, worst_divergences, parity_compare, bench_pairs, timecodes, sample_times,
     )
 }

@@ -27,11 +27,11 @@ def _csv(rows) -> str:
 
 
 def scene_facts(spans: list[dict], rate: float) -> list[dict]:
-    """The ten exported fields of each scene; frames count from 0, the end is exclusive."""
+    """The ten exported fields of each scene: the first and the last frame count from 1."""
     out = []
     for k, s in enumerate(spans, 1):
         length = max(s["end"] - s["start"], 0)
-        out.append({"scene_number": k} | {f"{name}_{unit}": value for name, f in (("start", s["start"]), ("end", s["end"]), ("length", length)) for unit, value in (("frame" if name != "length" else "frames", f), ("timecode", clock(f, rate)), ("seconds", f / rate))})
+        out.append({"scene_number": k} | {f"{name}_{unit}": value for name, f in (("start", s["start"]), ("end", s["end"]), ("length", length)) for unit, value in (("frame" if name != "length" else "frames", f + (name == "start")), ("timecode", clock(f, rate)), ("seconds", f / rate))})
     return out
 
 
@@ -40,7 +40,7 @@ def scenes_csv(spans: list[dict], rate: float) -> str:
     facts = scene_facts(spans, rate)
     rows = [["Timecode List:", *(f["start_timecode"] for f in facts[1:])], SCENE_HEADER]
     for f in facts:
-        rows.append([f["scene_number"], f["start_frame"] + 1, f["start_timecode"], f"{f['start_seconds']:.6f}", f["end_frame"], f["end_timecode"], f"{f['end_seconds']:.6f}", f["length_frames"], f["length_timecode"], f"{f['length_seconds']:.6f}"])
+        rows.append([f["scene_number"], f["start_frame"], f["start_timecode"], f"{f['start_seconds']:.6f}", f["end_frame"], f["end_timecode"], f"{f['end_seconds']:.6f}", f["length_frames"], f["length_timecode"], f"{f['length_seconds']:.6f}"])
     return _csv(rows)
 
 
@@ -77,9 +77,20 @@ def review_csv(rows: list[dict], rate: float) -> str:
     return _csv(out)
 
 
-def review_json(rows: list[dict], rate: float) -> str:
+def review_json(rows: list[dict], rate: float, detector: str = "content") -> str:
+    """The review's settings and its candidates in rank order; first frames count from 1, boundary_frame_index from 0."""
     rows = sorted(rows, key=lambda r: r["rank"])
-    return json.dumps({"frame_rate": rate, "sort": "threshold_distance", "candidate_count": len(rows), "boundary_candidates": [r | {"timecode": clock(r["frame"], rate), "seconds": r["frame"] / rate} for r in rows]}, indent=2)
+    common = ("score_metric", "detector_threshold", "review_threshold")
+    around = lambda span: {"start_frame": span["start"] + 1, "end_frame": span["end"]}
+    listed = [
+        {"rank": k, "status": r["status"], "boundary_candidate_number": r["candidate_number"], "boundary_frame": r["frame"] + 1, "boundary_frame_index": r["frame"]}
+        | {"boundary_timecode": clock(r["frame"], rate), "boundary_seconds": r["frame"] / rate, "score_metric": r["score_metric"], "boundary_score": r["score"]}
+        | {c: r[c] for c in ("detector_threshold", "review_threshold", "threshold_distance")}
+        | {"before": around(r["before"]), "after": around(r["after"]), "metrics": dict(sorted((r["metrics"] or {}).items()))}
+        for k, r in enumerate(rows, 1)
+    ]
+    head = {"frame_rate": rate, "detector": detector, "sort": "threshold_distance"} | {c: rows[0][c] if rows else None for c in common}
+    return json.dumps(head | {"candidate_count": len(rows), "boundary_candidates": listed}, indent=2)
 
 
 RENDERERS = {"csv": scenes_csv, "json": scenes_json, "ndjson": scenes_ndjson, "html": scenes_html}

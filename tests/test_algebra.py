@@ -220,3 +220,73 @@ def test_joins_cross_chunks_of_the_axis(spark):
     at = spark.createDataFrame([(0, x) for x in (0, 1, 9000, 9001)], "video_id long, sample_at long")
     some = spark.createDataFrame([(0, 0), (0, 9000)], "video_id long, sample long")
     assert [r["previous"] for r in joins.previous_sample(at, some).orderBy("sample_at").collect()] == [0, 0, 0, 9000]
+
+
+def plain_matching(reference, candidate, tolerance):
+    """The whole table by prefixes, and the walk back from its end: match, else leave out the reference, else the candidate."""
+    best = [[(0, 0)] * (len(candidate) + 1) for _ in range(len(reference) + 1)]
+    for i, a in enumerate(reference, 1):
+        for j, c in enumerate(candidate, 1):
+            options = [best[i - 1][j], best[i][j - 1]]
+            if abs(a - c) <= tolerance:
+                options.append((best[i - 1][j - 1][0] + 1, best[i - 1][j - 1][1] - abs(a - c)))
+            best[i][j] = max(options)
+    i, j, out = len(reference), len(candidate), set()
+    while i or j:
+        d = abs(reference[i - 1] - candidate[j - 1]) if i and j else tolerance + 1
+        if d <= tolerance and best[i][j] == (best[i - 1][j - 1][0] + 1, best[i - 1][j - 1][1] - d):
+            i, j = i - 1, j - 1
+            out.add((reference[i], candidate[j]))
+        elif i and (not j or best[i - 1][j] == best[i][j]):
+            i -= 1
+            out.add((reference[i], None))
+        else:
+            j -= 1
+            out.add((None, candidate[j]))
+    return out
+
+
+def test_matching_breaks_ties_from_the_end(spark):
+    import random
+
+    rng = random.Random(11)
+    cases = {"a": ([10], [9, 11]), "b": ([10, 12], [11]), "c": ([10, 12], [11, 100]), "d": ([10, 12, 100], [11]), "e": ([1, 3, 50, 52, 90], [2, 51, 91, 300])}
+    for k in range(60):
+        cases[f"r{k}"] = tuple(sorted(rng.sample(range(rng.choice([12, 40, 90])), rng.randrange(12))) for _ in range(2))
+    of = lambda side: spark.createDataFrame([(k, f) for k, v in cases.items() for f in v[side]], "case_id string, frame int")
+    for tolerance in (0, 1, 3):
+        found = {}
+        for r in quality.matches(of(0), of(1), tolerance).collect():
+            found.setdefault(r.case_id, set()).add((r.reference_frame, r.candidate_frame))
+        for k, (a, c) in cases.items():
+            assert found.get(k, set()) == plain_matching(a, c, tolerance), (k, a, c, tolerance)
+
+
+def test_dense_matching_and_runs_take_seconds(spark):
+    import time
+
+    frames = spark.range(100_000).select(F.lit("x").alias("case_id"), (2 * F.col("id")).alias("frame"))
+    began = time.perf_counter()
+    found = quality.matches(frames, frames.withColumn("frame", F.col("frame") + 1), 3)
+    assert found.where("kind = 'match'").count() == 100_000
+    times = lambda d: spark.range(100_000).select(F.lit(1).cast("long").alias("video_id"), (F.col("id") / 100 + d).alias("time"))
+    assert joins.compare_runs(times(0.0), times(0.004), 30.0).where("kind = 'shared'").count() == 100_000
+    assert time.perf_counter() - began < 120
+
+
+def test_nearest_unused_equals_plain(spark):
+    import random
+
+    rng = random.Random(4)
+    mine, theirs = ([round(rng.random() * 3, 2) for _ in range(150)] for _ in range(2))
+    left, want = sorted(theirs), []
+    for t in sorted(mine):
+        best = min(left, key=lambda x: abs(x - t), default=None)
+        if best is not None and abs(best - t) <= 0.05:
+            left.remove(best)
+            want.append((t, best))
+        else:
+            want.append((t, None))
+    of = lambda v: spark.createDataFrame([(1, x) for x in v], "video_id long, time double")
+    got = [(r.current, r.saved) for r in joins.compare_runs(of(mine), of(theirs), 30.0).collect()]
+    assert sorted(got, key=repr) == sorted(want + [(None, x) for x in left], key=repr)

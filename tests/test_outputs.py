@@ -20,7 +20,16 @@ def test_scene_csv_golden():
 def test_review_csv_golden():
     row = {"rank": 1, "status": "near_miss", "candidate_number": 2, "frame": 3, "score_metric": "content_val", "score": 18.5, "detector_threshold": 20.0, "review_threshold": 16.0, "threshold_distance": 1.5, "before": {"start": 0, "end": 3}, "after": {"start": 3, "end": 5}, "metrics": {"content_val": 18.5}}
     assert render.review_csv([row], 10.0).splitlines()[1] == "1,near_miss,2,4,3,00:00:00.300,0.300000,content_val,18.500000,20.000000,16.000000,1.500000,1,3,4,5,18.500000"
-    assert json.loads(render.review_json([row], 10.0))["candidate_count"] == 1
+    review = json.loads(render.review_json([row], 10.0))
+    assert list(review) == ["frame_rate", "detector", "sort", "score_metric", "detector_threshold", "review_threshold", "candidate_count", "boundary_candidates"]
+    only = review["boundary_candidates"][0]
+    assert list(only)[:7] == ["rank", "status", "boundary_candidate_number", "boundary_frame", "boundary_frame_index", "boundary_timecode", "boundary_seconds"]
+    assert only["boundary_frame"] == row["frame"] + 1 and only["boundary_frame_index"] == row["frame"]
+    assert (only["before"], only["after"]) == ({"start_frame": row["before"]["start"] + 1, "end_frame": row["before"]["end"]}, {"start_frame": row["after"]["start"] + 1, "end_frame": row["after"]["end"]})
+    spans = [{"start": 0, "end": 3}, {"start": 3, "end": 7}]
+    assert [s["start_frame"] for s in json.loads(render.scenes_json(spans, 10.0))["scenes"]] == [1, 4]
+    assert [json.loads(x)["start_frame"] for x in render.scenes_ndjson(spans, 10.0).splitlines()] == [1, 4]
+    assert "<tr><td>2</td><td>4</td>" in render.scenes_html(spans, 10.0)
 
 
 def test_documents_by_video(spark):
