@@ -183,6 +183,29 @@ def scene_csv(spark, d):
     return render.documents(scenes, videos, "csv").select("video_id", F.sha2("text", 256).alias("csv_sha256"))
 
 
+_FIELDS = {"scene_number": "scene_number", "start_frame": "start + 1", "start_timecode": f"'\"' || {_clock('start')} || '\"'", "start_seconds": "start / 25.0::DOUBLE"}
+_FIELDS |= {"end_frame": '"end"', "end_timecode": f"""'"' || {_clock('"end"')} || '"'""", "end_seconds": '"end" / 25.0::DOUBLE'}
+_FIELDS |= {"length_frames": '"end" - start', "length_timecode": f"""'"' || {_clock('"end" - start')} || '"'""", "length_seconds": '("end" - start) / 25.0::DOUBLE'}
+
+
+def _object(colon: str, comma: str) -> str:
+    return f" || '{comma}' || ".join(f"""'"{name}"{colon}' || ({value})::VARCHAR""" for name, value in _FIELDS.items())
+
+
+_JSON_SCENE = f"""'    {{' || chr(10) || '      ' || {_object(': ', ',' + chr(10) + '      ')} || chr(10) || '    }}'"""
+_JSON = f"""'{{' || chr(10) || '  "frame_rate": 25.0,' || chr(10) || '  "scene_count": ' || count(*) || ',' || chr(10) || '  "scenes": [' || chr(10) || string_agg({_JSON_SCENE}, ',' || chr(10) ORDER BY start) || chr(10) || '  ]' || chr(10) || '}}'"""
+_NDJSON = f"""string_agg('{{"event":"scene",' || {_object(':', ',')} || '}}' || chr(10), '' ORDER BY start)"""
+
+
+@checked_by(f"WITH RECURSIVE {_SPANS} SELECT video_id, sha256({_JSON}) AS json_sha256, sha256({_NDJSON}) AS ndjson_sha256 FROM spans GROUP BY video_id")
+def scene_exports(spark, d):
+    """Digests of each video's scene list as JSON and as JSON lines."""
+    scenes = queries.adaptive_scenes(spark, d)
+    videos = scenes.select("video_id").distinct().withColumn("frame_rate", F.lit(25.0))
+    text = lambda form: render.documents(scenes, videos, form).select("video_id", F.sha2("text", 256).alias(f"{form}_sha256"))
+    return text("json").join(text("ndjson"), "video_id")
+
+
 @checked_by("""WITH m AS (SELECT o_orderpriority AS id, o_orderstatus = 'F' AS first, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1, 2), p AS (SELECT id, max(mean) FILTER (first) AS reference, max(mean) FILTER (NOT first) AS candidate FROM m GROUP BY id), r AS (SELECT id, reference / candidate AS ratio, 'corpus ' || left(id, 1) AS corpus FROM p)
   SELECT id, corpus, CASE WHEN ratio > 1 THEN round(ratio, 2)::VARCHAR || '× faster' WHEN ratio = 1 THEN 'tie' ELSE round(1 / ratio, 2)::VARCHAR || '× slower' END AS label FROM r""")
 def bench_labels(spark, d):

@@ -49,7 +49,7 @@ def scenes_json(spans: list[dict], rate: float) -> str:
 
 
 def scenes_ndjson(spans: list[dict], rate: float) -> str:
-    return "".join(json.dumps({"event": "scene"} | f) + "\n" for f in scene_facts(spans, rate))
+    return "".join(json.dumps({"event": "scene"} | f, separators=(",", ":")) + "\n" for f in scene_facts(spans, rate))
 
 
 def scenes_html(spans: list[dict], rate: float) -> str:
