@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW as ITEM_WINDOW
-from .lines import MIN_CHARS, MIN_SITES
+from .lines import MIN_SITES
 from .quality import MAX_GRAM_CHARS, MAX_LINE_CHARS
 from .substrings import WINDOW
 from .vectorcodes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -79,7 +79,7 @@ OP10 = rf"""
 WITH t AS (SELECT row_number() OVER () AS d, * FROM documents),
 l AS (SELECT d, doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS p FROM t WHERE text IS NOT NULL),
 x AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
-b AS (SELECT line, min(struct_pack(i := doc_id, p := p)) AS first FROM x WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+b AS (SELECT line, min(struct_pack(i := doc_id, p := p)) AS first FROM x WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 f AS (SELECT x.d, x.p, x.raw, b.line IS NOT NULL AND NOT (x.doc_id = b.first.i AND x.p = b.first.p) AS gone FROM x LEFT JOIN b ON b.line = x.line),
 g AS (SELECT d, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(raw, chr(10) ORDER BY p) FILTER (NOT gone) AS s FROM f GROUP BY d)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN g ON g.d = t.d"""

@@ -132,7 +132,7 @@ def targets(sizes):
     return out
 
 
-def lines_left(rows, min_sites=10, min_chars=12):
+def lines_left(rows, min_sites=10, min_chars=1):
     """The lines that stay of each row (id, text, site); None for a null text."""
     sites, first = collections.defaultdict(set), {}
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
@@ -144,7 +144,7 @@ def lines_left(rows, min_sites=10, min_chars=12):
     return [None if t is None else [x for p, x in enumerate(t.split("\n")) if len(sites.get(strip(x), ())) < min_sites or first[strip(x)] == (i, p)] for i, t, _ in rows]
 
 
-def lines(rows, min_sites=10, min_chars=12):
+def lines(rows, min_sites=10, min_chars=1):
     """(id, lines, removed, kept text) for rows of (id, text, site)."""
     out = []
     for (i, t, _), kept in zip(rows, lines_left(rows, min_sites, min_chars), strict=True):

@@ -464,7 +464,7 @@ def test_queries_match_their_sql(spark, sf_dir):
     from framecut.llm.oracle import ORACLES
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     for name, sql in ORACLES.items():
         found = queries.QUERIES[name](spark, sf_dir)
