@@ -32,13 +32,15 @@ from .common import cut, heavy_join, map_batches
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Share by which a bound gives way, far above the rounding of a square root and of a long as a double.
 SLACK = 1e-12
+#: Bytes of doubles that are searched together.
+GATHERED = 8 << 20
 LONG = 2**63
 
 
 def squared(points: np.ndarray, entry: np.ndarray) -> np.ndarray:
     """Squared distances of integer points from one entry."""
     d = points - entry
-    return (d * d).sum(axis=1)
+    return np.einsum("ij,ij->i", d, d)
 
 
 class Tree:
@@ -130,6 +132,19 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return usable, map_batches(usable, run, f"id {types[id_col]}, label {types[label_col]}, vector binary"), kind
 
 
+def gathered(batches, width: int):
+    """The batches put together to about GATHERED bytes: a search's fixed cost is by batch, not by row."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n * width * 8 >= GATHERED:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 class Coder:
     """What a task needs to code vectors: codebooks[part][entry] are lists of integers."""
 
@@ -169,10 +184,8 @@ def refined(rows: DataFrame, coder: Coder) -> list:
         coder.start()
         counts: dict = {}
         totals: dict = {}
-        for b in batches:
+        for b in gathered(batches, coder.width):
             for k, (tree, points) in enumerate(coder.parts(b.column("vector"))):
-                if not len(points):
-                    continue
                 found, _ = tree.nearest(points)
                 order = np.argsort(found, kind="stable")
                 entries, starts, sizes = np.unique(found[order], return_index=True, return_counts=True)
@@ -201,7 +214,7 @@ def coded(rows: DataFrame, coder: Coder, id_type: str, label_type: str) -> DataF
 
     def run(batches):
         coder.start()
-        for b in batches:
+        for b in gathered(batches, coder.width):
             pairs = [tree.nearest(points) for tree, points in coder.parts(b.column("vector"))]
             codes = np.stack([f for f, _ in pairs], axis=1).astype(np.uint8)
             errors = [int(x) for x in sum(e for _, e in pairs)]
