@@ -30,7 +30,7 @@ def sampled(frames: DataFrame, fps: float) -> DataFrame:
 def even_scenes(spans: DataFrame, limit: int = MAX_SCENES) -> DataFrame:
     """All scenes of a video, or limit of them spread evenly with both ends."""
     n = spans.groupBy("video_id").agg(F.count("*").alias("n"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: (F.floor(k * (F.col("n") - 1) / (limit - 1)) + 1).cast("int"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: (F.floor(k * (F.col("n") - 1) / max(1, limit - 1)) + 1).cast("int"))
     picked = n.where(F.col("n") > limit).select("video_id", F.explode(F.array_distinct(slots)).alias("scene_number"))
     few = spans.join(n.where(F.col("n") <= limit), "video_id", "left_semi")
     return few.unionByName(spans.join(picked, ["video_id", "scene_number"], "left_semi"))

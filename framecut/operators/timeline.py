@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timecode import exact_end
 from ..sources.frames import MEDIA_TIME
 
-#: One call for each video: the end of its last scene.
+#: The end of a video's last scene; other scenes pass through it without times.
 _end = F.udf(lambda t, d: exact_end(t and t.asDict(True), d and d.asDict(True)), MEDIA_TIME)
 
 

@@ -1,8 +1,8 @@
 """Push sessions as Structured Streaming: one small state for each video.
 
 Rows carry video_id, frame, value (a score or mean luma) or feature (histogram or hash as doubles),
-and last (true on the marker row that ends a video).  Frames must rise, but may be sparse; falling ones
-are errors, as nothing is reordered across batches.  Results equal those of the batch operators.
+last (true on the marker row that ends a video), and time (when it is presented) where that is known.  Frames must rise,
+but may be sparse, and times must not fall; others are errors, as nothing is reordered across batches.  Results equal those of the batch operators.
 """
 
 from __future__ import annotations
@@ -12,24 +12,29 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scores import EPSILON
 
-OUTPUT = "video_id long, frame long, score double, boundary long, total long"
+OUTPUT = "video_id long, frame long, score double, boundary long, value double, total long"
 
 
 class Session:
-    """The state of one video; push gives (frame, score, boundary or None) rows as soon as they are known."""
+    """The state of one video; push gives (frame, score, boundary or None, value) rows as soon as they are known."""
 
     def __init__(self, config, m: int, state: dict | None = None) -> None:
         self.config, self.m = config, m
-        self.s = state or {"total": 0, "last": None, "cut": 0, "feature": None, "dark": None, "fade": None, "samples": [], "emitted": 0}
+        self.s = state or {"total": 0, "last": None, "time": None, "cut": 0, "feature": None, "dark": None, "fade": None, "samples": [], "emitted": 0}
 
-    def push(self, frame: int, value: float | None, feature: list | None) -> list[tuple]:
+    def push(self, frame: int, value: float | None, feature: list | None, time: float | None = None) -> list[tuple]:
         s = self.s
         if s["last"] is not None and frame <= s["last"]:
             raise ValueError(f"frame {frame} after {s['last']}: frames must rise")
+        if time is not None:
+            if s["time"] is not None and time < s["time"]:
+                raise ValueError(f"time {time} of frame {frame} after {s['time']}: times must not fall")
+            s["time"] = time
         if not s["total"] and self.config.name == "threshold":
             s["cut"] = frame
         s["last"], s["total"] = frame, s["total"] + 1
@@ -46,7 +51,7 @@ class Session:
         if value >= self.config.threshold:
             boundary = frame if frame - self.s["cut"] >= self.m else None
             self.s["cut"] = frame  # a suppressed candidate delays the next one too
-        return [(frame, value, boundary)]
+        return [(frame, value, boundary, value)]
 
     def _adaptive(self, frame, value, _):
         self.s["samples"].append((frame, value))
@@ -67,7 +72,7 @@ class Session:
                 around = [v for _, v in s["samples"][at - first - w : at - first + w + 1]]
                 score = value / ((sum(around[:w]) + sum(around[w + 1 :])) / (2 * w) + EPSILON)
             hit = w and value >= self.config.min_content_val and score >= self.config.threshold
-            out.append((frame, score, self._accept(frame) if hit else None))
+            out.append((frame, score, self._accept(frame) if hit else None, value))
             s["emitted"] += 1
             s["samples"] = s["samples"][max(0, s["emitted"] - w - first) :]
         return out
@@ -83,24 +88,24 @@ class Session:
                 boundary = s["fade"] + round((frame - s["fade"]) * (1 + self.config.fade_bias) / 2)
                 s["cut"] = frame
             s["dark"], s["fade"] = False, frame
-        return [(frame, value, boundary)]
+        return [(frame, value, boundary, value)]
 
     def _histogram(self, frame, _, feature):
         before, self.s["feature"] = self.s["feature"], feature
         if before is None:
-            return [(frame, 0.0, None)]
+            return [(frame, 0.0, None, None)]
         a, b = np.array(before) - np.mean(before), np.array(feature) - np.mean(feature)
         scale = float(np.sqrt((a @ a) * (b @ b)))
         score = float(a @ b) / scale if scale else 1.0
-        return [(frame, score, self._accept(frame) if score <= 1 - self.config.threshold else None)]
+        return [(frame, score, self._accept(frame) if score <= 1 - self.config.threshold else None, None)]
 
     def _hash(self, frame, _, feature):
         before, self.s["feature"] = self.s["feature"], feature
         if before is None:
-            return [(frame, 0.0, None)]
+            return [(frame, 0.0, None, None)]
         n = min(len(before), len(feature))
         score = sum(x != y for x, y in zip(before, feature, strict=False)) / n if n else 0.0
-        return [(frame, score, self._accept(frame) if score >= self.config.threshold else None)]
+        return [(frame, score, self._accept(frame) if score >= self.config.threshold else None, None)]
 
     def finish(self) -> list[tuple]:
         """What the end of the video settles: the adaptive tail, a final fade-out."""
@@ -108,7 +113,7 @@ class Session:
         if self.config.name == "adaptive":
             return self._settle(True)
         if self.config.name == "threshold" and s["dark"] and self.config.add_last_scene and s["total"] - s["cut"] >= self.m:
-            return [(s["last"], 0.0, s["fade"])]
+            return [(s["last"], 0.0, s["fade"], None)]
         return []
 
 
@@ -122,27 +127,26 @@ def detect_stream(stream: DataFrame, config, m: int = 15) -> DataFrame:
         session = Session(config, m, json.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(frames).sort_values("frame", kind="stable")
         out, ended = [], False
-        for frame, value, feature, last in zip(rows["frame"], rows["value"], rows["feature"], rows["last"], strict=True):
+        for frame, value, feature, last, time in zip(*(rows[c] for c in ("frame", "value", "feature", "last", "time")), strict=True):
             if ended:
                 raise ValueError(f"video {key[0]} goes on after its end")
             if last:
-                out += [(*r, session.s["total"]) for r in session.finish()] or [(session.s["last"], 0.0, None, session.s["total"])]
+                out += [(*r, session.s["total"]) for r in session.finish()] or [(session.s["last"], 0.0, None, None, session.s["total"])]
                 ended = True
             else:
-                out += [(*r, None) for r in session.push(int(frame), value, None if feature is None else list(map(float, feature)))]
+                out += [(*r, None) for r in session.push(int(frame), value, None if feature is None else list(map(float, feature)), None if pd.isna(time) else float(time))]
         if ended:
             state.remove()
         else:
             state.update((json.dumps(session.s),))
-        yield pd.DataFrame({"video_id": [key[0]] * len(out), "frame": pd.array([r[0] for r in out], "Int64"), "score": [r[1] for r in out], "boundary": pd.array([r[2] for r in out], "Int64"), "total": pd.array([r[3] for r in out], "Int64")})
+        yield pd.DataFrame({"video_id": [key[0]] * len(out), "frame": pd.array([r[0] for r in out], "Int64"), "score": [r[1] for r in out], "boundary": pd.array([r[2] for r in out], "Int64"), "value": pd.array([r[3] for r in out], "Float64"), "total": pd.array([r[4] for r in out], "Int64")})
 
-    return stream.select("video_id", "frame", "value", "feature", "last").groupBy("video_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    time = (F.col("time") if "time" in stream.columns else F.lit(None)).cast("double").alias("time")
+    return stream.select("video_id", "frame", "value", "feature", "last", time).groupBy("video_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_spans(rows: DataFrame) -> DataFrame:
     """Scenes of ended videos from the rows that detect_stream wrote."""
-    from pyspark.sql import functions as F
-
     from ..operators.spans import scene_spans
 
     total = rows.groupBy("video_id").agg(F.max("total").alias("total")).where("total is not null")
@@ -150,17 +154,18 @@ def stream_spans(rows: DataFrame) -> DataFrame:
 
 
 def stream_review(rows: DataFrame, config, options, threshold: float | None = None) -> DataFrame:
-    """Boundary review of ended videos from the rows that detect_stream wrote for a content detector."""
-    from pyspark.sql import functions as F
-
+    """Boundary review of ended videos from the rows that detect_stream wrote for a content or adaptive detector."""
     from ..config import review_threshold
     from ..operators.decisions import content_decisions
-    from ..operators.review import content_review
+    from ..operators.review import adaptive_review, content_review
 
-    if config.name != "content":
-        raise ValueError("a stream's review needs content scores; an adaptive one needs both of its metrics")
+    if config.name not in ("content", "adaptive"):
+        raise ValueError("only content and adaptive detectors have a review")
     review_threshold(config, threshold)
     total = rows.groupBy("video_id").agg(F.max("total").alias("total")).where("total is not null")
-    frames = rows.where("total is null").select("video_id", "frame", F.col("score").alias("content_val")).join(total.select("video_id"), "video_id", "left_semi")
+    ended = rows.where("value is not null").join(total.select("video_id"), "video_id", "left_semi")
+    if config.name == "adaptive":
+        return adaptive_review(ended.select("video_id", "frame", F.col("value").alias("content_val"), F.col("score").alias("adaptive_ratio")), total, config, options, threshold)
+    frames = ended.select("video_id", "frame", F.col("score").alias("content_val"))
     judged = content_decisions(frames, config, options.min_scene_len).withColumn("metrics", F.create_map(F.lit("content_val"), "score"))
     return content_review(judged, total, config, options, threshold)

@@ -160,6 +160,7 @@ def test_selection_and_stride(spark):
     got = similarity.similarity_report(spark.createDataFrame([], "video_id long, frame long, hash long"), s).first()
     assert (got.selected_scenes, got.considered_scenes, got.truncated) == (1024, 0, True)
     chosen = {r.scene_number for r in similarity.even_scenes(s).collect()}
+    assert [r.scene_number for r in similarity.even_scenes(s, 1).where('video_id = 0').collect()] == [1]
     assert len(chosen) == 1024 and {1, 1041} <= chosen
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framecut import __main__ as cli
 from framecut.config import Adaptive, Content, Fade, Hash, Histogram, Options
-from framecut.operators import decisions, scores, similarity, spans
+from framecut.operators import decisions, review, scores, similarity, spans
 from framecut.sinks import documents, render
 from framecut.streaming import session
 
@@ -142,11 +142,32 @@ def test_stream_equals_batch(spark, tmp_path, config, kind):
         cuts = decisions.histogram_boundaries(before.select("video_id", "frame", F.when(first, 0.0).otherwise(correlation(F.col("prev_hist"), F.col("hist"))).alias("hist_diff"), first.alias("first")), config.threshold, 3)
     want = [tuple(r)[:1] + tuple(r)[2:] for r in spans.scene_spans(cuts, spans.totals(rows)).orderBy("video_id", "start").collect()]
     assert got == want and len(want) > 5
+    if config.name == "adaptive":
+        shown = lambda df: [tuple(r) for r in df.orderBy("video_id", "rank").collect()]
+        found = shown(session.stream_review(spark.read.parquet(str(tmp_path / "out")), config, Options(3)))
+        assert found == shown(review.adaptive_review(scores.adaptive_scores(rows, 2), spans.totals(rows), config, Options(3))) and found
+
+
+def test_stream_checks_times(spark, tmp_path):
+    """A restarted stream of sparse frames keeps its state; a presented time that falls stops it."""
+    schema = "video_id long, frame long, value double, feature array<double>, last boolean, time double"
+    folder = str(tmp_path / "in")
+
+    def push(*rows):
+        spark.createDataFrame([(0, f, v, None, False, t) for f, v, t in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        session.detect_stream(stream, Content(), 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    push((0, 1.0, 0.0), (10, 2.0, 0.4))
+    push((20, 99.0, 0.4), (30, 3.0, None))
+    assert [(r.frame, r.boundary) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("frame").collect()] == [(0, None), (10, None), (20, 20), (30, None)]
+    with pytest.raises(Exception, match="must not fall"):
+        push((40, 1.0, 0.3))
 
 
 def test_stream_review(spark):
     values = [0.0, 50.0, 200.0, 50.0]
-    rows = spark.createDataFrame([(0, k, v, None, None) for k, v in enumerate(values)] + [(0, 3, 0.0, None, 4)], session.OUTPUT)
+    rows = spark.createDataFrame([(0, k, v, None, v, None) for k, v in enumerate(values)] + [(0, 3, 0.0, None, None, 4)], session.OUTPUT)
     found = session.stream_review(rows, Content(60.0), Options(1), 50.0).orderBy("frame").collect()
     assert [(r.frame, r.status) for r in found] == [(1, "near_miss"), (2, "accepted"), (3, "near_miss")]
     with pytest.raises(ValueError):
@@ -169,9 +190,12 @@ def test_stream_rejects_falling_frames():
     s.push(0, 1.0, None)
     with pytest.raises(ValueError):
         s.push(0, 1.0, None)
-    assert s.push(2, 1.0, None) == [(2, 1.0, None)]  # sparse frames are fine
+    assert s.push(2, 1.0, None, 0.5) == [(2, 1.0, None, 1.0)]  # sparse frames are fine
     with pytest.raises(ValueError):
         s.push(1, 1.0, None)
+    assert s.push(5, 1.0, None, 0.5) and s.push(6, 1.0, None)  # equal and unknown times are fine
+    with pytest.raises(ValueError, match="must not fall"):
+        s.push(7, 1.0, None, 0.4)
 
 
 def test_queries_match_their_sql(spark, sf_dir):
