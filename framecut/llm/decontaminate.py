@@ -5,10 +5,10 @@ item, or a whole shorter item.  The automaton's symbols are word numbers, so a m
 begin and end between words; word offsets map back to byte offsets of the original text.
 
 The items are broadcast in blocks of at most ``block_bytes``; more items mean more blocks, each
-scanned in one more narrow pass over the same rows, so broadcast size never grows with the
-benchmark and no row is shuffled.
+scanned in one more narrow pass over the same rows, and no row is shuffled.  All blocks together, and so the
+memory of the driver and the workers, grow with the benchmark, not with the texts.
 
-Defined results: null and empty items make no window; null and empty texts have no hit; equal
+Defined results: null and empty items make no window; a null item_id counts as the empty string; null and empty texts have no hit; equal
 items each count; a text of any length is scanned whole; items that share a window all count; repeated
 rows give repeated results; an empty table gives no rows; extra columns, of whatever name, are ignored.
 """

@@ -286,6 +286,8 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, te
             size += len(part)
     held = [spark.sparkContext.broadcast(s) for s in shards]
     spots = "__known"
+    while spots in docs.columns:
+        spots += "_"
     df = docs.withColumn(spots, F.array().cast("array<int>"))
 
     def scan(share, last: bool):

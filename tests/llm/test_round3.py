@@ -4,7 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from framecut.llm import common, html, lines
+from framecut.llm import common, html, lines, substrings
 
 
 def sums(df):
@@ -38,3 +38,10 @@ def test_named_parts_go_on_hosts_of_any_size(spark, part, pages):
 @pytest.mark.parametrize("name", ["related-work", "content-sidebar-wrap", "has-sidebar", "no-menu", "notice-of-motion", "main-menu-open"])
 def test_other_names_are_content(name):
     assert not html.names_noise(name)
+
+
+def test_known_passages_leave_every_column(docs_of):
+    passage = " ".join(f"k{j}" for j in range(40))
+    df = docs_of([(1, f"a {passage} b"), (2, None)]).withColumns({"__known": F.lit("mine"), "__known_": F.lit(2)})
+    found = substrings.remove_known(df, [passage])
+    assert found.columns == df.columns and {(r.doc_id, r.text, r["__known"], r["__known_"]) for r in found.collect()} == {(1, "a b", "mine", 2), (2, None, "mine", 2)}
