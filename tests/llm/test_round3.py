@@ -43,5 +43,5 @@ def test_other_names_are_content(name):
 def test_known_passages_leave_every_column(docs_of):
     passage = " ".join(f"k{j}" for j in range(40))
     df = docs_of([(1, f"a {passage} b"), (2, None)]).withColumns({"__known": F.lit("mine"), "__known_": F.lit(2)})
-    found = substrings.remove_known(df, [passage])
+    found = substrings.remove_known(df, docs_of([(9, passage)]))
     assert found.columns == df.columns and {(r.doc_id, r.text, r["__known"], r["__known_"]) for r in found.collect()} == {(1, "a b", "mine", 2), (2, None, "mine", 2)}
