@@ -1,36 +1,34 @@
-"""From scores to boundaries."""
+"""From scores to boundaries.
+
+Candidates and turns, few beside the scores, are written once before rows meet their neighbours: what finds them runs once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Adaptive, Content, Fade
-from .scores import reaches
-
-def by_video():
-    return Window.partitionBy("video_id").orderBy("frame")
+from ..sources.shared import cut
+from .scans import spaced, with_last_known, with_next
+from .scores import reaches, with_previous
 
 
 def rolling(candidates: DataFrame, m: int) -> DataFrame:
     """candidates with accepted: at least m frames after the previous candidate, accepted or not (0 before the first)."""
-    return candidates.withColumn("accepted", F.col("frame") - F.lag("frame", 1, 0).over(by_video()) >= m)
+    rows = with_previous(cut(candidates), ["frame"])
+    return rows.withColumn("accepted", F.col("frame") - F.coalesce("prev_frame", F.lit(0)) >= m).drop("prev_frame")
 
 
-def greedy(candidates: DataFrame, m: int, start: str | None = None) -> DataFrame:
-    """candidates with accepted: at least m frames after the last accepted one (start or 0 before the first).
+def greedy_frames(candidates: DataFrame, m: int, start: str | None = None) -> DataFrame:
+    """video_id, frame of the candidates at least m frames after the last accepted one (start or 0 before the first)."""
+    return spaced(cut(candidates), m, F.col(start) if start else F.lit(0))
 
-    A candidate m frames after its predecessor is accepted whatever came before, so it starts a
-    chain of its own; only chains, with gaps below m, are folded.
-    """
-    start = F.col(start) if start else F.lit(0)
-    gap = F.col("frame") - F.lag("frame").over(by_video())
-    chained = candidates.select("video_id", "frame", start.cast("long").alias("base"), F.coalesce(gap >= m, F.lit(True)).cast("long").alias("new")).withColumn("chain", F.sum("new").over(by_video()))
-    groups = chained.groupBy("video_id", "chain").agg(F.sort_array(F.collect_list("frame")).alias("frames"), F.min("base").alias("base"))
-    first = F.when(F.col("chain") == 1, F.col("base")).otherwise(F.get("frames", F.lit(0)) - m)
-    zero = F.struct(first.alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("frames", zero, lambda a, f: F.when(f - a["last"] >= m, F.struct(f.alias("last"), F.concat(a["kept"], F.array(f)).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    kept = groups.select("video_id", F.explode(fold).alias("frame"), F.lit(True).alias("accepted"))
+
+def greedy(candidates: DataFrame, m: int, start: str | None = None) -> DataFrame:
+    """candidates with accepted: whether greedy_frames holds them."""
+    candidates = cut(candidates)
+    kept = spaced(candidates, m, F.col(start) if start else F.lit(0)).withColumn("accepted", F.lit(True))
     return candidates.join(kept, ["video_id", "frame"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
@@ -55,16 +53,16 @@ def adaptive_candidates(ratios: DataFrame, config: Adaptive = Adaptive(), thresh
 
 
 def adaptive_boundaries(ratios: DataFrame, config: Adaptive = Adaptive(), m: int = 15) -> DataFrame:
-    return greedy(adaptive_candidates(ratios, config).select("video_id", "frame"), m).where("accepted").select("video_id", "frame")
+    return greedy_frames(adaptive_candidates(ratios, config).select("video_id", "frame"), m)
 
 
 def histogram_boundaries(scores: DataFrame, threshold: float = 0.05, m: int = 15) -> DataFrame:
     over = ~F.col("first") & ~F.isnan("hist_diff") & (F.col("hist_diff") <= 1.0 - threshold)
-    return greedy(scores.where(over).select("video_id", "frame"), m).where("accepted").select("video_id", "frame")
+    return greedy_frames(scores.where(over).select("video_id", "frame"), m)
 
 
 def hash_boundaries(scores: DataFrame, threshold: float = 0.395, m: int = 15) -> DataFrame:
-    return greedy(scores.where(~F.col("first") & reaches(F.col("hash_dist"), threshold)).select("video_id", "frame"), m).where("accepted").select("video_id", "frame")
+    return greedy_frames(scores.where(~F.col("first") & reaches(F.col("hash_dist"), threshold)).select("video_id", "frame"), m)
 
 
 def fades(luma: DataFrame, threshold: float) -> DataFrame:
@@ -73,11 +71,10 @@ def fades(luma: DataFrame, threshold: float) -> DataFrame:
     A video that begins dark begins with a stretch; not a number changes nothing and is light at the start.
     """
     known = F.when(~F.isnan("average_rgb"), F.col("average_rgb") < threshold)
-    state = luma.select("video_id", "frame", F.coalesce(F.last(known, ignorenulls=True).over(by_video()), F.lit(False)).alias("dark"))
-    marked = state.withColumn("before", F.lag("dark").over(by_video()))
-    turns = marked.where("before is null or dark <> before")
+    marked = with_last_known(luma.select("video_id", "frame", known.alias("known")), "known", False)
+    turns = cut(marked.where("before is null or state <> before").select("video_id", "frame", "state"))
     ends = luma.groupBy("video_id").agg(F.min("frame").alias("first"), F.count("*").alias("total"))
-    return turns.withColumn("in", F.lead("frame").over(by_video())).where("dark").select("video_id", F.col("frame").alias("out"), "in").join(ends, "video_id")
+    return with_next(turns, "frame").where("state").select("video_id", F.col("frame").alias("out"), F.col("next_frame").alias("in")).join(ends, "video_id")
 
 
 def fade_boundaries(luma: DataFrame, config: Fade = Fade(), m: int = 15) -> DataFrame:

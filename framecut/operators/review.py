@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Adaptive, Content, Options, review_threshold
+from ..sources.shared import cut
 from .decisions import adaptive_candidates, greedy, rolling
+from .scans import numbered, ranked_by
 from .scores import reaches
 from .spans import containing, scene_spans
 
@@ -47,10 +49,8 @@ def adaptive_review(ratios: DataFrame, total: DataFrame, config: Adaptive = Adap
 
 def ranked(seeds: DataFrame, spans: DataFrame, threshold: float, least: float) -> DataFrame:
     """Candidates with number (by time), rank (by distance from the threshold, then frame) and context."""
-    by_frame = Window.partitionBy("video_id").orderBy("frame")
-    rows = seeds.withColumns({"candidate_number": F.row_number().over(by_frame), "detector_threshold": F.lit(float(threshold)), "review_threshold": F.lit(float(least)), "threshold_distance": F.abs(F.col("score") - threshold)})
-    by_distance = Window.partitionBy("video_id").orderBy("threshold_distance", "frame")
-    return context(rows.withColumn("rank", F.row_number().over(by_distance)), spans)
+    rows = seeds.withColumns({"detector_threshold": F.lit(float(threshold)), "review_threshold": F.lit(float(least)), "threshold_distance": F.abs(F.col("score") - threshold)})
+    return context(ranked_by(numbered(cut(rows), "candidate_number"), "threshold_distance", "rank"), spans)
 
 
 def context(candidates: DataFrame, spans: DataFrame) -> DataFrame:
