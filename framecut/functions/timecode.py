@@ -51,42 +51,3 @@ def ratio(text: Column) -> Column:
 def seconds(time: Column) -> Column:
     """A media time (ticks, time base) as double, for display."""
     return time["ticks"].cast("double") * time["time_base"]["numerator"] / time["time_base"]["denominator"]
-
-
-LIMIT = 2**63
-
-
-def _base(time) -> tuple[int, int] | None:
-    """A positive time base reduced to parts of 32 bits."""
-    n, d = time["time_base"]["numerator"], time["time_base"]["denominator"]
-    if not n or not d or (n < 0) != (d < 0):
-        return None
-    g = math.gcd(n, d)
-    n, d = abs(n) // g, abs(d) // g
-    return (n, d) if max(n, d) < 2**31 else None
-
-
-def exact_end(time, duration):
-    """Presentation time plus duration without rounding; None where unknown or not representable.
-
-    The presentation's base is kept if the sum is whole in it; else the sum takes the finest
-    common base, and if that overflows the coarsest one that holds it.
-    """
-    if time is None or duration is None or duration["ticks"] < 0:
-        return None
-    a, b = _base(time), _base(duration)
-    if a is None or b is None:
-        return None
-    whole, rest = divmod(duration["ticks"] * b[0] * a[1], b[1] * a[0])
-    if not rest and abs(time["ticks"] + whole) < LIMIT:
-        return {"ticks": time["ticks"] + whole, "time_base": dict(time["time_base"])}
-    n = math.gcd(a[0] * b[1], b[0] * a[1])
-    d = a[1] * b[1]
-    n, d = n // math.gcd(n, d), d // math.gcd(n, d)
-    ticks = (time["ticks"] * a[0] * d // (a[1] * n)) + (duration["ticks"] * b[0] * d // (b[1] * n))
-    if abs(ticks) >= LIMIT:
-        g = math.gcd(ticks, d)
-        ticks, d = ticks // g, d // g
-    if abs(ticks) >= LIMIT or max(n, d) >= 2**31:
-        return None
-    return {"ticks": ticks, "time_base": {"numerator": n, "denominator": d}}

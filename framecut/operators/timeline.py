@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecode import exact_end
-from ..sources.frames import MEDIA_TIME
-
-#: The end of a video's last scene; other scenes pass through it without times.
-_end = F.udf(lambda t, d: exact_end(t and t.asDict(True), d and d.asDict(True)), MEDIA_TIME)
+from ..functions.rational import exact_end
 
 
 def scene_timeline(spans: DataFrame, timing: DataFrame) -> DataFrame:
@@ -26,6 +22,5 @@ def scene_timeline(spans: DataFrame, timing: DataFrame) -> DataFrame:
     rows = rows.join(at("__s", "start"), ["video_id", "start"], "left").join(at("__e", "__until"), ["video_id", "__until"], "left")
     missing = lambda seen, frame, what: F.when(F.col(seen).isNull(), F.raise_error(F.concat(F.lit(f"no timing for the {what} frame "), F.col(frame).cast("string"))).cast("boolean")).otherwise(True)
     rows = rows.where(missing("__s", "start", "start")).where(missing("__e", "__until", "end"))
-    lasts = F.when(F.col("__last"), F.struct("__e.presentation_time", "__e.duration"))
-    end = F.when(F.col("__last"), _end(lasts["presentation_time"], lasts["duration"])).otherwise(F.col("__e.presentation_time"))
+    end = F.when(F.col("__last"), exact_end(F.col("__e.presentation_time"), F.col("__e.duration"))).otherwise(F.col("__e.presentation_time"))
     return rows.select("video_id", "scene_number", "start", "end", F.col("__s.presentation_time").alias("start_time"), end.alias("end_time"))

@@ -1,10 +1,12 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from framecut.functions import image, timecode
+from framecut.functions import image, order, rational, timecode
 from framecut.operators import joins, quality, review, similarity, spans, timeline
 from framecut.sources import frames as sources
 
@@ -21,14 +23,66 @@ def media(ticks, num, den):
     return {"ticks": ticks, "time_base": {"numerator": num, "denominator": den}}
 
 
-def test_rational_sums():
-    assert timecode.exact_end(media(9, 1, 10), media(100, 1, 1000)) == media(10, 1, 10)
-    assert timecode.exact_end(media(1, 1, 6), media(1, 1, 4)) == media(5, 1, 12)
-    assert timecode.exact_end(media(2**63 - 1, 1, 1000), media(1, 1, 1000)) == media(2**60, 1, 125)
-    assert timecode.exact_end(media(1, -1, -10), media(2, 1, 10)) == media(3, -1, -10)
-    assert timecode.exact_end(media(1, 2**34, 2**34), media(1, 1, 1)) == media(2, 2**34, 2**34)
-    assert timecode.exact_end(media(1, 1, 10), media(-1, 1, 10)) is None
-    assert timecode.exact_end(None, media(1, 1, 10)) is None
+def plain_end(time, duration):
+    """The exact sum in Python's integers."""
+    if time is None or duration is None or duration["ticks"] < 0:
+        return None
+    parts = []
+    for x in (time, duration):
+        n, d = x["time_base"]["numerator"], x["time_base"]["denominator"]
+        if n * d <= 0 or max((f := Fraction(n, d)).numerator, f.denominator) >= 2**31:
+            return None
+        parts.append(f)
+    total = time["ticks"] * parts[0] + duration["ticks"] * parts[1]
+    whole = total / parts[0]
+    if whole.denominator == 1 and abs(whole) < 2**63:
+        return {"ticks": int(whole), "time_base": time["time_base"]}
+    (a, b), (c, d) = (f.as_integer_ratio() for f in parts)
+    base = Fraction(math.gcd(a * d, c * b), b * d)
+    ticks, n, d = int(total / base), base.numerator, base.denominator
+    if abs(ticks) >= 2**63:
+        g = math.gcd(ticks, d)
+        ticks, d = ticks // g, d // g
+    return None if abs(ticks) >= 2**63 or max(n, d) >= 2**31 else media(ticks, n, d)
+
+
+def test_rational_sums(spark):
+    cases = [
+        (media(9, 1, 10), media(100, 1, 1000), media(10, 1, 10)),
+        (media(1, 1, 6), media(1, 1, 4), media(5, 1, 12)),
+        (media(2**63 - 1, 1, 1000), media(1, 1, 1000), media(2**60, 1, 125)),
+        (media(1, -1, -10), media(2, 1, 10), media(3, -1, -10)),
+        (media(1, 2**34, 2**34), media(1, 1, 1), media(2, 2**34, 2**34)),
+        (media(1, 1, 10), media(-1, 1, 10), None),
+        (None, media(1, 1, 10), None),
+        (media(1, 1, 10), None, None),
+        (media(1, 0, 10), media(1, 1, 10), None),
+        (media(1, 1, -10), media(1, 1, 10), None),
+        (media(1, 1, 2**31), media(1, 1, 10), None),
+        (media(-(2**63), 1, 2**31 - 1), media(2**63 - 1, 2**31 - 1, 2**31 - 2), None),
+        (media(-(2**63), -(2**63), -(2**63)), media(1, 1, 1), media(1 - 2**63, -(2**63), -(2**63))),
+    ]
+    rng = random.Random(3)
+    number = lambda: rng.choice([rng.randrange(1, 40), rng.randrange(1, 2**31), rng.randrange(2**62, 2**63)])
+    for _ in range(400):
+        base = [rng.choice([1, 2, 3, 1001, rng.randrange(1, 2**31)]) for _ in range(4)]
+        t, d = media(rng.choice([1, -1]) * number(), *base[:2]), media(number(), *base[2:])
+        cases.append((t, d, plain_end(t, d)))
+    assert [plain_end(t, d) for t, d, _ in cases] == [want for *_, want in cases]
+    kind = sources.MEDIA_TIME.simpleString()
+    table = spark.createDataFrame([(k, t, d) for k, (t, d, _) in enumerate(cases)], f"k int, t {kind}, d {kind}")
+    got = table.select("k", rational.exact_end(F.col("t"), F.col("d")).alias("end")).orderBy("k").collect()
+    assert [r.end and r.end.asDict(True) for r in got] == [want for *_, want in cases]
+    assert sum(want is not None for *_, want in cases) > 50
+
+
+def test_total_order(spark):
+    nan, inf = float("nan"), float("inf")
+    given = [[0.0, nan, -0.0, inf, -1.0, None, -inf, 0.0, -0.0], [2.0, 1.0], [], None, [nan, 1.0, -0.0], [-0.0, 0.0, -0.0]]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x array<double>")
+    got = table.select("k", order.total_sort(F.col("x")).alias("s"), order.total_median(F.col("x")).alias("m")).orderBy("k").collect()
+    assert [repr(r.s) for r in got] == [repr(x) for x in ([-inf, -1.0, -0.0, -0.0, 0.0, 0.0, inf, nan, None], [1.0, 2.0], [], None, [-0.0, 1.0, nan], [-0.0, -0.0, 0.0])]
+    assert [repr(r.m) for r in got] == ["0.0", "1.5", "None", "None", "1.0", "-0.0"]
 
 
 def test_timeline_with_varying_rate(spark):
