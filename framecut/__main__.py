@@ -1,6 +1,7 @@
-"""Command line: detect scenes of frame tables, render and inspect the results.
+"""Command line: detect scenes of frame tables or video files, render and inspect the results.
 
     python -m framecut detect content frames.parquet out --threshold 27
+    python -m framecut detect-content clip.mp4 out --video
     python -m framecut render csv out/scenes --rate 24
     python -m framecut render stats out/stats --out out/stats-csv
     python -m framecut list-scenes out/scenes --rate 24
@@ -15,26 +16,37 @@ import json
 
 from .config import DETECTORS, MERGE_LAST, SUPPRESS, Options, load
 
+#: Detectors that commands call by another name as well.
+SHORT = {"histogram": "hist"}
+
+
+def add_detector(d: argparse.ArgumentParser, name: str) -> None:
+    """Arguments of a detector, its own settings among them."""
+    d.set_defaults(command="detect", detector=name)
+    d.add_argument("frames", help="a table of frames, or with --video a file")
+    d.add_argument("out")
+    d.add_argument("--video", action="store_true", help="decode a video file by ffmpeg; frames and timing become tables in out, too")
+    d.add_argument("--min-scene-len", type=int, default=15)
+    d.add_argument("--merge-last-scene", action="store_true")
+    d.add_argument("--stats", action="store_true", help="also write statistics and, for content and adaptive, the review")
+    for f in dataclasses.fields(DETECTORS[name]):
+        option = "--" + f.name.replace("_", "-")
+        if f.name == "weights":
+            d.add_argument(option, type=lambda t: tuple(map(float, t.split(","))))
+        elif isinstance(f.default, bool):
+            d.add_argument(option, action=argparse.BooleanOptionalAction, default=None)
+        else:
+            d.add_argument(option, type=type(f.default))
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="framecut")
     commands = p.add_subparsers(dest="command", required=True)
     detect = commands.add_parser("detect").add_subparsers(dest="detector", required=True)
-    for name, kind in DETECTORS.items():
-        d = detect.add_parser(name)
-        d.add_argument("frames")
-        d.add_argument("out")
-        d.add_argument("--min-scene-len", type=int, default=15)
-        d.add_argument("--merge-last-scene", action="store_true")
-        d.add_argument("--stats", action="store_true", help="also write statistics and, for content and adaptive, the review")
-        for f in dataclasses.fields(kind):
-            option = "--" + f.name.replace("_", "-")
-            if f.name == "weights":
-                d.add_argument(option, type=lambda t: tuple(map(float, t.split(","))))
-            elif isinstance(f.default, bool):
-                d.add_argument(option, action=argparse.BooleanOptionalAction, default=None)
-            else:
-                d.add_argument(option, type=type(f.default))
+    for name in DETECTORS:
+        short = SHORT.get(name, name)
+        for d in (detect.add_parser(name, aliases=[short] if short != name else []), commands.add_parser(f"detect-{short}")):
+            add_detector(d, name)
     forms = commands.add_parser("render").add_subparsers(dest="form", required=True)
     scenes = {form: forms.add_parser(form) for form in ("csv", "json", "ndjson", "html")} | {"list-scenes": commands.add_parser("list-scenes"), "export-html": commands.add_parser("export-html")}
     for r in scenes.values():
@@ -52,6 +64,16 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def decoded(spark, a):
+    """The frames of a video file, decoded once into a table, and their times in another."""
+    from .sources.media import open_videos, video_frames
+
+    video_frames(open_videos(spark.createDataFrame([(a.frames,)], "path string"))).write.mode("overwrite").parquet(f"{a.out}/frames")
+    frames = spark.read.parquet(f"{a.out}/frames")
+    frames.select("video_id", "frame", "presentation_time", "duration").write.mode("overwrite").parquet(f"{a.out}/timing")
+    return frames.drop("presentation_time", "duration")
+
+
 #: Earlier names of rendering commands.
 LEGACY = {"list-scenes": "csv", "export-html": "html", "list-boundaries": "boundaries"}
 
@@ -94,7 +116,8 @@ def main(argv: list[str] | None = None) -> None:
         config = load(a.detector, settings)
         if a.detector == "hash" and config.lowpass > config.size:
             raise SystemExit("lowpass is at most size")
-        frames, options = spark.read.parquet(a.frames), Options(a.min_scene_len, MERGE_LAST if a.merge_last_scene else SUPPRESS)
+        frames = decoded(spark, a) if a.video else spark.read.parquet(a.frames)
+        options = Options(a.min_scene_len, MERGE_LAST if a.merge_last_scene else SUPPRESS)
         tables = detect(frames, config, options)._asdict()
         if a.stats:
             tables["stats"] = stats(frames, config, options)

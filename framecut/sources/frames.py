@@ -1,4 +1,4 @@
-"""Frame sources: solid frames, raw rgb24 files, ffmpeg where it is installed, timing records, fixed-rate samples."""
+"""Frame sources: solid frames, raw rgb24 files, facts of video files, timing records, fixed-rate samples."""
 
 from __future__ import annotations
 
@@ -80,23 +80,6 @@ def probe(paths: DataFrame, override: Column | None = None) -> DataFrame:
     return found.withColumn("frame_rate", F.coalesce(override if override is not None else F.lit(None).cast("double"), ratio(F.col("rate")))).withColumn("base", time_base(F.col("time_base")))
 
 
-def decode(videos: DataFrame) -> DataFrame:
-    """path, frame, width, height, rgb of the files in videos (path, width, height), by ffmpeg on the executors."""
-
-    def run(batches):
-        for b in batches:
-            for path, w, h in zip(*(b.column(c).to_pylist() for c in ("path", "width", "height")), strict=True):
-                size, k = w * h * 3, 0
-                with subprocess.Popen([require("ffmpeg"), "-v", "error", "-i", path, "-fps_mode", "passthrough", "-f", "rawvideo", "-pix_fmt", "rgb24", "-"], stdout=subprocess.PIPE) as p:
-                    while data := p.stdout.read(size):
-                        if len(data) < size:
-                            raise ValueError(f"truncated frame {k} of {path}")
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([data], pa.binary())], ["path", "frame", "width", "height", "rgb"])
-                        k += 1
-
-    return videos.select("path", "width", "height").mapInArrow(run, "path string, frame long, width int, height int, rgb binary")
-
-
 def time_base(text: Column) -> Column:
     """``1/90000`` as struct; a zero or missing part is an error."""
     parts = F.split(text, "/")
