@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import Content, Options
-from ..functions import timecode
-from ..operators import decisions, joins, quality, review, scores, similarity, spans, timeline
+from ..functions import order, rational, timecode
+from ..operators import decisions, features, joins, quality, review, scores, similarity, spans, timeline
 from ..sinks import render
 from ..sources import frames as sources
 from ..sources import tables
@@ -250,3 +250,61 @@ def preview_counts(spark, d):
     shown = decisions.preview(rows.select("video_id", "frame", F.col("content_val").alias("score"), F.lit(True).alias("eligible")), 60.0)
     counted = shown.groupBy("video_id").agg(F.count("*").alias("n"))
     return spans.totals(rows).join(counted, "video_id", "left").select("video_id", "total", F.coalesce("n", F.lit(0)).alias("over"))
+
+
+#: Time bases of the sums below, of presentation times and durations, by event_id % 6.
+_BASES = (("1", "10", "1", "1000"), ("1", "6", "1 + event_id % 3", "4"), ("1", "1000", "1", "1000"), ("-1", "-10", "1", "10"), ("17179869184", "17179869184", "1", "1"), ("1001", "30000 + user_id % 7", "1", "90000 - event_id % 11"))
+_TICKS = ("CASE WHEN event_id % 6 = 2 THEN 9223372036854775807 - event_id % 3 ELSE event_id * 7919 - 300000 END", "event_id % 203 - 3")
+
+
+def _chosen(part: int) -> str:
+    return "CASE event_id % 6 " + " ".join(f"WHEN {k} THEN {base[part]}" for k, base in enumerate(_BASES)) + " END"
+
+
+@checked_by(
+    f"""WITH r AS (SELECT event_id, ({_TICKS[0]})::HUGEINT AS t, ({_TICKS[1]})::HUGEINT AS u, {", ".join(f"({_chosen(k)})::HUGEINT AS {name}" for k, name in enumerate(("n", "d", "m", "e")))} FROM events),
+    low AS (SELECT *, abs(n) // gcd(n, d) AS a, abs(d) // gcd(n, d) AS b, abs(m) // gcd(m, e) AS x, abs(e) // gcd(m, e) AS y FROM r),
+    own AS (SELECT *, u * x * b AS scaled, y * a AS unit, gcd(a * y, x * b) AS g FROM low),
+    sums AS (SELECT *, t + scaled // unit AS kept, scaled % unit = 0 AND abs(t + scaled // unit) < 9223372036854775808::HUGEINT AS whole, t * (a * y // g) + u * (x * b // g) AS fine, g // gcd(g, b * y) AS fn, b * y // gcd(g, b * y) AS fd FROM own),
+    held AS (SELECT *, CASE WHEN abs(fine) < 9223372036854775808::HUGEINT THEN 1 ELSE gcd(fine, fd) END AS c FROM sums)
+    SELECT event_id, CASE WHEN u < 0 THEN NULL WHEN whole THEN kept WHEN abs(fine // c) < 9223372036854775808::HUGEINT AND greatest(fn, fd // c) < 2147483648 THEN fine // c END::BIGINT AS ticks,
+      CASE WHEN u < 0 THEN NULL WHEN whole THEN n WHEN abs(fine // c) < 9223372036854775808::HUGEINT AND greatest(fn, fd // c) < 2147483648 THEN fn END::BIGINT AS numerator,
+      CASE WHEN u < 0 THEN NULL WHEN whole THEN d WHEN abs(fine // c) < 9223372036854775808::HUGEINT AND greatest(fn, fd // c) < 2147483648 THEN fd // c END::BIGINT AS denominator FROM held"""
+)
+def rational_ends(spark, d):
+    """Exact sums of times: whole in the first base or in a common one, overflowing, negative bases and durations."""
+    time = lambda ticks, n, d: F.struct(F.expr(ticks).cast("long").alias("ticks"), F.struct(F.expr(_chosen(n)).cast("long").alias("numerator"), F.expr(_chosen(d)).cast("long").alias("denominator")).alias("time_base"))
+    rows = tables.read(spark, d, "events").select("event_id", time(_TICKS[0], 0, 1).alias("t"), time(_TICKS[1], 2, 3).alias("u"))
+    return rows.select("event_id", rational.exact_end(F.col("t"), F.col("u")).alias("end")).select("event_id", "end.ticks", "end.time_base.numerator", "end.time_base.denominator")
+
+
+@checked_by(
+    """WITH v AS (SELECT vec_id, k, CASE WHEN (vec_id + k) % 11 = 0 THEN 'NaN'::DOUBLE WHEN (vec_id + k) % 7 = 0 THEN '-0.0'::DOUBLE WHEN (vec_id + k) % 5 = 0 THEN 0.0::DOUBLE WHEN (vec_id + k) % 13 = 1 THEN 'Infinity'::DOUBLE ELSE x::DOUBLE END AS x
+      FROM (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS k FROM embeddings) WHERE x IS NOT NULL),
+    s AS (SELECT vec_id, list(x ORDER BY isnan(x), x, NOT starts_with(x::VARCHAR, '-')) AS xs FROM v GROUP BY vec_id)
+    SELECT vec_id, ordered, CASE WHEN middle = 0 THEN 0.0::DOUBLE ELSE round(middle, 9) END AS middle FROM (SELECT e.vec_id, array_to_string(list_transform(xs, lambda x: CASE WHEN isnan(x) THEN 'n' WHEN isinf(x) THEN 'i' WHEN x = 0 THEN CASE WHEN starts_with(x::VARCHAR, '-') THEN '-0' ELSE '0' END ELSE floor(x * 1000000)::BIGINT::VARCHAR END), ' ') AS ordered,
+      CASE WHEN len(xs) % 2 = 1 THEN xs[len(xs) // 2 + 1] ELSE (xs[len(xs) // 2] + xs[len(xs) // 2 + 1]) / 2 END AS middle FROM embeddings e LEFT JOIN s USING (vec_id))"""
+)
+def total_order(spark, d):
+    """Values in total order, with both zeros, infinities and what is no number among them, and their median."""
+    place = lambda k, n: (F.col("vec_id") + k) % n
+    planted = lambda x, k: F.when(x.isNull(), x.cast("double")).when(place(k, 11) == 0, F.lit(float("nan"))).when(place(k, 7) == 0, F.lit(-0.0)).when(place(k, 5) == 0, F.lit(0.0)).when(place(k, 13) == 1, F.lit(float("inf"))).otherwise(x.cast("double"))
+    rows = tables.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", planted).alias("xs"))
+    zero = lambda x: F.when(F.startswith(x.cast("string"), F.lit("-")), "-0").otherwise("0")
+    shown = lambda x: F.when(F.isnan(x), "n").when(x == float("inf"), "i").when(x == 0, zero(x)).otherwise(F.floor(x * 1_000_000).cast("string"))
+    middle = order.total_median(F.col("xs"))
+    return rows.select("vec_id", F.array_join(F.transform(order.total_sort(F.col("xs")), shown), " ").alias("ordered"), F.when(middle == 0, 0.0).otherwise(F.round(middle, 9)).alias("middle"))
+
+
+_UNEVEN = f"""{oracle._GRAY}, cell AS (SELECT unnest(generate_series(0, 5)) AS c), edge AS (SELECT c, c * 8 // 6 AS low, (c * 8 + 8 + 5) // 6 AS high FROM cell),
+    small AS (SELECT frame, r.c AS y, q.c AS x, avg({oracle._LUMA}) AS l FROM gray JOIN edge r ON k // 8 >= r.low AND k // 8 < r.high JOIN edge q ON k % 8 >= q.low AND k % 8 < q.high GROUP BY ALL),
+    plane AS (SELECT frame, y, x, l / greatest(1, max(l) OVER (PARTITION BY frame)) AS s FROM small),
+    coef AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / 12) * CASE WHEN u = 0 THEN sqrt(1 / 6.0::DOUBLE) ELSE sqrt(2 / 6.0::DOUBLE) END AS c FROM (SELECT unnest(generate_series(0, 2)) AS u), (SELECT c AS x FROM cell)),
+    low AS (SELECT frame, a.u * 3 + b.u AS k, sum(a.c * s * b.c) AS x FROM plane JOIN coef a ON a.x = plane.y JOIN coef b ON b.x = plane.x GROUP BY ALL)"""
+
+
+@checked_by(f"WITH {_UNEVEN} SELECT frame, string_agg(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY k) AS bits FROM (SELECT frame, k, x, median(x) OVER (PARTITION BY frame) AS m FROM (SELECT frame, k, CASE WHEN abs(x) < 1e-12 THEN 0 ELSE x END AS x FROM low)) GROUP BY frame")
+def hash_bits_uneven(spark, d):
+    """Hashes of 3 x 3 bits from 6 x 6 cells of 8 x 8 pixels, which overlap."""
+    rows = features.frame_features(queries._binary(tables.gray_frames(spark, d)), phash=(3, 2))
+    return rows.select("frame", F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits"))
