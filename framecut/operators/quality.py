@@ -167,6 +167,21 @@ def stale_fixtures(goldens: DataFrame, files: DataFrame) -> DataFrame:
     return goldens.join(now, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("__now"))).drop("__now")
 
 
+def stale_metadata(goldens: DataFrame, expected: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """case_id, key, expected, observed where a golden says another thing than its case, or nothing.
+
+    Both sides: case_id, metadata (map of texts).  What a case doesn't name may differ, but required keys must be there.
+    A case without a golden differs in every key; goldens without a case don't count.
+    """
+    wanted = expected.select("case_id", F.explode("metadata").alias("key", "expected"), F.lit(False).alias("__any"))
+    for key in required:
+        wanted = wanted.unionByName(expected.where(~F.map_contains_key("metadata", F.lit(key))).select("case_id", F.lit(key).alias("key"), F.lit(None).cast("string").alias("expected"), F.lit(True).alias("__any")))
+    found = wanted.join(goldens.select("case_id", F.col("metadata").alias("__is")), "case_id", "left")
+    rows = found.withColumn("observed", F.element_at("__is", F.col("key"))).drop("__is")
+    differs = F.when(F.col("__any"), F.col("observed").isNull()).otherwise(~F.col("expected").eqNullSafe(F.col("observed")))
+    return rows.where(differs).drop("__any")
+
+
 def bench_pairs(runs: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """id, reference, candidate, ratio, winner from runs (label "<case> <kind>", mean).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Content, Options
 from ..functions import order, rational, timecode
 from ..operators import decisions, features, joins, quality, review, scores, similarity, spans, timeline
-from ..sinks import render
+from ..sinks import render, reviewed
 from ..sources import frames as sources
 from ..sources import tables
 from . import oracle, queries
@@ -308,3 +308,38 @@ def hash_bits_uneven(spark, d):
     """Hashes of 3 x 3 bits from 6 x 6 cells of 8 x 8 pixels, which overlap."""
     rows = features.frame_features(queries._binary(tables.gray_frames(spark, d)), phash=(3, 2))
     return rows.select("frame", F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits"))
+
+
+_SHOWN = "printf('%02d:%02d:%06.3f', floor({0} / 3600)::INT, floor(fmod({0}, 3600) / 60)::INT, fmod({0}, 60))"
+
+
+@checked_by(
+    f"""WITH RECURSIVE {oracle._EFFECTIVE}, {oracle._video_spans('eff', 'reviewed')}, {oracle._MEDIA}, e AS (SELECT video_id, max(t) AS duration, count(*) AS n FROM media GROUP BY video_id),
+    timed AS (SELECT r.video_id, r.scene_number, r.start, r."end", coalesce(a.t, CASE WHEN r.start >= e.n THEN e.duration END, r.start / 4.0::DOUBLE) AS s, coalesce(b.t, CASE WHEN r."end" >= e.n THEN e.duration END, r."end" / 4.0::DOUBLE) AS u
+      FROM reviewed r JOIN e USING (video_id) LEFT JOIN media a ON a.video_id = r.video_id AND a.sample = r.start LEFT JOIN media b ON b.video_id = r.video_id AND b.sample = r."end")
+    SELECT video_id, sha256('{reviewed.HEADER}' || chr(10) || string_agg(concat_ws(',', scene_number, start, {_SHOWN.format('s')}, "end", {_SHOWN.format('u')}), chr(10) ORDER BY start) || chr(10)) AS csv_sha256 FROM timed GROUP BY video_id"""
+)
+def reviewed_csv(spark, d):
+    """Digest of each video's reviewed scenes as CSV, by presented times."""
+    media = queries._media(spark, d)
+    videos = media.groupBy("video_id").agg(F.max("media_time_seconds").alias("duration"), F.count("*").alias("count")).withColumn("fps", F.lit(4.0))
+    text = reviewed.reviewed_csv(reviewed.timed_scenes(queries.reviewed_scenes(spark, d), media, videos))
+    return text.select("video_id", F.sha2("text", 256).alias("csv_sha256"))
+
+
+@checked_by(
+    """SELECT o_orderkey::VARCHAR AS case_id, key, expected, observed FROM (
+      SELECT o_orderkey, 'detector' AS key, o_orderpriority AS expected, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'other' ELSE o_orderpriority END AS observed FROM orders UNION ALL
+      SELECT o_orderkey, 'args', o_orderstatus, CASE WHEN o_orderkey % 11 > 0 THEN o_orderstatus END FROM orders UNION ALL
+      SELECT o_orderkey, 'runtime', NULL, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 5 > 0 THEN '3' END FROM orders)
+    WHERE CASE WHEN expected IS NULL THEN observed IS NULL ELSE expected IS DISTINCT FROM observed END"""
+)
+def stale_metadata(spark, d):
+    """Goldens that are gone, of another detector, or without the runtime that made them."""
+    rows, key = tables.read(spark, d, "orders"), F.col("o_orderkey")
+    case = key.cast("string").alias("case_id")
+    expected = rows.select(case, F.create_map(F.lit("detector"), F.col("o_orderpriority"), F.lit("args"), F.col("o_orderstatus")).alias("metadata"))
+    detector = F.when(key % 7 == 0, F.lit("other")).otherwise(F.col("o_orderpriority"))
+    runtime = F.when(key % 5 > 0, F.create_map(F.lit("runtime"), F.lit("3"))).otherwise(F.create_map().cast("map<string,string>"))
+    goldens = rows.where(key % 11 > 0).select(case, F.map_concat(F.create_map(F.lit("detector"), detector, F.lit("args"), F.col("o_orderstatus"), F.lit("more"), F.lit("x")), runtime).alias("metadata"))
+    return quality.stale_metadata(goldens, expected, ("runtime",))

@@ -7,8 +7,6 @@ but may be sparse, and times must not fall; others are errors, as nothing is reo
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scores import EPSILON
 
+#: The state of a video: frames seen, the last one and its time, the last cut; the feature before (histogram, hash),
+#: whether it is dark and since when (threshold), and the samples that a window still needs (adaptive).
+STATE = "total long, last long, time double, cut long, feature array<double>, dark boolean, fade long, samples array<struct<frame: long, value: double>>, emitted long"
+NAMES = ("total", "last", "time", "cut", "feature", "dark", "fade", "samples", "emitted")
 OUTPUT = "video_id long, frame long, score double, boundary long, value double, total long"
 
 
@@ -124,7 +126,7 @@ def detect_stream(stream: DataFrame, config, m: int = 15) -> DataFrame:
     """
 
     def step(key, frames, state: GroupState):
-        session = Session(config, m, json.loads(state.get[0]) if state.exists else None)
+        session = Session(config, m, dict(zip(NAMES, state.get, strict=True)) if state.exists else None)
         rows = pd.concat(frames).sort_values("frame", kind="stable")
         out, ended = [], False
         for frame, value, feature, last, time in zip(*(rows[c] for c in ("frame", "value", "feature", "last", "time")), strict=True):
@@ -138,11 +140,11 @@ def detect_stream(stream: DataFrame, config, m: int = 15) -> DataFrame:
         if ended:
             state.remove()
         else:
-            state.update((json.dumps(session.s),))
+            state.update(tuple(session.s[name] for name in NAMES))
         yield pd.DataFrame({"video_id": [key[0]] * len(out), "frame": pd.array([r[0] for r in out], "Int64"), "score": [r[1] for r in out], "boundary": pd.array([r[2] for r in out], "Int64"), "value": pd.array([r[3] for r in out], "Float64"), "total": pd.array([r[4] for r in out], "Int64")})
 
     time = (F.col("time") if "time" in stream.columns else F.lit(None)).cast("double").alias("time")
-    return stream.select("video_id", "frame", "value", "feature", "last", time).groupBy("video_id").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("video_id", "frame", "value", "feature", "last", time).groupBy("video_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_spans(rows: DataFrame) -> DataFrame:
