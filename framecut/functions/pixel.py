@@ -30,11 +30,16 @@ def mean_luma(px: Column) -> Column:
     return F.coalesce(F.try_divide(F.aggregate(px, F.lit(0.0), lambda a, p: a + luma(p)), F.size(px).cast("double")), F.lit(0.0))
 
 
-def luma_histogram(px: Column, bins: int) -> Column:
-    """Counts of pixels by luma bin, divided by their Euclidean norm if that is above 0."""
+def luma_counts(px: Column, bins: int) -> Column:
+    """Numbers of pixels by luma bin."""
     bins = max(1, bins)
     which = F.transform(px, lambda p: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(luma(p) * bins / 256.0))).cast("int"))
-    counts = F.transform(F.array(which), lambda w: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(w, lambda x: x == k)).cast("double")))[0]
+    return F.transform(F.array(which), lambda w: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(w, lambda x: x == k)).cast("long")))[0]
+
+
+def luma_histogram(px: Column, bins: int) -> Column:
+    """Counts of pixels by luma bin, divided by their Euclidean norm if that is above 0."""
+    counts = F.transform(luma_counts(px, bins), lambda x: x.cast("double"))
 
     def normed(c):
         norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
@@ -57,6 +62,16 @@ def correlation(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(mean(a).alias("a"), mean(b).alias("b"))), pearson)[0]
 
 
+def count_correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two arrays of counts, out of whole sums: what ties with a threshold isn't moved by rounding."""
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("x", "y", "xy", "xx", "yy")))
+    each = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    sums = F.aggregate(each, zero, lambda t, e: F.struct((t["x"] + e["x"]).alias("x"), (t["y"] + e["y"]).alias("y"), (t["xy"] + e["x"] * e["y"]).alias("xy"), (t["xx"] + e["x"] * e["x"]).alias("xx"), (t["yy"] + e["y"] * e["y"]).alias("yy")))
+    n = F.size(a).cast("long")
+    spread = lambda t, p, x, y: (n * t[p] - t[x] * t[y]).cast("double")
+    return F.transform(F.array(sums), lambda t: F.coalesce(F.try_divide(spread(t, "xy", "x", "y"), F.sqrt(spread(t, "xx", "x", "x") * spread(t, "yy", "y", "y"))), F.lit(1.0)))[0]
+
+
 def compact_luma(px: Column, width: Column, height: Column, side: int = 32) -> Column:
     """side x side integer luma samples at the centres of the cells."""
     at = lambda k, n: F.least(F.floor((2 * k + 1) * n / (2 * side)), n - 1).cast("int")

@@ -35,13 +35,15 @@ def stored(frames: DataFrame, run, schema: str) -> DataFrame:
         return cut(frames.select(*KEYS, "width", "height", "rgb").mapInArrow(run, schema))
 
 
-def frame_features(frames: DataFrame, luma: bool = False, bins: int | None = None, phash: tuple[int, int] | None = None, fingerprint: bool = False) -> DataFrame:
-    """video_id, frame and, as asked for, average_rgb, hist (of bins), bits (of size, lowpass) and hash (64 bits)."""
+def frame_features(frames: DataFrame, luma: bool = False, bins: int | None = None, phash: tuple[int, int] | None = None, fingerprint: bool = False, counts: int | None = None) -> DataFrame:
+    """video_id, frame and, as asked for, average_rgb, hist (of bins), counts (of so many bins), bits (of size, lowpass) and hash (64 bits)."""
     wanted = []
     if luma:
         wanted.append(("average_rgb", "double", pa.float64(), im.mean_luma))
     if bins is not None:
         wanted.append(("hist", "array<double>", pa.list_(pa.float64()), lambda i: im.luma_counts(i, bins)))
+    if counts is not None:
+        wanted.append(("counts", "array<long>", pa.list_(pa.int64()), lambda i: im.whole_counts(i, counts)))
     if phash:
         wanted.append(("bits", "array<boolean>", pa.list_(pa.bool_()), lambda i: im.hash_bits(im.luma_plane(i), *phash)))
     if fingerprint:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Content, Histogram
 from ..functions.image import differing_bytes
-from ..functions.pixel import correlation, hsv, luma_histogram, mean_luma
+from ..functions.pixel import count_correlation, hsv, luma_counts, mean_luma
 from .features import frame_features
 
 CHUNK = 512
@@ -72,10 +72,10 @@ def luma_scores(frames: DataFrame) -> DataFrame:
 
 def histogram_scores(frames: DataFrame, config: Histogram = Histogram(), chunk: int = CHUNK) -> DataFrame:
     """video_id, frame, hist_diff (correlation with the frame before; 0 for the first), first; of px or binary frames."""
-    hists = frames.select("video_id", "frame", luma_histogram(F.col("px"), config.bins).alias("hist")) if "px" in frames.columns else frame_features(frames, bins=config.bins)
-    rows = with_previous(hists, ["hist"], chunk)
-    first = F.col("prev_hist").isNull()
-    return rows.select("video_id", "frame", F.when(first, 0.0).otherwise(correlation(F.col("prev_hist"), F.col("hist"))).alias("hist_diff"), first.alias("first"))
+    counts = frames.select("video_id", "frame", luma_counts(F.col("px"), config.bins).alias("counts")) if "px" in frames.columns else frame_features(frames, counts=config.bins)
+    rows = with_previous(counts, ["counts"], chunk)
+    first = F.col("prev_counts").isNull()
+    return rows.select("video_id", "frame", F.when(first, 0.0).otherwise(count_correlation(F.col("prev_counts"), F.col("counts"))).alias("hist_diff"), first.alias("first"))
 
 
 def hash_scores(hashes: DataFrame, chunk: int = CHUNK) -> DataFrame:

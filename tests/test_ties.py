@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 
+from framecut.config import Histogram
 from framecut.functions import image
+from framecut.operators import decisions, scores
 
 #: 8 x 8 gray pixels of which two low frequencies are the middle ones and equal, but for rounding.
 TIED = [109, 151, 125, 85, 120, 138, 136, 87, 136, 137, 123, 133, 89, 124, 148, 147, 142, 102, 88, 102, 128, 81, 102, 122, 98, 108, 89, 122, 184, 115, 96, 144,
@@ -44,3 +46,16 @@ def test_tied_frequencies_are_summed_in_order():
         for _ in range(20):
             luma = [float(x) for x in rng.integers(0, 4, w * h)]
             assert image.hash_bits(np.array(luma).reshape(h, w), 4, 2).tolist() == hash_in_order(luma, w, h, 4, 2)
+
+
+def test_tied_correlation_is_a_boundary(spark):
+    counts = ([0, 2, 2, 8, 11, 14, 16, 5, 5, 1, 0, 0, 0, 0, 0, 0], [0, 0, 2, 2, 10, 11, 16, 13, 4, 5, 1, 0, 0, 0, 0, 0])
+    n, a, b = (16 * sum(x * y for x, y in zip(*p, strict=True)) - 64 * 64 for p in (counts, counts[:1] * 2, counts[1:] * 2))
+    assert 400 * n * n == 289 * a * b  # the correlation is 0.85
+    levels = [[16 * k + 8 for k, c in enumerate(one) for _ in range(c)] for one in counts]
+    plain = spark.createDataFrame([(0, f, 8, 8, [(v, v, v) for v in one]) for f, one in enumerate(levels)], "video_id long, frame long, width int, height int, px array<struct<r:int,g:int,b:int>>")
+    stored = spark.createDataFrame([(0, f, 8, 8, bytes(v for x in one for v in (x, x, x))) for f, one in enumerate(levels)], "video_id long, frame long, width int, height int, rgb binary")
+    for frames in (plain, stored):
+        found = scores.histogram_scores(frames, Histogram(threshold=0.15, bins=16))
+        assert [r.hist_diff for r in found.orderBy("frame").collect()] == [0.0, 0.85]
+        assert [r.frame for r in decisions.histogram_boundaries(found, 0.15, 1).collect()] == [1]
