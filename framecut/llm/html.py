@@ -32,7 +32,9 @@ from collections import Counter
 from functools import lru_cache
 from html import unescape
 from itertools import groupby
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -56,8 +58,8 @@ CONTAINER = frozenset("html body main article section div td center".split())
 #: Elements of no skeleton; elements whose whole text counts as their parent's own.
 SKIPPED = frozenset("head script style title noscript template iframe svg object select textarea button".split())
 LEAVES = INLINE | VOID | frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd option summary figcaption caption address".split())
-#: Child lists whose product is larger are aligned in order (the k-th child of a key with the k-th) instead of optimally.
-CELLS = 250_000
+#: Child lists whose product is larger are matched by rows of numpy instead of lists; the matching is the same.
+CELLS = 1024
 #: A start tag closes these open elements; the search stops at the scope's elements.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body article section main div table ul ol dl td th nav aside header footer form blockquote button".split())
@@ -248,53 +250,126 @@ def children(tree: list) -> list[list[int]]:
     return kids
 
 
-def in_order(x: list[int], y: list[int], a: list, b: list) -> list[tuple[int, int]]:
-    """The k-th child of each key with the k-th of the other side."""
-    places: dict[str, list[int]] = {}
-    for j in reversed(y):
-        places.setdefault(b[j].key, []).append(j)
-    return [(i, places[a[i].key].pop()) for i in x if places.get(a[i].key)]
+def next_row(row, weights):
+    """The best matchings with one more child on the left, by how many there are on the right."""
+    if isinstance(row, list):
+        out = [0]
+        for j, w in enumerate(weights):
+            out.append(max(row[j + 1], out[-1], row[j] + w))
+        return out
+    return np.concatenate((row[:1], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights))))
+
+
+class Rows:
+    """The table of two child lists' matching, row by row; every step-th is kept, others are worked out again."""
+
+    def __init__(self, x: tuple[int, ...], y: tuple[int, ...], keys: list[str], score: dict[tuple[int, int], int]) -> None:
+        self.x, self.y, self.keys, self.score = x, y, keys, score
+        self.wide = len(x) * len(y) > CELLS
+        of: dict[int, int] = {}
+        self.which = [of.setdefault(v, len(of)) for v in y]
+        self.places: dict[str, list[int]] = {}
+        for v in of:
+            self.places.setdefault(keys[v], []).append(v)
+        self.of, self.found = of, {}
+        if self.wide:
+            self.which = np.array(self.which)
+
+    def weights(self, u: int):
+        found = self.found.get(u)
+        if found is None:
+            found = [0] * len(self.of)
+            for v in self.places.get(self.keys[u], ()):
+                found[self.of[v]] = self.score[u, v]
+            self.found[u] = found = np.array(found, np.int64) if self.wide else found
+        return found[self.which] if self.wide else [found[k] for k in self.which]
+
+    def first(self):
+        return np.zeros(len(self.y) + 1, np.int64) if self.wide else [0] * (len(self.y) + 1)
+
+    def best(self) -> int:
+        row = self.first()
+        for u in self.x:
+            row = next_row(row, self.weights(u))
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """Places in both lists of the children matched."""
+        step, row = isqrt(len(self.x)) + 1, self.first()
+        kept = []
+        for i, u in enumerate(self.x):
+            if i % step == 0:
+                kept.append(row)
+            row = next_row(row, self.weights(u))
+        i, j, out = len(self.x), len(self.y), []
+        while i and j:
+            base = (i - 1) // step * step
+            rows = [kept[base // step]]
+            for u in self.x[base:i]:
+                rows.append(next_row(rows[-1], self.weights(u)))
+            while i > base and j:
+                now, above = rows[i - base], rows[i - base - 1]
+                if now[j] == above[j]:
+                    i -= 1
+                elif now[j] == now[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return out[::-1]
 
 
 def tree_match(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two skeletons: the matched places, parents first."""
+    """Simple tree matching of two skeletons: the matched places, parents first.
+
+    Subtrees that are alike in all keys are one shape.  Two shapes are matched once, however often they meet, and
+    a shape with itself is matched whole.
+    """
     below_a, below_b = children(a), children(b)
-    met = [(0, 0)] if a and b and a[0].key == b[0].key else []
-    rows: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p, q in met:  # grows while it is read
-        x, y = below_a[p], below_b[q]
-        if len(x) * len(y) > CELLS:
-            pairs = in_order(x, y, a, b)
-        else:
-            pairs = [(i, j) for i in x for j in y if a[i].key == b[j].key]
-        rows[p, q] = pairs
-        met.extend(pairs)
+    known: dict[tuple[str, tuple[int, ...]], int] = {}
+    keys: list[str] = []
+    forms: list[tuple[int, ...]] = []
+    sizes: list[int] = []
+
+    def shapes(tree: list, below: list[list[int]]) -> list[int]:
+        out = [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            form = tuple([out[k] for k in below[i]])
+            out[i] = known.setdefault((tree[i].key, form), len(forms))
+            if out[i] == len(forms):
+                keys.append(tree[i].key)
+                forms.append(form)
+                sizes.append(1 + sum(sizes[k] for k in form))
+        return out
+
+    of_a, of_b = shapes(a, below_a), shapes(b, below_b)
+    met = {(of_a[0], of_b[0])} if a and b and a[0].key == b[0].key else set()
+    open_ = list(met)
+    while open_:
+        p, q = open_.pop()
+        if p == q:
+            continue
+        places: dict[str, list[int]] = {}
+        for v in dict.fromkeys(forms[q]):
+            places.setdefault(keys[v], []).append(v)
+        for u in dict.fromkeys(forms[p]):
+            for v in places.get(keys[u], ()):
+                if (u, v) not in met:
+                    met.add((u, v))
+                    open_.append((u, v))
     score: dict[tuple[int, int], int] = {}
+    for p, q in sorted(met, key=lambda z: sizes[z[0]]):  # children before parents
+        score[p, q] = sizes[p] if p == q else 1 + Rows(forms[p], forms[q], keys, score).best() if forms[p] and forms[q] else 1
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p, q in reversed(met):
-        x, y = below_a[p], below_b[q]
-        if len(x) * len(y) > CELLS:
-            chosen[p, q] = rows[p, q]
-            score[p, q] = 1 + sum(score[z] for z in rows[p, q])
-            continue
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, u in enumerate(x, 1):
-            for j, v in enumerate(y, 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + score.get((u, v), 0))
-        i, j, pairs = len(x), len(y), []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((x[i], y[j]))
-        chosen[p, q] = pairs[::-1]
-        score[p, q] = 1 + best[-1][-1]
-    out = met[:1]
-    for z in out:  # grows while it is read
-        out.extend(chosen[z])
+    out = [(0, 0)] if met else []
+    for p, q in out:  # grows while it is read
+        u, v = of_a[p], of_b[q]
+        if u == v:
+            out.extend(zip(below_a[p], below_b[q], strict=True))
+        elif forms[u] and forms[v]:
+            if (u, v) not in chosen:
+                chosen[u, v] = Rows(forms[u], forms[v], keys, score).pairs()
+            out.extend((below_a[p][i], below_b[q][j]) for i, j in chosen[u, v])
     return out
 
 
