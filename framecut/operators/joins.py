@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,34 +77,76 @@ class Unused:
         self.up[k], self.down[k + 1] = k + 1, k
 
 
+def _taken(mine: list[float], theirs: list[float], tolerance: float) -> list[tuple[int, int]]:
+    """Places of mine, in order, and of the nearest of theirs within tolerance that none before has taken."""
+    free, out = Unused(len(theirs)), []
+    for i, t in enumerate(mine):
+        at = bisect.bisect_left(theirs, t)
+        near = [k for k in (free.below(at), free.above(at)) if 0 <= k < len(theirs)]
+        best = min(near, key=lambda k: (abs(theirs[k] - t), k), default=None)
+        if best is not None and abs(theirs[best] - t) <= tolerance:
+            free.take(best)
+            out.append((i, best))
+    return out
+
+
 def compare_runs(current: DataFrame, saved: DataFrame, fps: float) -> DataFrame:
     """video_id, kind (shared, current_only, saved_only), current, saved: times of two runs' boundaries.
 
     In order of current boundaries each takes the nearest unused saved one within tolerance.  Runs
-    fall apart where neighbours stand more than the tolerance apart, and each part is one small group.
+    fall apart where neighbours stand more than the tolerance apart.  Rows come sorted, so a task goes
+    through many parts of a batch at once; those of one or two rows need no walk.
     """
     tolerance = max(0.05, 0.5 / max(1.0, fps))
-    rows = current.select("video_id", F.col("time").cast("double").alias("time"), F.lit(0).alias("side")).unionByName(saved.select("video_id", F.col("time").cast("double").alias("time"), F.lit(1).alias("side")))
-    w = Window.partitionBy("video_id").orderBy("time", "side")
-    parted = rows.withColumn("new", F.coalesce((F.col("time") - F.lag("time").over(w) > tolerance).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w)).drop("new")
-
-    def run(key, table):
-        times = list(zip(table.column("time").to_pylist(), table.column("side").to_pylist(), strict=True))
-        mine, theirs = sorted(t for t, s in times if not s), sorted(t for t, s in times if s)
-        free, out = Unused(len(theirs)), []
-        for t in mine:
-            at = bisect.bisect_left(theirs, t)
-            near = [k for k in (free.below(at), free.above(at)) if 0 <= k < len(theirs)]
-            best = min(near, key=lambda k: (abs(theirs[k] - t), k), default=None)
-            if best is not None and abs(theirs[best] - t) <= tolerance:
-                free.take(best)
-                out.append(("shared", t, theirs[best]))
-            else:
-                out.append(("current_only", t, None))
-        out += [("saved_only", None, t) for k, t in enumerate(theirs) if free.above(k) == k]
-        return pa.table({"video_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "kind": pa.array([o[0] for o in out], pa.string()), "current": pa.array([o[1] for o in out], pa.float64()), "saved": pa.array([o[2] for o in out], pa.float64())})
-
-    return parted.groupBy("video_id", "part").applyInArrow(run, "video_id long, kind string, current double, saved double")
+    side = lambda rows, k: rows.select(F.col("video_id").cast("long").alias("video_id"), F.col("time").cast("double").alias("time"), F.lit(k).alias("side"))
+    # Dealt by a hash of its own: where both sides are dealt by video_id already, Spark leaves that shuffle out, though each side's partitions are joined apart.
+    rows = side(current, 0).unionByName(side(saved, 1)).repartition(F.xxhash64("video_id")).sortWithinPartitions("video_id", "time", "side")
+
+    def starts(video: pa.ChunkedArray, time: pa.ChunkedArray) -> np.ndarray:
+        """Whether each row begins a part; the first does."""
+        known, number = (x.to_numpy() for x in (video.is_valid(), video.fill_null(0)))
+        at = time.fill_null(float("nan")).to_numpy()
+        with np.errstate(invalid="ignore"):
+            near = at[1:] - at[:-1] <= tolerance  # what is no number is near nothing
+        return np.concatenate(([True], (number[1:] != number[:-1]) | (known[1:] != known[:-1]) | ~near))
+
+    def solved(table: pa.Table) -> list[pa.RecordBatch]:
+        time, kind = table.column("time"), table.column("side").to_numpy()
+        first = np.flatnonzero(starts(table.column("video_id"), time))
+        length = np.diff(np.append(first, table.num_rows))
+        partner = np.full(table.num_rows, -1)
+        two = first[length == 2]
+        two = two[kind[two] != kind[two + 1]]
+        partner[two], partner[two + 1] = two + 1, two
+        at = time.to_numpy()
+        for k, n in zip(first[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+            mine, theirs = (k + np.flatnonzero(kind[k : k + n] == s) for s in (0, 1))
+            for i, j in _taken(at[mine].tolist(), at[theirs].tolist(), tolerance):
+                partner[mine[i]], partner[theirs[j]] = theirs[j], mine[i]
+        own, met = kind == 0, partner >= 0
+        kept = np.flatnonzero(own | ~met)
+        own, met, partner = own[kept], met[kept], partner[kept]
+        place = lambda at, known: time.take(pa.array(at, pa.int64(), mask=~known))
+        columns = [table.column("video_id").take(pa.array(kept)), pa.array(np.where(~own, "saved_only", np.where(met, "shared", "current_only")), pa.string()), place(kept, own), place(np.where(own, partner, kept), ~own | met)]
+        return pa.table(dict(zip(("video_id", "kind", "current", "saved"), columns, strict=True))).combine_chunks().to_batches()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the part that isn't over
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b] if held else [b])
+            begins = np.flatnonzero(starts(seam.column("video_id"), seam.column("time"))[1 if held else 0 :])
+            if held and len(begins):
+                yield from solved(pa.Table.from_batches([*held, b.slice(0, begins[-1])]))
+                held = []
+            elif len(begins) > 1:
+                yield from solved(pa.Table.from_batches([b.slice(0, begins[-1])]))
+            held.append(b.slice(begins[-1]) if len(begins) else b)
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "video_id long, kind string, current double, saved double")
 
 
 def downsample(series: DataFrame, columns: int, value: str = "score") -> DataFrame:
